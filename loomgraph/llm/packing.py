@@ -71,13 +71,14 @@ class TokenBytes:
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        for w in distinct:
-            if w not in known:
-                known[w] = self.word(" " + w)
+        found = list(map(self.known.get, distinct))
+        for i, ids in enumerate(found):
+            if ids is None:
+                w = distinct[i]
+                found[i] = self.known[w] = self.word(" " + w)
         heads = [self.word(distinct[i]) for i in index[starts[:-1]]]
         index[starts[:-1]] = len(distinct) + np.arange(len(heads))
-        ids = pa.array([*map(known.__getitem__, distinct), *heads], pa.large_binary()).take(pa.array(index))
+        ids = pa.array(found + heads, pa.large_binary()).take(pa.array(index))
         bounds = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1][starts]
         data = memoryview(ids.buffers()[2] or b"")
         for i, a, b in zip(at, bounds[:-1], bounds[1:], strict=True):
@@ -112,8 +113,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, toke
         end = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             out = []
-            coded = (x for i in range(0, len(batch), 2000) for x in encode.batch(batch.column(1).slice(i, 2000)))
-            for doc, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
                 ids += end
                 n = len(ids) // 4
                 first = n % size or size

@@ -26,7 +26,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Growth of the buckets' bounds: quantiles are within 1 % of a value.
 GAMMA = 1.02
 #: For each measure: the least upper bound, and whether there is a lower bound too.
-MEASURES = {"symbols": (0.2, False), "dup_lines": (0.3, False), "repeats": (0.3, False), "word_length": (1.0, True)}
+MEASURES = {"symbols": (0.2, False), "dup_lines": (0.45, False), "repeats": (0.45, False), "word_length": (1.0, True)}
 
 
 def repeated_words(ids: np.ndarray) -> int:

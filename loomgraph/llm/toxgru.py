@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import fit_logistic, in_fold, logistic, raw_texts, sample_labelled
 from loomgraph.runtime import table
 
-WINDOW, STRIDE = 32, 24
-EMBED, HIDDEN, CHAR_ROWS, MAX_TRIGRAMS = 8, 8, 4096, 16
+WINDOW, STRIDE = 64, 48
+EMBED, HIDDEN, CHAR_ROWS = 8, 8, 8191
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -34,16 +34,23 @@ def windows_of(n: int) -> list[tuple[int, int]]:
     return [(s, min(n, s + WINDOW)) for s in starts]
 
 
-def trigram_rows(words: list[bytes]) -> np.ndarray:
-    """For each word the rows of its first and last trigrams' vectors, padded with the empty row 0."""
-    out = np.zeros((len(words), MAX_TRIGRAMS), np.int32)
-    for i, w in enumerate(words):
-        w = b"^" + w + b"$"
-        grams = [w[j : j + 3] for j in range(max(1, len(w) - 2))]
-        if len(grams) > MAX_TRIGRAMS:
-            grams = grams[: MAX_TRIGRAMS // 2] + grams[-MAX_TRIGRAMS // 2 :]
-        out[i, : len(grams)] = [1 + xxhash.xxh32_intdigest(g) % (CHAR_ROWS - 1) for g in grams]
-    return out
+def trigram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all words' byte trigrams, ends marked, one word after the other; and each word's first."""
+    data = np.frombuffer(b"".join([b"^%b$" % w for w in words]) + b"$$", np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = (data[:-2] << 16 | data[1:-1] << 8 | data[2:]) * 2654435761 % (1 << 61)
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum(sizes)
+    longer = sizes > 2  # an empty word keeps one trigram
+    inside[ends - 1] = False
+    inside[ends[longer] - 2] = False
+    return (codes[inside] >> 7) % CHAR_ROWS, np.concatenate([[0], np.cumsum(np.maximum(sizes - 2, 1))[:-1]])
+
+
+def _summed(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the values' rows by index."""
+    flat, values = index.reshape(-1), values.reshape(-1, values.shape[-1])
+    return np.stack([np.bincount(flat, weights=values[:, c], minlength=rows) for c in range(values.shape[1])], 1).astype(np.float32)
 
 
 class Network:
@@ -52,17 +59,18 @@ class Network:
         init = lambda *shape: (rng.standard_normal(shape) * 0.3 / np.sqrt(shape[0] if len(shape) > 1 else 1)).astype(np.float32)
         self.index = {w: i + 1 for i, w in enumerate(vocabulary)}  # row 0: any other word
         self.p = {"word": rng.standard_normal((len(vocabulary) + 1, EMBED)).astype(np.float32) * 0.1, "char": rng.standard_normal((CHAR_ROWS, EMBED)).astype(np.float32) * 0.1}
-        self.p["char"][0] = 0
         self.p["word"][0] = 0
         for side in "fb":
             self.p |= {f"wx{side}": init(2 * EMBED, 3 * HIDDEN), f"wh{side}": init(HIDDEN, 3 * HIDDEN), f"b{side}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"attention": init(2 * HIDDEN), "out": init(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
 
     def inputs(self, words: list[bytes]):
-        rows = np.fromiter((self.index.get(w, 0) for w in words), np.int32, len(words))
-        grams = trigram_rows(words)
-        n = np.maximum(1, (grams > 0).sum(1))[:, None].astype(np.float32)
-        return rows, grams, n, np.concatenate([self.p["word"][rows], self.p["char"][grams].sum(1) / n], 1)
+        rows = np.fromiter((self.index.get(w, 0) for w in words), np.int64, len(words))
+        return rows, *trigram_rows(words)
+
+    def vectors(self, rows: np.ndarray, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+        n = np.diff(first, append=len(grams))[:, None].astype(np.float32)
+        return np.concatenate([self.p["word"][rows], np.add.reduceat(self.p["char"][grams], first) / n], 1)
 
     def forward(self, x: np.ndarray, at: np.ndarray, keep: bool = False):
         """Logit of each window; ``at``: rows of ``x`` by window and step, -1 beyond a window's end."""
@@ -103,7 +111,7 @@ class Network:
         d_x = np.zeros_like(x)
         for side, order in (("f", range(at.shape[1] - 1, -1, -1)), ("b", range(at.shape[1]))):
             part = slice(0, HIDDEN) if side == "f" else slice(HIDDEN, None)
-            d_gates, d_h, wh = np.zeros((len(x), 3 * HIDDEN), np.float32), 0.0, p[f"wh{side}"]
+            steps_, d_h, wh = np.zeros((*at.shape, 3 * HIDDEN), np.float32), 0.0, p[f"wh{side}"]
             for t in order:
                 h, r, z, c, gh = trace[side, t]
                 d = d_hidden[:, t, part] + d_h
@@ -114,16 +122,16 @@ class Network:
                 d_gi = np.concatenate([d_r, d_z, d_c], 1)
                 d_gh = np.concatenate([d_r, d_z, d_c * r], 1)
                 g[f"wh{side}"] += h.T @ d_gh
-                np.add.at(d_gates, at[:, t], d_gi)
+                steps_[:, t] = d_gi
                 d_h = d * (1 - m * (1 - z)) + d_gh @ wh.T
+            d_gates = _summed(np.maximum(at, 0), steps_, len(x))  # beyond a window's end it is 0
             g[f"wx{side}"] = x.T @ d_gates
             g[f"b{side}"] = d_gates.sum(0)
             d_x += d_gates @ p[f"wx{side}"].T
-        rows, grams, n, _ = inputs
-        np.add.at(g["word"], rows, d_x[:, :EMBED])
-        spread = (d_x[:, None, EMBED:] / n[:, :, None]).repeat(MAX_TRIGRAMS, 1)
-        np.add.at(g["char"], grams, spread)
-        g["char"][0] = 0
+        rows, grams, first = inputs
+        n = np.diff(first, append=len(grams))
+        g["word"] = _summed(rows, d_x[:, :EMBED], len(p["word"]))
+        g["char"] = _summed(grams, np.repeat(d_x[:, EMBED:] / n[:, None], n, 0), len(p["char"]))
         g["word"][0] = 0
         return g
 
@@ -149,14 +157,14 @@ def lay_out(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarr
 def text_logits(net: Network, texts: list[list[bytes]], most: int = 8192) -> np.ndarray:
     """The highest window's logit of each text."""
     words, at, owner = lay_out(texts)
-    x = net.inputs(words or [b""])[3]
+    x = net.vectors(*net.inputs(words or [b""]))
     logits = np.concatenate([net.forward(x, at[i : i + most]) for i in range(0, len(at), most)])
     out = np.full(len(texts), -np.inf)
     np.maximum.at(out, owner, logits)
     return out
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = 1500, max_chars: int = 20_000, vocabulary: int = 20_000, rounds: int = 14) -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = 1500, max_chars: int = 20_000, vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3) -> dict:
     """Fit on at most about ``per_class`` labelled texts of each class, of ``max_chars`` characters at most."""
     rows, counts = sample_labelled(docs, labels, label, keep, per_class, max_chars)
     y = np.array([z for _, z in rows], np.float32)
@@ -165,37 +173,36 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
         return {"net": None, "prior": prior}
     texts = [words_of(t) for t, _ in rows]
     often = Counter(w for t in texts for w in set(t))
-    net = Network(sorted(w for w, n in often.most_common(vocabulary) if n >= 3))
+    net = Network(sorted(w for w, n in often.most_common(vocabulary) if n >= least))
     words, at, owner = lay_out(texts)
     inputs = net.inputs(words)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     rng, serial = np.random.default_rng(11), 0
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
     for _ in range(rounds):
-        x = net.inputs(words)[3]
+        x = net.vectors(*inputs)
         logits = np.concatenate([net.forward(x, at[i : i + 8192]) for i in range(0, len(at), 8192)])
         best = np.lexsort((-logits, owner))
         best = best[np.unique(owner[best], return_index=True)[1]]
         clean = np.flatnonzero(y[owner] == 0)  # every window of a clean text is clean
         chosen = rng.permutation(np.concatenate([best, rng.choice(clean, min(len(clean), len(best)), replace=False)]))
-        for i in range(0, len(chosen), 128):
-            part = chosen[i : i + 128]
+        for i in range(0, len(chosen), 256):
+            part = chosen[i : i + 256]
             used, local = np.unique(at[part], return_inverse=True)
             local = local.reshape(at[part].shape) - (used[0] < 0)
             used = used[used >= 0]
-            rows_, grams, n, _ = inputs
-            sub = rows_[used], grams[used], n[used]
-            now = np.concatenate([net.p["word"][sub[0]], net.p["char"][sub[1]].sum(1) / sub[2]], 1) if len(used) else np.zeros((1, 2 * EMBED), np.float32)
             if not len(used):
                 continue
-            logit, kept = net.forward(now, local, keep=True)
+            sub = net.inputs([words[u] for u in used])
+            logit, kept = net.forward(net.vectors(*sub), local, keep=True)
             error = ((logistic(logit) - y[owner[part]]) * weight[owner[part]] / len(part)).astype(np.float32)
-            grads = net.backward(error, kept, (*sub, None))
+            grads = net.backward(error, kept, sub)
             serial += 1
             for k, grad in grads.items():
                 m, v = moments[k]
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
+                net.p[k] *= 1 - 0.01 * decay
                 net.p[k] -= 0.01 * (m / (1 - 0.9**serial)) / (np.sqrt(v / (1 - 0.999**serial)) + 1e-8)
     z = text_logits(net, texts)
     real = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum())

@@ -12,15 +12,15 @@ from loomgraph.functions.text import blank_to_null
 
 # Patterns and words of the domain.
 LIMITS = [
-    r"([\w一-鿿]{1,20})\s*(<=|>=|<|>|=|≤|≥|±)\s*(\d+(?:\.\d+)?)\s*([A-Za-z%℃°μ/]*)",
-    r"([\w一-鿿]{1,20}?)\s*(不大于|不小于|大于等于|小于等于)\s*(\d+(?:\.\d+)?)\s*([A-Za-z%℃°μ/]*)",
+    r"([A-Za-z\u4e00-\u9fffØΦRaRz0-9_]+)\s*(<=|>=|=|<|>|±)\s*(\d+(?:\.\d+)?)\s*(μm|um|mm|cm|m|HBW|HRC|N·m|%)?",
+    r"([\u4e00-\u9fffA-Za-z0-9_]+)\s*(不大于|不小于|大于等于|小于等于)\s*(\d+(?:\.\d+)?)\s*(μm|um|mm|cm|m|HBW|HRC|N·m|%)?",
 ]
 COMPARATORS = {"不大于": "<=", "不小于": ">=", "大于等于": ">=", "小于等于": "<="}
 MATERIALS = r"(?i)(铝合金|钛合金|不锈钢|钢|45钢|TC4|Al\d+|Ti[-\s]?\d+|Q\d+)"
 TOOLS = r"(?i)(钻头|铣刀|扳手|夹具|胎具|工装|torque\s*wrench|reamer)"
 INSPECTIONS = r"(检验|检测|复核|无损检测|目视检查|尺寸检查|验收)"
-STEPS = ["粗加工", "精加工", "热处理", "表面处理", "装配", "检验", "试车", "铆接", "制孔", "焊接", "喷涂", "包装"]
-SECTIONS = [r"^(\d+(?:\.\d+)*)[\.\s、]+(.+)$", r"^(第[一二三四五六七八九十\d]+[章节])\s*(.*)$"]
+STEPS = ["制孔", "扩孔", "锪窝", "铆接", "装配", "检测", "清洗", "涂胶", "热处理", "车削", "铣削", "磨削"]
+SECTIONS = [r"^\s*(\d+)\s+(.+)$", r"^\s*(\d+\.\d+)\s+(.+)$", r"^\s*(\d+\.\d+\.\d+)\s+(.+)$", r"^\s*第([一二三四五六七八九十百零\d]+)[章节部分]\s*(.+)$"]
 
 
 def _matches(blocks: DataFrame, pattern: str, name: str) -> DataFrame:

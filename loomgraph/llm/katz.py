@@ -321,7 +321,7 @@ def score_block(block: pa.Table, answers: pa.Table, order: int, model: dict) ->
 
 
 def katz_scores(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_tokens: int = 4_000_000
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_tokens: int = 600_000
 ) -> DataFrame:
     """log10 probability of every text under a Katz model of the texts where ``train`` holds.
 
@@ -341,7 +341,7 @@ def katz_scores(
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0)).alias("texts"),
     ).first()
-    bits = max(4, int(size.n // 2_500_000).bit_length())  # a bucket has a few million n-grams at most
+    bits = max(4, int(size.n // 1_200_000).bit_length())  # a bucket has a few million n-grams at most
     asked = blocks.mapInArrow(partial(ask, order=order, bits=bits), ASK_SCHEMA)
     answers = stage(
         asked.groupBy("bucket").applyInArrow(lambda asked: answer(asked, bits), ANSWER_SCHEMA), "katz-counts", ["gram_order"]

@@ -133,7 +133,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """Chunk rows of the archives: record_id, record_type, chunk_no, last, page_id, refers_to, length, digest, chunk, whole."""
+    """Chunk rows of the archives: record_type, record_id, chunk_no, page_id, refers_to, length, digest, content_length, segmented, chunk."""
     lines = spark.read.option("lineSep", RECORD_START).text(path).where("value != ''")
     cut = F.instr("value", RECORD_END)
     parts = lines.select(
@@ -152,6 +152,7 @@ def read_archives(spark, path: str) -> DataFrame:
         field("WARC-Payload-Digest: sha256").alias("_"),
         F.nullif(F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]+)", 1), F.lit("")).alias("digest"),
         field("Content-Length").cast("long").alias("content_length"),
+        F.contains("head", F.lit("\r\nWARC-Segment-Number: ")).alias("segmented"),
         "chunk",
     ).drop("_")
 
@@ -159,8 +160,9 @@ def read_archives(spark, path: str) -> DataFrame:
 def verified_records(chunks: DataFrame) -> DataFrame:
     """One row a record, from its chunks in order: bytes and digest as read; an unsound record is an error.
 
-    Chunks are dealt out by record and sorted; a digest is carried from chunk to chunk, so memory holds
-    one batch of chunks however long a record is.
+    A record in one piece is checked where it was read.  The chunks of segmented records are dealt out by
+    record and sorted; a digest is carried from chunk to chunk, so memory holds one batch of chunks however
+    long a record is.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -194,11 +196,9 @@ def verified_records(chunks: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(done(), kinds, strict=True)], names)
 
-    return (
-        chunks.repartition("record_id")
-        .sortWithinPartitions("record_id", "chunk_no")
-        .mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    )
+    shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    dealt = chunks.where("segmented").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    return chunks.where("not segmented").mapInArrow(run, shape).unionAll(dealt.mapInArrow(run, shape))
 
 
 def op6_warc_records(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12) -> D
 
     ``cells`` has a row for each combination, with tokens of 0 or more; ``targets`` holds (value,
     target) for each dimension.  Targets of values that no cell has are left out and the rest
-    rescaled; values without a target get weight 0.  Each round ends in a table.
+    rescaled; values without a target get weight 0.  Each step ends in a table.
     """
     now = stage(cells.withColumn("weight", F.col("tokens").cast("double")), "rake")
     wanted = {}
@@ -60,10 +60,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12) -> D
         for dim, t in wanted.items():
             sums = now.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("sum"))
             factor = sums.join(t, "value").where("sum > 0").select("value", (F.col("share") / F.col("sum")).alias("factor"))
-            now = now.join(factor.withColumnRenamed("value", dim), dim, "left").withColumn(
+            scaled = now.join(factor.withColumnRenamed("value", dim), dim, "left").withColumn(
                 "weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))
-            ).drop("factor")
-        now = stage(now, "rake")
+            )
+            now = stage(scaled.drop("factor"), "rake")  # each step reads ``now`` twice: unstaged, a round's plan has it eight times
     return now
 
 

@@ -329,3 +329,92 @@ def order_window(spark, sf_dir):
     """M1-M3."""
     o = timeseries.where_time(table(spark, sf_dir, "orders"), "o_orderdate", (">=", "1995-01-01 00:00:00"), ("<", "03/01/1995 00:00:00"))
     return timeseries.where_values(timeseries.select_tags(o, "o_orderdate", {"o_totalprice": "price", "o_orderkey": "k"}), [("price", ">", 250000.0), ("k", "<", 1000)], "OR")
+
+
+# More of the graph
+
+
+@query("""SELECT 'Customer' AS cls, count(*) AS n FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders) UNION ALL SELECT 'Order', count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'Nation', count(*) FROM (SELECT n_nationkey FROM nation UNION SELECT c_nationkey FROM customer) UNION ALL SELECT 'Region', count(DISTINCT n_regionkey) FROM nation""")
+def class_counts(spark, sf_dir):
+    """A2."""
+    return audit.class_instance_counts(star_triples(spark, sf_dir))
+
+
+@query("""SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def order_nation_paths(spark, sf_dir):
+    """A3."""
+    return audit.path_instance_count(star_triples(spark, sf_dir), "Order", [("placedBy", "Customer", True), ("inNation", "Nation", True)])
+
+
+@query("""WITH l AS (SELECT trim(c_name) AS label, 'urn:x#customer/' || c_custkey AS s, 'Customer' AS cls FROM customer UNION SELECT trim(c_mktsegment), 'urn:x#customer/' || c_custkey, 'Customer' FROM customer
+UNION SELECT trim(n_name), 'urn:x#nation/' || n_nationkey, 'Nation' FROM nation), r AS (SELECT label, count(*) AS shared FROM l GROUP BY label HAVING count(*) <= 3)
+SELECT label, s, cls, shared FROM l JOIN r USING (label) WHERE len(regexp_split_to_array(label, '\\s+')) <= 4""")
+def name_labels(spark, sf_dir):
+    """A8."""
+    return audit.label_dictionary(star_triples(spark, sf_dir).where("p in ('custName', 'segment', 'nationName', 'rdf:type')").withColumn("o_kind", F.when(F.col("p") == "rdf:type", "uri").otherwise(F.col("o_kind"))))
+
+
+BUILDING = Node("customer", "Customer", [Prop("segment", "segment", where=[Where("in", ["BUILDING"])])], [Link("inNation", Node("nation", "Nation"))])
+
+
+@query("""WITH b AS (SELECT 'urn:x#customer/' || c_custkey AS c, 'urn:x#nation/' || c_nationkey AS n FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT c AS s, 'rdf:type' AS p, 'Customer' AS o FROM b UNION SELECT c, 'segment', 'BUILDING' FROM b UNION SELECT c, 'inNation', n FROM b UNION SELECT n, 'rdf:type', 'Nation' FROM b""")
+def building_subgraph(spark, sf_dir):
+    """Q14."""
+    return Graph(star_triples(spark, sf_dir)).construct(BUILDING).select("s", "p", "o")
+
+
+@query("""WITH c AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING')
+SELECT 'placedBy' AS p, count(*) AS n FROM orders JOIN c ON o_custkey = c_custkey UNION ALL SELECT 'inNation', count(*) FROM c UNION ALL SELECT 'segment', count(*) FROM c
+UNION ALL SELECT 'nationName', count(*) FROM nation""")
+def without_building(spark, sf_dir):
+    """Q15: all triples in and out of the matched nodes go."""
+    left = Graph(star_triples(spark, sf_dir)).delete(BUILDING, "all")
+    return left.where("p in ('placedBy', 'inNation', 'segment', 'nationName')").groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'urn:x#customer/' || c_custkey AS s, 'inNation' AS p, 'urn:x#nation/3' AS o, 'Customer' AS neighbour_class FROM customer WHERE c_nationkey = 3
+UNION SELECT 'urn:x#nation/3', 'inRegion', 'urn:x#region/' || n_regionkey, 'Region' FROM nation WHERE n_nationkey = 3 UNION SELECT 'urn:x#nation/3', 'nationName', n_name, NULL FROM nation WHERE n_nationkey = 3""")
+def around_nation(spark, sf_dir):
+    """Q18."""
+    return Graph(star_triples(spark, sf_dir)).connected_triples("urn:x#nation/3")
+
+
+@query("""SELECT 'urn:x#nation/' || n_nationkey AS s, 'Nation' AS cls, 'inRegion' AS p, 'urn:x#region/' || n_regionkey AS o, 'Region' AS o_cls FROM nation
+UNION SELECT 'urn:x#order/' || o_orderkey, 'Order', 'status', o_orderstatus, NULL FROM orders""")
+def region_and_status_rows(spark, sf_dir):
+    """Q19."""
+    return Graph(star_triples(spark, sf_dir)).instance_table([("Nation", "inRegion"), ("Order", "status")])
+
+
+@query("""SELECT DISTINCT 'urn:x#customer/' || c_custkey AS s, 'Customer' AS cls FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3""")
+def building_in_nation(spark, sf_dir):
+    """Q22."""
+    return Graph(star_triples(spark, sf_dir)).find_instance({"segment": "BUILDING", "inNation": "urn:x#nation/3"})
+
+
+@query("""WITH n AS (SELECT count(*) FILTER (c = 0) AS lonely, count(*) AS nations FROM (SELECT n_nationkey, count(c_custkey) AS c FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1))
+SELECT 'entities' AS what, nations + (SELECT count(*) FROM customer) AS n FROM n UNION ALL SELECT 'relations', count(*) FROM customer UNION ALL SELECT 'components', nations FROM n UNION ALL SELECT 'isolated', lonely FROM n""")
+def nation_graph_summary(spark, sf_dir):
+    """G14, G15."""
+    c = table(spark, sf_dir, "customer")
+    customer, nation = F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")
+    entities = c.select(customer.alias("entity_id")).unionAll(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey")))
+    relations = c.select(customer.alias("source_entity"), nation.alias("target_entity"))
+    return graphmerge.graph_summary(entities, relations, graphmerge.graph_components(entities, relations))
+
+
+@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS balance FROM customer UNION ALL SELECT c_custkey + 100000000, c_name, 0.0 FROM customer WHERE c_custkey % 10 = 0""")
+def balances_upserted(spark, sf_dir):
+    """Every tenth customer is settled, and has a new account."""
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").alias("balance"))
+    tenth = old.where("c_custkey % 10 = 0").withColumn("balance", F.lit(0.0))
+    new = tenth.unionByName(tenth.withColumn("c_custkey", F.col("c_custkey") + 100_000_000))
+    return graphmerge.upsert_by_key(old, new, "c_custkey", "c_name")
+
+
+@query("""SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'an') OR contains(lower(p_type), 'an')""")
+def parts_with_substring(spark, sf_dir):
+    """B5."""
+    return tableprep.subset_substring(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "AN", ["p_name", "p_type"])

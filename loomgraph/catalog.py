@@ -7,30 +7,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import audit, content, extraction, graphmerge, retrieval, tableprep, timeseries
 from loomgraph.plans.pattern import Graph, Link, Node, Prop, Where, select
+from loomgraph.registry import queries, oracle_sql, query  # noqa: F401  (the catalogue is read from here)
 from loomgraph.runtime import stage, table
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # Triples made of the star schema: the mappings serve the pattern, audit and load queries.
 
 CUSTOMER = tableprep.Mapping("customer", "Customer", [("text", "urn:x#customer/"), "c_custkey"], {"custName": (["c_name"], "string"), "segment": (["c_mktsegment"], "string"), "balance": (["c_acctbal"], "double")}, {"inNation": "nation"})

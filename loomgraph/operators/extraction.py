@@ -60,7 +60,7 @@ def extract_steps(blocks: DataFrame, keywords=STEPS) -> DataFrame:
     name = F.lit(None).cast("string")
     for k in reversed(keywords):
         name = F.when(F.contains("text", F.lit(k)), F.lit(k)).otherwise(name)
-    w = W.partitionBy("doc_id").orderBy("seq")
+    w = W.partitionBy("doc_id").orderBy("seq", "block_id")
     out = blocks.withColumn("name", name).where("name is not null").withColumn("step_id", F.concat(F.lit("step_"), F.row_number().over(w).cast("string")))
     around = lambda f: F.coalesce(f("step_id").over(w), F.lit(""))
     return out.select("doc_id", "seq", "step_id", "name", F.trim("text").alias("description"), "page", F.col("block_id").alias("source_block_id"), around(F.lag).alias("before"), around(F.lead).alias("next_step"))

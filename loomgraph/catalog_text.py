@@ -278,3 +278,17 @@ def user_contexts(spark, sf_dir):
     """Eight blocks don't fit into the budget."""
     hits = _hits(spark, sf_dir).withColumnRenamed("record_id", "key")
     return retrieval.build_context(hits, 8, 256).select("query_id", F.sha1(F.col("context").cast("binary")).alias("h"), "used")
+
+
+@query("""SELECT p_partkey AS doc_id, 0 AS match_no, 'Reamer' AS tool_name FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 1, '夹具' FROM part WHERE p_size % 2 = 0""")
+def part_tools(spark, sf_dir):
+    """Either case, and two tools of one block."""
+    text = F.when(F.col("p_size") % 2 == 0, "a Reamer in a 夹具").otherwise("by hand")
+    return extraction.extract_tools(_statements(table(spark, sf_dir, "part"), "p_partkey", "p_size", text)).select("doc_id", "match_no", "tool_name")
+
+
+@query("""SELECT p_partkey AS doc_id, '尺寸检查 ' || p_size AS inspection_text FROM part WHERE p_size > 25""")
+def part_inspections(spark, sf_dir):
+    """X4."""
+    text = F.concat(F.when(F.col("p_size") > 25, " 尺寸检查 ").otherwise(" size "), F.col("p_size").cast("string"))
+    return extraction.extract_inspections(_statements(table(spark, sf_dir, "part"), "p_partkey", "p_size", text)).select("doc_id", "inspection_text")

@@ -20,8 +20,11 @@ def rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more, by dictionaries from the labelled documents among them."""
-    model = train_quality(docs, table(spark, sf_dir, "labels"), "quality", ~in_fold("doc_id", 5, 0))
+    """Documents that score 0.3 or more, by dictionaries from the labelled documents of the whole table.
+
+    The rules keep next to no document labelled bad, so ``docs`` alone has nothing to learn bad texts from.
+    """
+    model = train_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", ~in_fold("doc_id", 5, 0))
     return with_quality(docs, model, out="_quality").where("_quality >= 0.3").select(docs.columns)
 
 

@@ -284,5 +284,23 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_quality_stage_learns_from_what_the_rules_reject(spark, tmp_path):
+    from loomgraph.llm import stages
+
+    r = random.Random(10)
+    words = {1: "alpha beta gamma delta river stone light water green house walks slowly", 0: "casino bonus prize viagra click winner poker loans cheap deals offer clicks"}
+    text = lambda y: " ".join(r.choice(words[y].split()) for _ in range(120))
+    rows = [(i, text(1), "en", "s0", 0) for i in range(300)]  # labelled good where the id is below 200
+    rows += [(1000 + i, text(0) + " $$ || ##" * 40, "en", "s0", 0) for i in range(60)]  # labelled bad, and the rules see it
+    rows += [(2000 + i, text(0), "en", "s0", 0) for i in range(20)]  # bad without a label, and the rules don't
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 200)) for i, *_ in rows if i < 200 or 1000 <= i < 2000], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    ruled = stages.rules_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    into = {x.doc_id for x in ruled.select("doc_id").collect()}
+    assert not any(1000 <= i < 2000 for i in into) and sum(i >= 2000 for i in into) >= 15
+    out = {x.doc_id for x in stages.quality_stage(spark, ruled, str(tmp_path)).select("doc_id").collect()}
+    assert not any(i >= 2000 for i in out) and {i for i in into if i < 1000} == out
+
+
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))

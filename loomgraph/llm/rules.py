@@ -25,8 +25,13 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 #: Growth of the buckets' bounds: quantiles are within 1 % of a value.
 GAMMA = 1.02
-#: For each measure: the least upper bound, and whether there is a lower bound too.
+#: For each measure: the least reach of its quartiles' fence, and whether there is a lower bound too.
 MEASURES = {"symbols": (0.2, False), "dup_lines": (0.45, False), "repeats": (0.45, False), "word_length": (1.0, True)}
+#: One-sided measures are mostly zero, so their quartiles say nothing of a source's habits: the tail does. For each the
+#: least upper bound, which holds where hardly a text has any.
+TAIL_FLOORS = {"symbols": 0.05, "dup_lines": 0.1, "repeats": 0.05}
+#: Buckets of the sketch that a value may lie above its source's q99.
+TAIL_MARGIN = 10
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -128,18 +133,23 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> Dat
 def thresholds(sketches: DataFrame, least_rows: int = 200, reach: float = 6.0) -> DataFrame:
     """(lang, source, <measure>_low, <measure>_high): quartiles widened by ``reach`` times their distance.
 
-    A language and source with fewer than ``least_rows`` texts takes its language's thresholds.
+    One-sided measures end at q99 plus ``TAIL_MARGIN`` buckets if that is less: the tail follows the source,
+    and the fence holds where junk is more than a hundredth of it or texts are too few for a tail.  A language and source with fewer than ``least_rows`` texts takes its language's thresholds.
     """
-    at = {"q25": 0.25, "q75": 0.75}
+    at = {"q25": 0.25, "q75": 0.75, "q99": 0.99}
     spread = (F.col("q75") - F.col("q25")) * reach
     floor = F.lit(0.0)
     for m, (least, _) in MEASURES.items():
         floor = F.when(F.col("measure") == m, F.lit(least)).otherwise(floor)
+    least_tail = F.lit(0.0)
+    for m, least in TAIL_FLOORS.items():
+        least_tail = F.when(F.col("measure") == m, F.lit(least)).otherwise(least_tail)
+    tail = F.greatest(F.col("q99") * F.lit(GAMMA**TAIL_MARGIN), least_tail)
     two_sided = F.col("measure").isin([m for m, (_, both) in MEASURES.items() if both])
     fences = lambda df: (
-        df.withColumn("high", F.when(two_sided, F.col("q75") + F.greatest(spread, floor)).otherwise(F.greatest(F.col("q75") + spread, floor)))
+        df.withColumn("high", F.when(two_sided, F.col("q75") + F.greatest(spread, floor)).otherwise(F.least(F.greatest(F.col("q75") + spread, floor), tail)))
         .withColumn("low", F.when(two_sided, F.col("q25") - F.greatest(spread, floor)).otherwise(F.lit(-1.0)))
-        .drop("q25", "q75")
+        .drop("q25", "q75", "q99")
     )
     own, by_lang = fences(quantiles(sketches, ["lang", "source"], at)), fences(quantiles(sketches, ["lang"], at))
     both = own.join(by_lang.select("lang", "measure", F.col("low").alias("l_low"), F.col("high").alias("l_high")), ["lang", "measure"])

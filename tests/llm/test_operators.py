@@ -223,6 +223,24 @@ def test_sketch_quantiles_are_close(spark):
     assert abs(got.q / want - 1) < 0.011 and got["rows"] == 2000
 
 
+def test_limits_follow_each_source(spark):
+    r = random.Random(11)
+    rows = []  # of 100 words and 100 lines: in "dup" each text has duplicate lines and repeats, in "clean" hardly one, in "junk" a tenth has symbols
+    for i in range(1500):
+        s, odd = ("clean", "dup", "junk")[i % 3], i < 30
+        many = {"clean": 30 if odd else 0, "dup": r.randrange(10, 26), "junk": 0}[s]
+        rows.append((i, s, 100, 500, 250 if s == "junk" and i < 150 else 0, many if i < 15 else 0 if s == "clean" else many, many if i >= 15 else 0 if s == "clean" else many, 100))
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    lang, source = F.lit("en"), F.col("source")
+    limits = rules.thresholds(rules.sketch(df, lang, source))
+    by = {x.source: x for x in limits.collect()}
+    for m in ("dup_lines", "repeats"):  # 5 of the clean texts, a hundredth, are extreme for their source though not for another
+        assert by["clean"][f"{m}_high"] < 0.2 and 0.25 < by["dup"][f"{m}_high"] < 0.35
+    assert by["junk"].symbols_high < 2.5
+    kept = {x.doc_id for x in rules.judged(df, limits, lang, source).where("kept").select("doc_id").collect()}
+    assert {x[0] for x in rows} - kept == {x[0] for x in rows if x[1] == "clean" and x[0] < 30 or x[4]}
+
+
 def test_simhash_against_brute_force(spark):
     r = random.Random(8)
     base = [r.getrandbits(64) for _ in range(40)]

@@ -212,6 +212,30 @@ def benchmark_keywords(spark, sf_dir):
     return retrieval.extract_keywords(_questions(spark, sf_dir)).select("query_id", F.array_join("keywords", " ").alias("keywords"), F.size("high").alias("high"))
 
 
+def _whole_questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("""WITH q AS (SELECT item_id AS query_id, lower(trim(text)) AS q FROM benchmark), t AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) AS ws FROM q WHERE q <> ''),
+d AS (SELECT doc_id AS record_id, lower(text) AS x FROM documents),
+s AS (SELECT query_id, record_id, round((CASE WHEN contains(x, q) THEN 5.0 ELSE 0.0 END) + 2.0 * len(list_filter(ws, lambda w: contains(x, w))) / len(ws), 6) AS score FROM t, d),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT query_id, record_id, CAST(score AS DOUBLE) AS score, rank FROM r WHERE rank <= 10""")
+def benchmark_lexical_whole(spark, sf_dir):
+    """R2: the whole texts of benchmark, where benchmark_lexical asks for their first 60 characters."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    return retrieval.lexical_search(_whole_questions(spark, sf_dir), docs).select("query_id", "record_id", "score", "rank")
+
+
+@query("""WITH q AS (SELECT item_id AS query_id, regexp_extract_all(trim(text), '([A-Za-z][A-Za-z0-9_\\-]{1,})', 1) AS raw FROM benchmark),
+w AS (SELECT query_id, list_filter(raw, lambda w: NOT list_contains(['a','an','the','is','are','was','were','be','to','of','for','and','or','in','on','at','with','by','from','what','how','why','when','where','which','who'], lower(w))) AS ws FROM q),
+k AS (SELECT query_id, list_filter(ws, lambda w, i: NOT list_contains(list_transform(ws[1 : i - 1], lambda v: lower(v)), lower(w)))[1 : 12] AS ks FROM w)
+SELECT query_id, array_to_string(ks, ' ') AS keywords, CAST(len(ks[1 : greatest(1, len(ks) // 2)]) AS INTEGER) AS high FROM k""")
+def benchmark_keywords_whole(spark, sf_dir):
+    """Likewise of the whole texts."""
+    return retrieval.extract_keywords(_whole_questions(spark, sf_dir)).select("query_id", F.array_join("keywords", " ").alias("keywords"), F.size("high").alias("high"))
+
+
 @query("""WITH e AS (SELECT 'entity:c' || c_custkey AS result_id, 'c' || c_custkey || ' ' || c_name || ' ' || c_mktsegment AS text FROM customer),
 h AS (SELECT r_regionkey AS query_id, result_id, text, len(list_filter(['building', '00' || r_regionkey], lambda w: contains(lower(text), w))) / 2.0 AS share, 'entity' AS result_type FROM e, region
 UNION ALL SELECT r.r_regionkey, 'relation:' || n_name || '->' || n.r_name || ':r' || n_nationkey, n_name || ' ' || n.r_name || ' located in', 1.0, 'relation' FROM region r, (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey) n

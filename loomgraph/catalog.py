@@ -310,6 +310,20 @@ def order_window(spark, sf_dir):
     return timeseries.where_values(timeseries.select_tags(o, "o_orderdate", {"o_totalprice": "price", "o_orderkey": "k"}), [("price", ">", 250000.0), ("k", "<", 1000)], "OR")
 
 
+@query("""SELECT user_id, min(ts) AS timestamp, avg(value) AS value FROM events GROUP BY user_id""")
+def event_averages_all(spark, sf_dir):
+    """M5 over all users, where event_averages shows the constraint on the group column."""
+    return timeseries.average_by(table(spark, sf_dir, "events").select("ts", "user_id", "value"), "ts", "user_id", ["value"])
+
+
+@query("""SELECT o_orderdate AS timestamp, o_totalprice AS price, o_orderkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1995-03-01 00:00:00'
+AND (o_totalprice > 250000 OR o_totalprice < 20000)""")
+def order_window_by_value(spark, sf_dir):
+    """M1-M3 with conditions on the value alone, where order_window has one on the key."""
+    o = timeseries.where_time(table(spark, sf_dir, "orders"), "o_orderdate", (">=", "1995-01-01 00:00:00"), ("<", "03/01/1995 00:00:00"))
+    return timeseries.where_values(timeseries.select_tags(o, "o_orderdate", {"o_totalprice": "price", "o_orderkey": "k"}), [("price", ">", 250000.0), ("price", "<", 20000.0)], "OR")
+
+
 # More of the graph
 
 

@@ -1,7 +1,8 @@
 """Retrieval for batches of queries: search, fusion, reranking, context.
 
-Every frame is keyed by query_id.  Query frames are small next to a corpus, so search broadcasts them only
-behind a count of at most ``max_queries``; more are an error to be split by the caller.
+Every frame is keyed by query_id.  Word search broadcasts at most ``BLOCK_QUERIES`` queries; more are dealt to
+blocks of about that size, each of which meets each part of the records in a task of its own.  Vector search
+always deals queries to blocks and records to shards.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.functions.text import blank_to_null, first_filled
+from loomgraph.runtime import stage
 
 # Words that are no keywords.
 EN_STOPWORDS = ["a", "an", "the", "is", "are", "was", "were", "be", "to", "of", "for", "and", "or", "in", "on", "at", "with", "by", "from", "what", "how", "why", "when", "where", "which", "who"]
@@ -23,10 +25,14 @@ RERANK_WEIGHTS = {"vector": 1.0, "graph": 1.1, "keyword": 0.9, "vision": 1.0}
 TURN_ORDER = ["vector", "graph", "keyword", "vision"]
 
 
-def _small(queries: DataFrame, max_queries: int = 10_000) -> DataFrame:
-    if len(queries.take(max_queries + 1)) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search them in parts")
-    return F.broadcast(queries)
+#: Queries that one task of word search holds.
+BLOCK_QUERIES = 10_000
+
+
+def _blocks(queries: DataFrame, block: int = BLOCK_QUERIES) -> DataFrame:
+    """The queries for a cross join: broadcast if few, else in partitions of about ``block``."""
+    n = queries.count()
+    return F.broadcast(queries) if n <= block else queries.repartition(-(-n // block))
 
 
 def top_k(df: DataFrame, k: int, *order) -> DataFrame:
@@ -51,37 +57,36 @@ def lexical_search(queries: DataFrame, records: DataFrame, k: int = 10) -> DataF
     q = queries.select("query_id", F.lower(F.trim("query")).alias("_q")).withColumn("_t", F.array_distinct(F.filter(F.split("_q", r"\s+"), lambda w: w != ""))).where("_q != ''")
     hits = F.size(F.filter("_t", lambda t: F.contains("_x", t)))
     score = F.when(F.contains("_x", F.col("_q")), F.lit(5.0)).otherwise(F.lit(0.0)) + 2.0 * hits / F.size("_t")
-    found = records.select("record_id", "text", F.lower("text").alias("_x")).crossJoin(_small(q)).withColumn("score", F.round(score, 6)).where("score > 0")
+    found = records.select("record_id", "text", F.lower("text").alias("_x")).crossJoin(_blocks(q)).withColumn("score", F.round(score, 6)).where("score > 0")
     return top_k(found.select("query_id", "record_id", "score", "text"), k, F.desc("score"), "record_id")
 
 
-def vector_search(queries: DataFrame, records: DataFrame, k: int = 10, max_queries: int = 10_000) -> DataFrame:
-    """Cosine over all records: a block product per Arrow batch keeps k per query, then one merge."""
-    rows = queries.select("query_id", "vector").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError("too many queries for one pass")
-    ids = [r.query_id for r in rows]
-    q = np.array([r.vector for r in rows], np.float64).reshape(len(ids), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    sent = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(parts):
-        names, unit = sent.value
-        for pdf in parts:
-            pdf = pdf[pdf["vector"].notna()]
-            if not len(pdf) or not names:
-                continue
-            v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            scores = np.round(unit @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 6)
-            rec = pdf["record_id"].to_numpy()
-            by_id = np.argsort(rec, kind="stable")
-            for i, name in enumerate(names):
-                s = scores[i][by_id]
-                at = np.argsort(-s, kind="stable")[:k]
-                yield pd.DataFrame({"query_id": name, "record_id": rec[by_id][at], "score": s[at]})
-
-    kinds = dict(records.dtypes)["record_id"]
-    found = records.select("record_id", "vector").mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, record_id {kinds}, score double")
+def vector_search(queries: DataFrame, records: DataFrame, k: int = 10, block_rows: int = 2_000, shard_rows: int = 20_000) -> DataFrame:
+    """Cosine over all records, for any number of queries.
+
+    Each block of queries meets each shard of records in a task of its own, which keeps k per query; then one merge.
+    Null vectors take no part.
+    """
+    asked = stage(queries.select("query_id", "vector").where("vector is not null"), "queries")
+    base = stage(records.select("record_id", "vector").where("vector is not null"), "records")
+    blocks, shards = max(1, -(-asked.count() // block_rows)), max(1, -(-base.count() // shard_rows))
+    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    unit = lambda col: (v := np.stack(col.to_numpy()).astype(np.float64)) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def meet(q, c):
+        got = [pd.DataFrame({"query_id": q["query_id"][:0], "record_id": c["record_id"][:0], "score": np.empty(0)})]
+        if len(q) and len(c):
+            c = c.sort_values("record_id", kind="stable")
+            rec, v, asks, names = c["record_id"].to_numpy(), unit(c["vector"]).T, unit(q["vector"]), q["query_id"].to_numpy()
+            for a in range(0, len(names), 256):
+                scores = np.round(asks[a : a + 256] @ v, 6)
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(scores, at, 1)
+                got.append(pd.DataFrame({"query_id": np.repeat(names[a : a + 256], at.shape[1]), "record_id": rec[at].reshape(-1), "score": best.reshape(-1)}))
+        return pd.concat(got[1:] or got)
+
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, record_id {dict(records.dtypes)['record_id']}, score double"
+    found = deal(asked, "block", blocks, "shard", shards).groupBy("block", "shard").cogroup(deal(base, "shard", shards, "block", blocks).groupBy("block", "shard")).applyInPandas(meet, kinds)
     return top_k(found, k, F.desc("score"), "record_id")
 
 
@@ -93,7 +98,7 @@ def graph_search(queries: DataFrame, entities: DataFrame, relations: DataFrame,
         q = queries.select("query_id", F.transform(F.col(words), F.lower).alias("_w")).where(F.size("_w") > 0)
         hits = F.size(F.filter("_w", lambda w: (w != "") & F.contains("_x", w)))
         score = F.round(hits / F.size("_w") + F.least(F.length("text"), F.lit(200)) / 2000, 6)
-        return rows.crossJoin(_small(q)).where(hits > 0).select("query_id", "result_id", score.alias("score"), "text", F.lit(kind).alias("result_type"))
+        return rows.crossJoin(_blocks(q)).where(hits > 0).select("query_id", "result_id", score.alias("score"), "text", F.lit(kind).alias("result_type"))
 
     e = search(entities, F.concat(F.lit("entity:"), "entity_id"), F.concat_ws(" ", "entity_id", "entity_name", "description"), "low", "entity")
     r = search(relations, F.concat(F.lit("relation:"), "source_entity", F.lit("->"), "target_entity", F.lit(":"), F.coalesce("relation_id", F.lit(""))), F.concat_ws(" ", "source_entity", "target_entity", "description", "keywords"), "high", "relation")

@@ -20,48 +20,74 @@ def whole_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) ->
     )
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
+def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length to (ids, matrix), rows in order of id."""
+    lists = rows["v"].combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.int64)
+    ids, sizes = rows["vec_id"].to_numpy(), np.diff(lists.offsets.to_numpy())
+    out = {}
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        at = at[np.argsort(ids[at], kind="stable")]
+        out[int(size)] = ids[at], lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
+    return out
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer products; by doubles, which BLAS multiplies, where no sum can leave their whole numbers."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**53:
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * q.shape[1]
+    if most < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if most < 2**62:
+        return q @ c.T
+    exact = q.astype(object) @ c.astype(object).T  # Python's whole numbers, which don't wrap
+    if max(abs(x) for x in exact.reshape(-1)) >= 2**63 - 1:
+        raise OverflowError("an inner product is beyond a 64-bit number")
+    return exact.astype(np.int64)
+
+
+_NONE = np.iinfo(np.int64).min
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of each row's k highest scores, ties to the smaller id; ``_NONE`` is no score."""
+    bound = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] > k else np.full(len(scores), _NONE)
+    row, col = np.nonzero((scores >= bound[:, None]) & (scores > _NONE))
+    return _first_k(row, ids[row, col], scores[row, col], k)
+
+
+def _first_k(row, ids, scores, k):
+    order = np.lexsort((ids, -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    first = np.searchsorted(row, row, side="left")
+    keep = np.arange(len(row)) - first < k
+    return row[keep], ids[keep], scores[keep]
 
 
 def tile_top(queries: pa.Table, shard: pa.Table, k: int, rows: int = 8192, tile: int = 512) -> pa.Table:
-    """The k best of a shard for each query, ties to the smaller id; ``rows`` by ``tile`` products at a time."""
-    out = [[], [], []]
+    """The k best of a shard for each query, ties to the smaller id; ``rows`` by ``tile`` products at a time.
+
+    Rows of the query's own id are taken out before the selection, however many there are, and vectors of
+    another length than the query's have no product with it.
+    """
+    out = []
     if queries.num_rows and shard.num_rows:
-        order = np.argsort(shard["vec_id"].to_numpy(), kind="stable")
-        ids, c = shard["vec_id"].to_numpy()[order], _matrix(shard["v"])[order]
-        q_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["v"])
-        for a in range(0, len(q), tile):
-            block = q[a : a + tile]
-            best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(block)
-            for b in range(0, len(c), rows):
-                scores, part = _products(block, c[b : b + rows]), ids[b : b + rows]
-                for i, own in enumerate(q_ids[a : a + tile]):
-                    s = scores[i]
-                    if len(s) > k + 1:  # one may be the query itself
-                        bound = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                        at = np.flatnonzero(s > bound)
-                        at = np.concatenate([at, np.flatnonzero(s == bound)[: k + 1]])
-                    else:
-                        at = np.arange(len(s))
-                    at = at[part[at] != own]
-                    got_s, got_i = np.concatenate([best[i][0], s[at]]), np.concatenate([best[i][1], part[at]])
-                    top = np.lexsort((got_i, -got_s))[:k]
-                    best[i] = got_s[top], got_i[top]
-            for own, (s, i) in zip(q_ids[a : a + tile], best, strict=True):
-                out[0].append(np.full(len(s), own))
-                out[1].append(i)
-                out[2].append(s)
-    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+        known = _by_length(shard)
+        for size, (q_ids, q) in _by_length(queries).items():
+            if size not in known:
+                continue
+            ids, c = known[size]
+            for a in range(0, len(q), tile):
+                own, found = q_ids[a : a + tile], (np.empty(0, np.int64),) * 3
+                for b in range(0, len(c), rows):
+                    part, scores = ids[b : b + rows], _products(q[a : a + tile], c[b : b + rows])
+                    low, high = np.searchsorted(part, own, "left"), np.searchsorted(part, own, "right")
+                    for i in np.flatnonzero(high > low):
+                        scores[i, low[i] : high[i]] = _NONE
+                    got = _best(scores, np.broadcast_to(part, scores.shape), k)
+                    found = _first_k(*(np.concatenate(x) for x in zip(found, got, strict=True)), k)
+                out.append((own[found[0]], found[1], found[2]))
+    flat = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
     return pa.table([pa.array(x, pa.int64()) for x in flat], names=["query_id", "vec_id", "score"])
 
 
@@ -72,10 +98,10 @@ def exact_top_k(
 
     Scores are inner products of floor(scale * x); ties go to the smaller id.  Queries are dealt to
     tiles and vectors to shards of bounded size; every tile meets every shard in a task of its own,
-    and the lists of shards merge ``fan`` at a time.  Vectors must have one length (shorter or longer
-    ones are an error); null ids and vectors that are null, empty or not finite take no part.  A repeated
-    query id keeps its least vector; a repeated vector id keeps all its rows.  No rows give no rows;
-    other columns are ignored.
+    and the lists of shards merge ``fan`` at a time.  A query meets vectors of its own length only.  Null ids
+    and vectors that are null, empty or not finite take no part.  A repeated query id keeps its least vector
+    and meets none of the rows of its id; a repeated vector id keeps all its rows.  A score that no long
+    holds is an error.  No rows give no rows; other columns are ignored.
     """
     base = stage(whole_vectors(vectors, id_col, vector_col, scale), "vectors")
     asked = stage(whole_vectors(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
@@ -111,6 +137,7 @@ def exact_top_k(
 
 
 def op7_exact_top_k(spark, sf_dir: str) -> DataFrame:
+    """The five nearest of all ``embeddings`` to each whose vec_id is divisible by 50; nulls as in ``exact_top_k``."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_top_k(rows, rows.where("vec_id % 50 = 0"))
 

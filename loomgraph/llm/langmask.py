@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import in_fold, raw_texts
-from loomgraph.runtime import stage, table
+from loomgraph.runtime import table
 
 PROBES = 3
-MAX_LANGUAGES = 63  # a mask is one signed 64-bit number
+WORD = 62  # languages in one mask word, a signed 64-bit number
 
 
 def ngrams(text: bytes, size: int) -> np.ndarray:
@@ -54,107 +54,69 @@ def _slots(h: np.ndarray, bits: int):
         return [((h + np.uint64(i) * step) >> np.uint64(5)) & np.uint64((1 << bits) - 1) for i in range(PROBES)]
 
 
-def _counted(batches, size: int):
-    """(lang, text) to (lang, gram, n), summed within a batch."""
+def _distinct(batches, size: int):
+    """(number, text) to (gram, number), distinct within a batch."""
     for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-            by.setdefault(lang, []).append(ngrams(text, size))
-        for lang, parts in by.items():
-            grams, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))],
-                ["lang", "gram", "n"],
-            )
+        by: dict[int, list[np.ndarray]] = {}
+        for number, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+            by.setdefault(number, []).append(ngrams(text, size))
+        for number, parts in by.items():
+            grams = np.unique(np.concatenate(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), number, np.int32))], ["gram", "number"])
 
 
 def _set_slots(batches, bits: int):
-    """(gram, mask) to (slot, mask)."""
+    """(gram, number of a language that holds it) to (slot, word, mask), one row for each slot of a batch."""
     for batch in batches:
         grams = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        mask = batch.column(1).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(_slots(grams, bits)).view(np.int64)), pa.array(np.tile(mask, PROBES))], ["slot", "mask"]
-        )
+        number = batch.column(1).to_numpy(zero_copy_only=False)
+        for lang in np.unique(number):
+            slot = np.unique(np.concatenate(_slots(grams[number == lang], bits))).view(np.int64)
+            word, bit = divmod(int(lang), WORD)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(len(slot), word)), pa.array(np.full(len(slot), 1 << bit))], ["slot", "word", "mask"])
 
 
 def train_filter(
-    docs: DataFrame,
-    keep: Column,
-    lang_col: str = "lang",
-    text_col: str = "text",
-    size: int = 4,
-    bits: int = 20,
-    per_language: int = 4000,
-    share: float = 0.25,
-    least: int = 3,
+    docs: DataFrame, keep: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", size: int = 5, bits: int = 20, per_language: int = 4000
 ) -> dict:
-    """Fit the filter on at most about ``per_language`` whole texts a language, chosen by hash.
+    """Fit the filter on about ``per_language`` whole texts a language at most, chosen by hash of id and text.
 
-    A language holds an n-gram that it has ``least`` times at least and at ``share`` or more of the
-    greatest relative frequency that any language has.  The filter has 2**bits slots whatever the
-    input, so it may be broadcast; only it and one row a language come to the driver.
+    A language's bit is set for every n-gram that occurs in its texts.  There is a word of 62 languages for each
+    62, and each has 2**bits slots whatever the input, so the filter may be broadcast; only it and one row a
+    language come to the driver.
     """
     given = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
+        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    counts = {r.lang: r.n for r in given.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r.lang: r.n for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
+    slots = np.zeros((-(-len(langs) // WORD), 1 << bits), np.int64)
     if not langs:
-        return {"langs": [], "size": size, "bits": bits, "slots": np.zeros(1 << bits, np.int64), "rates": [], "prior": None}
-    draw = F.shiftrightunsigned(F.xxhash64("text"), 1) / F.lit(float(1 << 63))
-    part = F.lit(0.0)
-    for lang, n in counts.items():
-        part = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(part)
-    number = F.lit(0)
-    for i, lang in enumerate(langs):
-        number = F.when(F.col("lang") == lang, F.lit(i)).otherwise(number)
-    grams = stage(
-        given.where(draw < part)
-        .mapInArrow(lambda x: _counted(x, size), "lang string, gram long, n long")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n")),
-        "language-ngrams",
-    )
-    totals = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    rate = F.lit(0.0)
-    for lang, n in totals.items():
-        rate = F.when(F.col("lang") == lang, F.col("n") / F.lit(float(n))).otherwise(rate)
-    held = (
-        grams.withColumn("rate", rate)
-        .groupBy("gram")
-        .agg(
-            F.max("rate").alias("top"),
-            F.array(*[F.max(F.when((F.col("lang") == x) & (F.col("n") >= least), F.col("rate"))) for x in langs]).alias("rates"),
-        )
-        .select(
-            "gram",
-            sum(
-                (F.when(F.col("rates")[i] >= F.col("top") * share, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(len(langs))),
-                F.lit(0).cast("long"),
-            ).alias("mask"),
-        )
-        .where("mask != 0")
-    )
-    slots = np.zeros(1 << bits, np.int64)
-    set_slots = held.mapInArrow(lambda x: _set_slots(x, bits), "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    got = set_slots.toArrow()  # 2**bits rows at most
-    slots[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    rates = [float(np.mean((slots >> i) & 1)) ** PROBES for i in range(len(langs))]
+        return {"langs": [], "size": size, "bits": bits, "slots": slots, "rates": [], "prior": None}
+    known = docs.sparkSession.createDataFrame([(x, i, min(1.0, per_language / counts[x])) for i, x in enumerate(langs)], "lang string, number int, share double")
+    draw = F.shiftrightunsigned(F.xxhash64("id", "text"), 1) / F.lit(float(1 << 63))
+    sample = given.join(F.broadcast(known), "lang").where(draw < F.col("share")).select("number", "text")
+    grams = sample.mapInArrow(lambda x: _distinct(x, size), "gram long, number int").distinct()
+    got = grams.mapInArrow(lambda x: _set_slots(x, bits), "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2**bits rows a word at most
+    slots[got.column(1).to_numpy(), got.column(0).to_numpy()] = got.column(2).to_numpy()
+    rates = [float(np.mean((slots[i // WORD] >> (i % WORD)) & 1)) ** PROBES for i in range(len(langs))]
     prior = max(langs, key=lambda x: (counts[x], x))
     return {"langs": langs, "size": size, "bits": bits, "slots": slots, "rates": rates, "prior": prior}
 
 
+def ngram_languages(grams: np.ndarray, model: dict) -> np.ndarray:
+    """For each n-gram (column) the mask words (rows) of all languages that hold it: its slots' AND."""
+    at = [s.view(np.int64) for s in _slots(grams, model["bits"])]
+    return np.stack([np.bitwise_and.reduce([word[s] for s in at]) for word in model["slots"]])
+
+
 def language_hits(text: bytes, model: dict) -> tuple[np.ndarray, int]:
     """Corrected hits for each language, and the number of n-grams."""
     grams = ngrams(text, model["size"])
-    if not len(grams):
-        return np.zeros(len(model["langs"])), 0
-    slots = model["slots"]
-    mask = np.bitwise_and.reduce([slots[s.view(np.int64)] for s in _slots(grams, model["bits"])])
-    hits = np.array([np.count_nonzero(mask & (1 << i)) for i in range(len(model["langs"]))], float)
+    if not len(grams) or not model["langs"]:
+        return np.zeros(len(model["langs"])), len(grams)
+    mask = ngram_languages(grams, model)
+    hits = np.array([np.count_nonzero(mask[i // WORD] & (1 << i % WORD)) for i in range(len(model["langs"]))], float)
     rates = np.array(model["rates"])
     return np.clip((hits - len(grams) * rates) / np.maximum(1 - rates, 1e-9), 0, None), len(grams)
 
@@ -183,15 +145,17 @@ def identify_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
 
     A null ``held_out`` is false.  Text that is null or has no letter is ``und`` with score 0, and so
     is all text if there is nothing to learn from; letters that no filter knows give the commonest
-    language with score 0.  Ties go to the language that sorts first.  Repeated rows are predicted
-    alike, an empty table gives no row, other columns are ignored.
+    language with score 0.  Ties go to the language that sorts first.  Any number of languages may be
+    learnt.  Whole texts are read, however long.  Repeated rows are predicted alike, an empty table gives no
+    row, other columns, ``fit``'s names among them, are ignored.
     """
     held = F.coalesce(held_out, F.lit(False))
-    model = docs.sparkSession.sparkContext.broadcast(train_filter(docs, ~held, lang_col, text_col, **fit))
+    model = docs.sparkSession.sparkContext.broadcast(train_filter(docs, ~held, id_col, lang_col, text_col, **fit))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(
         lambda x: _predict(x, model), "doc_id long, held_out boolean, lang_pred string, score double"
     )
 
 
 def op2_language_bitmask(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those not in fold 1 of 3; cases as in ``identify_languages``."""
     return identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), in_fold("doc_id", 3, 1))

@@ -21,6 +21,14 @@ def in_fold(col: str, mod: int, rest: int) -> Column:
     return F.coalesce(fold(col, mod) == rest, F.lit(False))
 
 
+def struct_name(taken, name: str) -> str:
+    """``name`` with as many underscores in front as make it and all that starts so free of ``taken`` columns."""
+    known = [c.lower() for c in taken]
+    while any(c.startswith(f"_{name}".lower()) for c in known):
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def sample_labelled(
     docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, max_chars: int
 ) -> tuple[list[tuple[bytes, int]], dict[int, int]]:

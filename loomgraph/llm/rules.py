@@ -4,6 +4,11 @@ A sketch is a table: values fall into buckets whose bounds grow by a fixed facto
 is all that is kept of it, sketches merge by adding counts, and a quantile is off by one per cent of its
 value at most.  Each language and source has sketches of its own; thin ones fall back on their
 language's.  Documents join their thresholds.
+
+No threshold is a fixed value.  Word length has a fence of quartiles on both sides.  The other measures are
+mostly zero, so that their tail counts: where a sketch has a wide empty stretch that parts off a
+hundredth to a quarter of the texts, those are another kind of text and the limit lies in that stretch; else
+it lies beyond the 99th percentile.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomgraph.llm.common import raw_texts
+from loomgraph.llm.common import raw_texts, struct_name
 from loomgraph.runtime import stage, table
 
 SYMBOLS = b"#*$%&|<>"
@@ -25,13 +30,14 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 #: Growth of the buckets' bounds: quantiles are within 1 % of a value.
 GAMMA = 1.02
-#: For each measure: the least reach of its quartiles' fence, and whether there is a lower bound too.
-MEASURES = {"symbols": (0.2, False), "dup_lines": (0.45, False), "repeats": (0.45, False), "word_length": (1.0, True)}
-#: One-sided measures are mostly zero, so their quartiles say nothing of a source's habits: the tail does. For each the
-#: least upper bound, which holds where hardly a text has any.
-TAIL_FLOORS = {"symbols": 0.05, "dup_lines": 0.1, "repeats": 0.05}
-#: Buckets of the sketch that a value may lie above its source's q99.
-TAIL_MARGIN = 10
+#: Each measure, and whether it has a lower bound too.
+MEASURES = {"symbols": False, "dup_lines": False, "repeats": False, "word_length": True}
+#: Shares of a text that are no more than this count as none when stretches of a sketch are compared.
+RESOLUTION = 0.02
+#: A stretch parts kinds of text if its ends differ by this factor, with this share of texts beyond it.
+STRETCH, LEAST_BEYOND, MOST_BEYOND = 8.0, 0.01, 0.25
+#: How far beyond the 99th percentile a limit lies otherwise.
+TAIL = 4 / 3
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -119,37 +125,44 @@ def sketch(counted: DataFrame, lang: Column, source: Column, prefix: str = "") -
     )
 
 
+def _value() -> Column:
+    """A bucket's middle; within 1 % of every value in it."""
+    return F.when(F.col("bucket") <= -(10**6), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * F.lit(2 / (GAMMA + 1)))
+
+
 def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
-    """Quantiles of merged sketches; a group's window holds its buckets, a few hundred at most."""
+    """Quantiles of merged sketches, and ``break``: the middle of the widest stretch that parts off a kind of
+    text, null without one.  A group's window holds its buckets, a few hundred at most."""
     merged = sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*keys, "measure")
-    running = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-    value = F.when(F.col("bucket") <= -(10**6), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * F.lit(2 / (GAMMA + 1)))
+    running = merged.select(
+        *keys, "measure", _value().alias("value"), F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("all"), F.lead(_value()).over(w.orderBy("bucket")).alias("next")
+    )
+    low, high = F.greatest("value", F.lit(RESOLUTION)), F.greatest("next", F.lit(RESOLUTION))
+    beyond = 1 - F.col("upto") / F.col("all")
+    parts = (high >= low * STRETCH) & (beyond >= LEAST_BEYOND) & (beyond <= MOST_BEYOND)
     return running.groupBy(*keys, "measure").agg(
-        F.max("all").alias("rows"), *[F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), value)).alias(n) for n, q in at.items()]
+        F.max("all").alias("rows"),
+        F.max_by(F.when(parts, F.sqrt(low * high)), F.when(parts, high / low)).alias("break"),
+        *[F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("value"))).alias(n) for n, q in at.items()],
     )
 
 
 def thresholds(sketches: DataFrame, least_rows: int = 200, reach: float = 6.0) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high): quartiles widened by ``reach`` times their distance.
+    """(lang, source, <measure>_low, <measure>_high).
 
-    One-sided measures end at q99 plus ``TAIL_MARGIN`` buckets if that is less: the tail follows the source,
-    and the fence holds where junk is more than a hundredth of it or texts are too few for a tail.  A language and source with fewer than ``least_rows`` texts takes its language's thresholds.
+    Two-sided measures: the quartiles, moved out by ``reach`` times their distance and by ten buckets at least.
+    One-sided ones: the break if there is one, else ``TAIL`` times the 99th percentile or the resolution.  A language
+    and source with fewer than ``least_rows`` texts takes its language's thresholds.
     """
     at = {"q25": 0.25, "q75": 0.75, "q99": 0.99}
     spread = (F.col("q75") - F.col("q25")) * reach
-    floor = F.lit(0.0)
-    for m, (least, _) in MEASURES.items():
-        floor = F.when(F.col("measure") == m, F.lit(least)).otherwise(floor)
-    least_tail = F.lit(0.0)
-    for m, least in TAIL_FLOORS.items():
-        least_tail = F.when(F.col("measure") == m, F.lit(least)).otherwise(least_tail)
-    tail = F.greatest(F.col("q99") * F.lit(GAMMA**TAIL_MARGIN), least_tail)
-    two_sided = F.col("measure").isin([m for m, (_, both) in MEASURES.items() if both])
-    fences = lambda df: (
-        df.withColumn("high", F.when(two_sided, F.col("q75") + F.greatest(spread, floor)).otherwise(F.least(F.greatest(F.col("q75") + spread, floor), tail)))
-        .withColumn("low", F.when(two_sided, F.col("q25") - F.greatest(spread, floor)).otherwise(F.lit(-1.0)))
-        .drop("q25", "q75", "q99")
+    two_sided = F.col("measure").isin([m for m, both in MEASURES.items() if both])
+    tail = F.coalesce("break", F.greatest("q99", F.lit(RESOLUTION)) * TAIL)
+    fences = lambda df: df.select(
+        *[c for c in df.columns if c not in (*at, "break")],
+        F.when(two_sided, F.greatest(F.col("q75") + spread, F.col("q75") * GAMMA**10)).otherwise(tail).alias("high"),
+        F.when(two_sided, F.least(F.col("q25") - spread, F.col("q25") / GAMMA**10)).otherwise(F.lit(-1.0)).alias("low"),
     )
     own, by_lang = fences(quantiles(sketches, ["lang", "source"], at)), fences(quantiles(sketches, ["lang"], at))
     both = own.join(by_lang.select("lang", "measure", F.col("low").alias("l_low"), F.col("high").alias("l_high")), ["lang", "measure"])
@@ -160,21 +173,26 @@ def thresholds(sketches: DataFrame, least_rows: int = 200, reach: float = 6.0) -
 
 
 def judged(counted: DataFrame, limits: DataFrame, lang: Column, source: Column, prefix: str = "", out: str = "kept") -> DataFrame:
-    """``counted`` and its verdict: false if the base rules fail or a measure is outside its thresholds."""
-    limits = limits.withColumnsRenamed({c: f"_limit_{c}" for c in limits.columns})
-    joined = counted.join(limits, (lang == F.col("_limit_lang")) & (source == F.col("_limit_source")), "left")
+    """``counted`` and its verdict: false if the base rules fail or a measure is outside its thresholds.
+
+    ``lang`` and ``source`` are expressions over ``counted``.  A group without thresholds has only base rules.
+    """
+    own = struct_name(counted.columns, "limit")
+    limits = limits.select(F.col("lang").alias(f"{own}_lang"), F.col("source").alias(f"{own}_source"), F.struct(*[c for c in limits.columns if c not in ("lang", "source")]).alias(own))
+    joined = counted.join(limits, (lang == F.col(f"{own}_lang")) & (source == F.col(f"{own}_source")), "left")
     outside = F.lit(False)
     for m, v in _measures(prefix).items():
-        outside = outside | F.coalesce((v > F.col(f"_limit_{m}_high")) | (v < F.col(f"_limit_{m}_low")), F.lit(False))
-    return joined.withColumn(out, ~(base_failed(prefix) | outside)).drop(*limits.columns)
+        outside = outside | F.coalesce((v > F.col(f"{own}.{m}_high")) | (v < F.col(f"{own}.{m}_low")), F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in counted.columns], (~(base_failed(prefix) | outside)).alias(out))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prefix: str = "rule_", carry_text: bool = True) -> DataFrame:
     """Every row of ``docs`` with its counts, ``<prefix>base_failed`` and ``<prefix>kept``.
 
     Thresholds come from all rows that pass the base rules.  Null text has no words and fails; a null
-    language or source is the group ''.  Repeated rows count each time and share a verdict.  An empty
-    table gives no row.  Existing columns stay; a clash with an added name is an error.
+    language or source is the group ''.  Repeated rows count each time and share a verdict; a value on a
+    limit is inside.  Whole texts are read, however long.  An empty table gives no row.  Existing columns stay;
+    a clash with an added name is an error, for which ``prefix`` is there.
     ``carry_text=False`` leaves the text out and stages the counts, so that texts are measured once.
     """
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col))
@@ -186,5 +204,6 @@ def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 
 def op9_adaptive_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document under its language's and source's thresholds; cases as in ``apply_rules``."""
     out = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry_text=False)
     return out.select("doc_id", *[F.col(f"rule_{c}").alias(c) for c in (*COUNTS[:5], "base_failed", "kept")])

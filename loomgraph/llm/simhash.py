@@ -44,7 +44,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` and each whole text's fingerprint as a signed long (the same 64 bits)."""
+    """``docs`` and each whole text's fingerprint as a signed long (the same 64 bits).
+
+    Null text is empty, and a text without a word has fingerprint 0; a text of any length is read whole.  Repeated
+    rows stay, an empty table gives no row; a column called like ``out`` is an error.
+    """
     if out in docs.columns:
         raise ValueError(f"there is a column {out} already")
 
@@ -120,7 +124,10 @@ def spanning_links(own: list[int], tree_of: list[int], radius: int) -> list[tupl
 
 
 def link_fingerprints(prints: DataFrame, shard_rows: int = 4096) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column ``fp``) that connect all within the radius."""
+    """(a, b): links between distinct fingerprints (column ``fp``) that connect all within the radius.
+
+    Fingerprints that repeat or are null have no part in links beyond the first; an empty table gives none.
+    """
     part = [F.shiftrightunsigned("fp", PART_BITS * i).bitwiseAND((1 << PART_BITS) - 1) for i in range(PARTS)]
     keys = [
         F.struct(F.lit(n).alias("pair"), (part[i] * (1 << PART_BITS) + part[j]).alias("value"))
@@ -171,16 +178,17 @@ def _links(links):
 
 
 def near_duplicates(printed: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint") -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint: the least id that links of fingerprints reach.
+    """(fp, component, component_id) of each distinct fingerprint: its component's least fingerprint and least id.
 
-    Ids that are all null give a null component; texts without a word share fingerprint 0 and so a component.
+    Ids that are all null give a null component_id; texts without a word share fingerprint 0 and so a component.
+    Repeated rows change nothing, an empty table gives no row.
     """
     prints = stage(printed.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first_id")), "prints")
     groups = connected_components(link_fingerprints(prints.select("fp")), "a", "b")
     grouped = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     grouped = stage(grouped, "print-groups")
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return grouped.join(least, "component").select("fp", "component_id")
+    return grouped.join(least, "component").select("fp", "component", "component_id")
 
 
 def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,4 +201,5 @@ def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op10_simhash_groups(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document; cases as in ``dedup_table``."""
     return dedup_table(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import in_fold
+from loomgraph.llm.common import in_fold, struct_name
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.raking import mix
 from loomgraph.llm.rules import apply_rules
@@ -16,7 +16,8 @@ from loomgraph.runtime import stage, table
 
 def rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their language's and source's thresholds."""
-    return apply_rules(docs, prefix="_rule_").where("_rule_kept").select(docs.columns)
+    own = struct_name(docs.columns, "rule")
+    return apply_rules(docs, prefix=f"{own}_").where(F.col(f"{own}_kept")).select(docs.columns)
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,20 +25,31 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The rules keep next to no document labelled bad, so ``docs`` alone has nothing to learn bad texts from.
     """
+    own = struct_name(docs.columns, "quality")
     model = train_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", ~in_fold("doc_id", 5, 0))
-    return with_quality(docs, model, out="_quality").where("_quality >= 0.3").select(docs.columns)
+    return with_quality(docs, model, out=own).where(F.col(own) >= 0.3).select(docs.columns)
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the least id, once; groups without any id go."""
-    printed = stage(with_fingerprints(docs.select("doc_id", "text"), out="_fp").drop("text"), "fingerprints")
-    kept = near_duplicates(printed, fp_col="_fp").select(F.col("component_id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each near-duplicate group: the least id's, or one without an id if none has any.
+
+    Of a group's rows that share that id the one with the least hash of all its columns stays, so that no row of
+    another group takes its place; whole rows that are equal stay once.
+    """
+    own = struct_name(docs.columns, "fp")
+    hashed = docs.withColumn(f"{own}_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    printed = stage(with_fingerprints(hashed.select("doc_id", "text", f"{own}_row"), out=own).drop("text"), "fingerprints")
+    groups = near_duplicates(printed, fp_col=own)
+    member = printed.join(groups.select(F.col("fp").alias(own), "component"), own)
+    first = member.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(f"{own}_row"))).alias("r"))
+    kept = first.select(F.col(f"r.{own}_row").alias(f"{own}_row")).distinct()
+    return hashed.join(kept, f"{own}_row", "left_semi").dropDuplicates([f"{own}_row"]).select(docs.columns)
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample that follows the target weights."""
-    return mix(docs)[0].where("mix_sampled").select(docs.columns)
+    own = struct_name(docs.columns, "mix")
+    return mix(docs, prefix=f"{own}_")[0].where(F.col(f"{own}_sampled")).select(docs.columns)
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,24 +1,30 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
 
-Texts are cut into tokens once.  A task packs them as *blocks* of some million tokens: the
-block's distinct words and each text as positions in that list.  Every later pass reads the
-block table, never the texts.
-
-1. Each block asks for the corpus counts of its distinct n-grams.  The questions are dealt to
-   buckets by the n-gram's hash, so no bucket depends on how frequent a word is; a bucket sums
-   what all blocks hold and answers each of them.  It also names one block as the n-gram's
-   owner and returns its counts of counts for the Good-Turing discounts.
-2. With the answers a block knows the discounted probability of each seen n-gram.  It returns
-   each text's sum, the histories whose backoff weight an unseen token needs, and, of the
-   n-grams that it owns, each history's seen mass and the same words' mass one order lower.
-3. Histories sum to backoff weights, which join the texts that need them.
-
-For a text, P(w | h) is the discounted estimate at the longest order at which h w was seen,
-times the backoff weights of the longer histories (a history that was never seen has 1).
+Texts are cut into tokens once.  A task packs them as *blocks* of some hundred thousand tokens: the block's distinct
+words and each text as positions in that list.  Every later pass reads the block table, never the texts.
+
+1. Each block lists its distinct n-grams of every order with their counts.  Lists are summed over the corpus and the
+   sums come back to each block (``exchange``), which names one block as each n-gram's owner.
+2. With the sums a block knows the discounted probability of each seen n-gram.  It keeps each text's sum, and lists
+   the histories whose backoff weight an unseen token needs and, of the n-grams that it owns, each history's seen mass
+   and the same words' mass one order lower.
+3. These lists are summed by history in the same way; what comes back are the backoff weights.
+
+For a text, P(w | h) is the discounted estimate at the longest order at which h w was seen, times the backoff weights
+of the longer histories (a history that was never seen has 1): backoff goes on, order by order, for each token.
+
+``exchange`` adds up lists that no task could hold together.  A list is cut into ranges of its sorted keys, and the
+ranges of up to ``FAN`` lists are merged to one list of that range; merged lists are cut and merged again until each range
+has one list.  Sums go down the same way.  A merge makes as many lists as it takes, so rows and bytes of each level
+are in proportion to the input, and levels grow with its logarithm.  Up to ``FAN`` blocks there is one level.
+
+``fit_katz`` writes the model as tables: counts (gram_order, gram, count) and weights (gram_order, history, log_weight),
+both partitioned by order; ``score_katz`` scores other texts with them.
 """
 
 from __future__ import annotations
 
+import json
 from functools import partial
 
 import numpy as np
@@ -34,16 +40,17 @@ from loomgraph.runtime import stage, table
 END = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0xC2B2AE3D27D4EB4F)
 MAX_COUNT = 5
+#: Lists that one merge takes, about.
+FAN = 256
 
 BLOCK_SCHEMA = (
     "block long, ids array<long>, train array<boolean>, sizes binary, words binary, tokens binary, n_tokens long"
 )
-ASK_SCHEMA = "bucket long, block long, grams binary, counts binary"
-ANSWER_SCHEMA = "gram_order int, bucket long, block long, totals binary, owned binary, stats array<long>"
-SCORE_SCHEMA = (
-    "kind int, block long, place int, doc_id long, train boolean, n_tokens long, n_known long, base double, "
-    "part double, gram_order int, ctx long, n long, seen_mass double, lower_mass double"
-)
+LIST_SCHEMA = "space int, prefix long, node long, keys binary, sums binary, asked binary"
+PIECE_SCHEMA = "space int, prefix long, parent long, node long, keys binary, sums binary, asked binary"
+ANSWER_SCHEMA = "kind int, space int, prefix long, node long, part long, answers binary, firsts binary, stats array<long>, keys binary"
+PART_SCHEMA = "kind int, block long, ids array<long>, train array<boolean>, texts binary, needs binary, " + LIST_SCHEMA
+SCORE_SCHEMA = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -133,7 +140,7 @@ def _read_block(row: dict):
 
 
 def _grams(tokens: np.ndarray, starts: np.ndarray, order: int):
-    """For each order its n-gram hash and its history's hash at every token."""
+    """For each order its n-gram hash and its history's hash at every token, of 64 bits."""
     first = starts[:-1]
     grams, histories, before = [tokens], [None], START
     for _ in range(1, order):
@@ -146,52 +153,6 @@ def _grams(tokens: np.ndarray, starts: np.ndarray, order: int):
     return grams, histories
 
 
-def ask(batches, order: int, bits: int):
-    for batch in batches:
-        for row in batch.to_pylist():
-            tokens, starts = _read_block(row)
-            learn = np.repeat(np.array(row["train"], bool), np.diff(starts))
-            for k, gram in enumerate(_grams(tokens, starts, order)[0], 1):
-                distinct, local = np.unique(gram, return_inverse=True)
-                counts = np.bincount(local, weights=learn, minlength=len(distinct)).astype(np.uint32)
-                edges = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                out = [
-                    (k << bits | b, row["block"], pack_sorted(distinct[i:j]), pack(counts[i:j]))
-                    for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-                    if j > i
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                    ["bucket", "block", "grams", "counts"],
-                )
-
-
-def answer(asked: pa.Table, bits: int) -> pa.Table:
-    rows = sorted(asked.to_pylist(), key=lambda r: r["block"])
-    grams = [unpack_sorted(r["grams"]) for r in rows]
-    counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-    distinct, local = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(local, weights=counts, minlength=len(distinct)).astype(np.int64)
-    owner = np.zeros(len(local), bool)
-    first = np.full(len(distinct), len(local), np.int64)
-    np.minimum.at(first, local, np.arange(len(local)))
-    owner[first] = True
-    owner &= totals[local] > 0
-    seen = totals[totals > 0]
-    of_counts = np.bincount(np.minimum(seen, MAX_COUNT + 2), minlength=MAX_COUNT + 3)[1 : MAX_COUNT + 2]
-    stats = [*map(int, of_counts), int(seen.sum()), len(seen)]
-    order, bucket = rows[0]["bucket"] >> bits, rows[0]["bucket"] & ((1 << bits) - 1)
-    out, at = [], 0
-    for n, (row, gram) in enumerate(zip(rows, grams, strict=True)):
-        part = slice(at, at := at + len(gram))
-        out.append((order, bucket, row["block"], pack(totals[local[part]]), pack(np.packbits(owner[part])), [] if n else stats))
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table(
-        [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)],
-        names=["gram_order", "bucket", "block", "totals", "owned", "stats"],
-    )
-
-
 def discounts(of_counts: list[int], k: int = MAX_COUNT) -> list[float]:
     """Discount factors of counts 1 to ``k`` and, last, what is taken from each larger count.
 
@@ -223,196 +184,353 @@ def _discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return np.where(counts < len(small), small[np.minimum(counts, len(small) - 1)], counts - d[-1])
 
 
-def _local(answers: list[dict], n: int):
-    """A block's answers of one order, joined in the order of its sorted n-grams."""
-    totals, owned = np.zeros(n, np.int64), np.zeros(n, bool)
-    at = 0
-    for row in sorted(answers, key=lambda r: r["bucket"]):
-        part = unpack(row["totals"], np.int64)
-        totals[at : at + len(part)] = part
-        owned[at : at + len(part)] = np.unpackbits(unpack(row["owned"], np.uint8), count=len(part)).astype(bool)
-        at += len(part)
-    return totals, owned
+def hash_width(tokens: int) -> int:
+    """Bits of a hash that tell about as many n-grams apart: 24 more than their number takes."""
+    return min(64, max(40, int(tokens).bit_length() + 24))
+
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+
+
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.table({n: pa.array([r.get(n) for r in rows], _KINDS[k]) for n, k in fields})
+
+
+def _list_row(space: int, node: int, keys: np.ndarray, sums: np.ndarray, asked: np.ndarray | None = None, prefix: int = 0) -> dict:
+    """A list as a row: ascending keys, one line of ``sums`` a quantity, and which keys want an answer (None: all)."""
+    return {"space": space, "prefix": prefix, "node": node, "keys": pack_sorted(keys), "sums": pack(sums.reshape(-1)), "asked": None if asked is None else pack(np.packbits(asked))}
+
+
+def _read_list(row: dict, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys = unpack_sorted(row["keys"])
+    asked = np.ones(len(keys), bool) if row["asked"] is None else np.unpackbits(unpack(row["asked"], np.uint8), count=len(keys)).astype(bool)
+    sums = unpack(row["sums"], dtype)
+    return keys, sums.reshape(-1, len(keys)) if len(keys) else np.zeros((2, 0), dtype), asked
+
+
+def split(batches, bits: int, shift: int, parents: int, dtype):
+    """Lists to pieces of one range each: ``prefix`` takes ``bits`` more, which are the keys' bits from ``shift`` on."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys, sums, asked = _read_list(row, dtype)
+            if not len(keys):
+                continue
+            ranges, start = np.unique(keys >> np.uint64(shift), return_index=True)
+            parent = int(_mix(np.array([row["node"]]).astype(np.uint64), END)[0] % np.uint64(parents))
+            out = []
+            for r, a, b in zip(ranges.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True):
+                mask = None if row["asked"] is None else asked[a:b]
+                out.append(_list_row(row["space"], row["node"], keys[a:b], sums[:, a:b], mask, r) | {"parent": parent})
+            yield from _table(PIECE_SCHEMA, out).to_batches()
+
+
+def _merged(pieces: pa.Table, dtype):
+    """Rows in order of node, their asked marks, the distinct keys, each row's places among them, and the sums."""
+    rows = sorted(pieces.to_pylist(), key=lambda r: r["node"])
+    lists = [_read_list(r, dtype) for r in rows]
+    distinct, local = np.unique(np.concatenate([k for k, _, _ in lists]), return_inverse=True)
+    sums = np.concatenate([s for _, s, _ in lists], axis=1)
+    totals = np.stack([np.bincount(local, weights=line, minlength=len(distinct)) for line in sums]).astype(dtype)
+    first = np.full(len(distinct), len(local), np.int64)  # the first place where a key's first quantity is not 0
+    held = np.flatnonzero(sums[0] > 0)
+    np.minimum.at(first, local[held], held)
+    owner = np.zeros(len(local) + 1, bool)
+    owner[first] = True
+    return rows, [a for _, _, a in lists], distinct, local, totals, owner[:-1]
+
+
+def merge(pieces: pa.Table, dtype) -> pa.Table:
+    """The pieces of one range as one list."""
+    rows, asked, distinct, local, totals, _ = _merged(pieces, dtype)
+    wanted = np.bincount(local, weights=np.concatenate(asked), minlength=len(distinct)) > 0
+    return _table(LIST_SCHEMA, [_list_row(rows[0]["space"], rows[0]["parent"], distinct, totals, wanted, rows[0]["prefix"])])
+
+
+def _answers(rows, asked, local, values, owner, bits: int, stats: list[int]) -> list[dict]:
+    out, at = [], 0
+    for n, (row, mask) in enumerate(zip(rows, asked, strict=True)):
+        place, own = local[at : at + len(mask)][mask], owner[at : at + len(mask)][mask]
+        at += len(mask)
+        up, part = row["prefix"] >> bits, row["prefix"] & ((1 << bits) - 1)
+        out.append({"kind": 0, "space": row["space"], "prefix": up, "node": row["node"], "part": part, "answers": pack(values[place]), "firsts": pack(np.packbits(own)), "stats": [] if n else stats})
+    return out
+
+
+def finish(pieces: pa.Table, known: pa.Table | None, dtype, make, bits: int, keep: bool) -> pa.Table:
+    """The last merge of a range: ``make`` turns its sums into answers, or ``known`` (keys and values) has them.
+
+    With ``keep`` a row of kind 1 holds the keys whose first quantity is not 0, and their answers.
+    """
+    if not pieces.num_rows:
+        return _table(ANSWER_SCHEMA, [])
+    rows, asked, distinct, local, totals, owner = _merged(pieces, dtype)
+    values, stats = make(totals)
+    if known is not None:
+        values = np.zeros_like(values)
+        if known.num_rows:
+            names, held = (known.column(i).to_numpy() for i in (0, 1))
+            order = np.argsort(names.view(np.uint64))
+            names, held = names.view(np.uint64)[order], held[order]
+            at = np.minimum(np.searchsorted(names, distinct), len(names) - 1)
+            values = np.where(names[at] == distinct, held[at], values)
+    out = _answers(rows, asked, local, values, owner, bits, stats)
+    if keep:
+        held = totals[0] > 0
+        out.append({"kind": 1, "space": rows[0]["space"], "prefix": rows[0]["prefix"], "keys": pack_sorted(distinct[held]), "answers": pack(values[held])})
+    return _table(ANSWER_SCHEMA, out)
+
+
+def _joined(answers: list[dict], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """A list's answers, and which of its keys it owns, from its ranges in order."""
+    values, firsts = [np.empty(0, dtype)], [np.empty(0, bool)]
+    for r in sorted(answers, key=lambda r: r["part"]):
+        values.append(unpack(r["answers"], dtype))
+        firsts.append(np.unpackbits(unpack(r["firsts"], np.uint8), count=len(values[-1])).astype(bool))
+    return np.concatenate(values), np.concatenate(firsts)
+
+
+def pass_down(pieces: pa.Table, answers: pa.Table, dtype, answer_dtype, bits: int) -> pa.Table:
+    """The answers of a merged list, to the lists that it was merged from."""
+    if not pieces.num_rows or not answers.num_rows:
+        return _table(ANSWER_SCHEMA, [])
+    rows, asked, distinct, local, _, owner = _merged(pieces, dtype)
+    got, first = _joined(answers.to_pylist(), answer_dtype)
+    wanted = np.bincount(local, weights=np.concatenate(asked), minlength=len(distinct)) > 0
+    values, owned = np.zeros(len(distinct), answer_dtype), np.zeros(len(distinct), bool)
+    values[wanted], owned[wanted] = got, first
+    return _table(ANSWER_SCHEMA, _answers(rows, asked, local, values, owner & owned[local], bits, []))
+
+
+def _passing(dtype, answer_dtype, bits: int):
+    return lambda pieces, answers: pass_down(pieces, answers, dtype, answer_dtype, bits)
+
+
+def exchange(lists: DataFrame, n: int, width: int, bits: int, dtype, make, name: str, known: DataFrame | None = None, keep: bool = False, fan: int = FAN) -> DataFrame:
+    """Answers (ANSWER_SCHEMA, a row for each list and range) of ``n`` lists; ``known``: (space, key, value) to look up instead."""
+    answer_dtype = make(np.zeros((2, 1), dtype))[0].dtype
+    levels, nodes = [], n
+    while not levels or nodes > 1:
+        nodes = -(-nodes // fan)
+        levels.append((max(1, nodes), bits if nodes <= 1 else min(bits, max(1, fan.bit_length() - 1))))
+    shift, pieces = width, []
+    for parents, take in levels:
+        take = min(take, shift)
+        shift -= take
+        pieces.append((lists.mapInArrow(partial(split, bits=take, shift=shift, parents=parents, dtype=dtype), PIECE_SCHEMA), take))
+        if len(pieces) < len(levels):
+            lists = stage(pieces[-1][0].groupBy("space", "prefix", "parent").applyInArrow(lambda t: merge(t, dtype), LIST_SCHEMA), f"{name}-lists")
+    last, take = pieces.pop()
+    if known is None:
+        done = last.groupBy("space", "prefix").applyInArrow(lambda t: finish(t, None, dtype, make, take, keep), ANSWER_SCHEMA)
+    else:
+        found = known.select("key", "value", "space", F.shiftrightunsigned("key", shift).alias("prefix")).groupBy("space", "prefix")
+        done = last.groupBy("space", "prefix").cogroup(found).applyInArrow(lambda t, k: finish(t, k, dtype, make, take, False), ANSWER_SCHEMA)
+    answers = stage(done, name, ["kind"] if keep else None)
+    kept = answers
+    while pieces:
+        up, take = pieces.pop()
+        below = answers.where("kind = 0").withColumn("parent", F.col("node")).groupBy("space", "prefix", "parent")
+        down = up.groupBy("space", "prefix", "parent").cogroup(below).applyInArrow(_passing(dtype, answer_dtype, take), ANSWER_SCHEMA)
+        answers = stage(down, name)
+    return answers if answers is kept else answers.unionByName(kept.where("kind = 1 or size(stats) > 0").withColumn("kind", F.when(F.col("kind") == 0, 2).otherwise(F.col("kind"))))
+
+
+def count_lists(batches, order: int, width: int):
+    """A block's list for each order: its distinct n-grams, how often training texts have them, and whether others do."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            tokens, starts = _read_block(row)
+            learn = np.repeat(np.array(row["train"], bool), np.diff(starts))
+            for k, gram in enumerate(_grams(tokens, starts, order)[0], 1):
+                distinct, local = np.unique(gram >> np.uint64(64 - width), return_inverse=True)
+                counts = np.bincount(local, weights=learn, minlength=len(distinct)).astype(np.int64)
+                others = np.bincount(local, weights=~learn, minlength=len(distinct)) > 0
+                yield from _table(LIST_SCHEMA, [_list_row(k, row["block"], distinct, np.stack([counts, others]))]).to_batches()
+
+
+def _counted(totals: np.ndarray):
+    """Twice the count, and 1 more if other texts have the n-gram too; and the numbers of n-grams that occur once, twice,
+    ... ``MAX_COUNT`` + 1 times, of all tokens and of all n-grams."""
+    seen = totals[0][totals[0] > 0]
+    of_counts = np.bincount(np.minimum(seen, MAX_COUNT + 2), minlength=MAX_COUNT + 3)[1 : MAX_COUNT + 2]
+    return 2 * totals[0] + (totals[1] > 0), [*map(int, of_counts), int(seen.sum()), len(seen)]
+
 
+def _weighed(totals: np.ndarray):
+    """What a history's unseen words share, over their mass one order lower, as a logarithm."""
+    return np.log10((1 - totals[0]) / np.maximum(1 - totals[1], 1e-12)), []
 
-def score_block(block: pa.Table, answers: pa.Table, order: int, model: dict) -> pa.Table:
-    schema = pa.schema(
-        [("kind", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("train", pa.bool_())]
-        + [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("part", pa.float64())]
-        + [("gram_order", pa.int32()), ("ctx", pa.int64()), ("n", pa.int64()), ("seen_mass", pa.float64()), ("lower_mass", pa.float64())]
-    )
-    out = []
 
-    def put(length, **columns):
-        out.append(pa.table([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(length, f.type) for f in schema], schema=schema))
+def score_block(block: pa.Table, answers: pa.Table, order: int, width: int, model: dict, every: bool) -> pa.Table:
+    """A block's sums by text and needs (kind 0), and its lists of histories (kind 1).
 
-    rows = answers.to_pylist()
+    All that follows a history in a training text was seen, so only histories of other texts may need a weight; with
+    ``every`` the others are listed too.
+    """
+    out, by = [], {}
+    for r in answers.to_pylist():
+        by.setdefault(r["space"], []).append(r)
     for row in block.to_pylist():
         tokens, starts = _read_block(row)
         grams, histories = _grams(tokens, starts, order)
-        n_all, n_types, n_texts = model["n"], model["types"], model["texts"]
-        log_p = np.full(len(tokens), np.nan)
-        needs = []
-        below, known = None, None
-        held_count = None
+        cut = np.uint64(64 - width)
+        log_p, below, held_count, held_due, needs = None, None, None, None, []
+        lists: list[list] = [[] for _ in range(order + 1)]
         for k in range(1, order + 1):
-            distinct, first, local = np.unique(grams[k - 1], return_index=True, return_inverse=True)
-            totals, owned = _local([r for r in rows if r["gram_order"] == k], len(distinct))
-            taken = _discounted(totals, model["discounts"][k - 1])
+            distinct, first, local = np.unique(grams[k - 1] >> cut, return_index=True, return_inverse=True)
+            totals, owned = _joined(by[k], np.int64)
+            due, totals = (totals & 1)[local] > 0, totals >> 1
+            taken, count = _discounted(totals, model["discounts"][k - 1]), totals[local]
             if k == 1:
-                p = np.where(totals > 0, taken / max(1, n_all), model["unknown"])
-                count = totals[local]
-                known = count > 0
-                base = np.log10((count + 1) / (n_all + n_types + 1))
-                log_p = np.log10(p)[local]
-                below, held_count = p[local], count
+                p = np.where(totals > 0, taken / max(1, model["n"]), model["unknown"])
+                known, base = count > 0, np.log10((count + 1) / (model["n"] + model["types"] + 1))
+                log_p, below, held_count, held_due = np.log10(p)[local], p[local], count, due
                 continue
             # how often the history was followed: as often as it was seen, since a text's end follows
             followed = np.empty(len(tokens), np.int64)
             followed[1:] = held_count[:-1]
-            followed[starts[:-1]] = n_texts
-            history = histories[k - 1]
-            count = totals[local]
-            seen = count > 0
+            followed[starts[:-1]] = model["texts"]
+            history, seen = histories[k - 1] >> cut, count > 0
             p = np.where(seen, taken[local] / np.maximum(followed, 1), 0.0)
-            unseen = ~seen & (followed > 0)
-            needs.append((k, unseen))
+            for _, unseen in needs:
+                unseen[seen] = False  # a longer n-gram was seen: no weight of a shorter history is needed
+            needs.append((k, ~seen & (followed > 0)))
             log_p = np.where(seen, np.log10(np.where(seen, p, 1.0)), log_p)
-            for later in needs[:-1]:
-                later[1][seen] = False  # a longer n-gram was seen: no weight of a shorter history is needed
+            asked_for = np.ones(len(tokens), bool)
+            if not every:
+                asked_for[1:] = held_due[:-1]
+                asked_for[starts[:-1]] = True
             at = first[owned]
+            at = at[asked_for[at]]
             ctx, of = np.unique(history[at], return_inverse=True)
-            put(
-                len(ctx),
-                kind=pa.array(np.full(len(ctx), 2)),
-                gram_order=pa.array(np.full(len(ctx), k)),
-                ctx=pa.array(ctx.view(np.int64)),
-                seen_mass=pa.array(np.bincount(of, weights=p[at], minlength=len(ctx))),
-                lower_mass=pa.array(np.bincount(of, weights=below[at], minlength=len(ctx))),
-            )
-            below, held_count = p, count
+            lists[k] = [history, ctx, *(np.bincount(of, weights=x[at], minlength=len(ctx)) for x in (p, below))]
+            below, held_count, held_due = p, count, due
         sizes = np.diff(starts)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        summed = lambda x: pa.array(np.add.reduceat(x, starts[:-1]))  # noqa: E731  no text is without its end
-        put(
-            len(sizes),
-            kind=pa.array(np.zeros(len(sizes), np.int32)),
-            block=pa.array(np.full(len(sizes), row["block"])),
-            place=pa.array(np.arange(len(sizes))),
-            doc_id=pa.array(row["ids"], pa.int64()),
-            train=pa.array(row["train"], pa.bool_()),
-            n_tokens=pa.array(sizes),
-            n_known=summed(known.astype(np.int64)),
-            base=summed(base),
-            part=summed(log_p),
-        )
+        owed, doc = [], np.repeat(np.arange(len(sizes)), sizes)
         for k, unseen in needs:
+            history, ctx, seen_mass, lower_mass = lists[k]
             at = np.flatnonzero(unseen)
-            put(
-                len(at),
-                kind=pa.array(np.ones(len(at), np.int32)),
-                block=pa.array(np.full(len(at), row["block"])),
-                place=pa.array(doc[at]),
-                gram_order=pa.array(np.full(len(at), k)),
-                ctx=pa.array(histories[k - 1][at].view(np.int64)),
-                n=pa.array(np.ones(len(at), np.int64)),
-            )
+            asked, place = np.unique(history[at], return_inverse=True)
+            owed += [doc[at], place]
+            keys = np.union1d(ctx, asked)
+            sums, mark = np.zeros((2, len(keys))), np.zeros(len(keys), bool)
+            sums[:, np.searchsorted(keys, ctx)] = seen_mass, lower_mass
+            mark[np.searchsorted(keys, asked)] = True
+            out.append({"kind": 1} | _list_row(k, row["block"], keys, sums, mark))
+        summed = lambda x: np.add.reduceat(x.astype(float), starts[:-1])  # noqa: E731  no text is without its end
+        texts = np.stack([sizes.astype(float), summed(known), summed(base), summed(log_p)])
+        lengths = np.array([len(x) for x in owed], np.int64)
+        flat = np.concatenate([lengths, *owed]) if owed else lengths
+        out.append({"kind": 0, "block": row["block"], "ids": row["ids"], "train": row["train"], "texts": pack(texts.reshape(-1)), "needs": pack(flat.astype(np.int64))})
+    return _table(PART_SCHEMA, out)
+
+
+def settle(parts: pa.Table, answers: pa.Table, order: int) -> pa.Table:
+    """Scores of a block's texts: their sums, and the logarithms of the weights that they need."""
+    by, out = {}, [_table(SCORE_SCHEMA, [])]
+    for r in answers.to_pylist():
+        by.setdefault(r["space"], []).append(r)
+    for row in parts.to_pylist():
+        sizes, known, base, log_p = unpack(row["texts"], np.float64).reshape(4, -1)
+        flat = unpack(row["needs"], np.int64)
+        at = 2 * (order - 1)
+        owed = np.split(flat[at:], np.cumsum(flat[:at])[:-1]) if at else []
+        for k in range(2, order + 1):
+            doc, place = owed[2 * (k - 2) : 2 * (k - 1)]
+            if len(doc):
+                weights, _ = _joined(by.get(k, []), np.float64)
+                log_p = log_p + np.bincount(doc, weights=weights[place], minlength=len(log_p))
+        columns = [pa.array(row["ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(log_p)]
+        out.append(pa.table(columns, names=out[0].schema.names))
     return pa.concat_tables(out)
 
 
+def _unigram_rest(stats: list[int], d: list[float]) -> float:
+    """The mass that the discounts free: the unknown class's."""
+    of, n, types = stats[: MAX_COUNT + 1], *stats[-2:]
+    counted, larger = sum(r * c for r, c in enumerate(of[:MAX_COUNT], 1)), types - sum(of[:MAX_COUNT])
+    kept = sum(d[r - 1] * r * of[r - 1] for r in range(1, MAX_COUNT + 1)) + (n - counted) - d[-1] * larger
+    return 1 - kept / n if n else 1.0
+
+
+def _run(docs: DataFrame, train: Column, id_col: str, text_col: str, order: int, block_tokens: int, fan: int, bucket_tokens: int, keep: bool, given: dict | None):
+    """(scores, model, count answers, weight answers); ``given``: a model and its tables, else one is learnt."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    blocks = stage(texts.mapInArrow(partial(encode_blocks, block_tokens=block_tokens), BLOCK_SCHEMA), "katz-blocks")
+    size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0)).alias("texts")).first()
+    width = given["width"] if given else hash_width(size.n)
+    bits = max(4, int(size.n // bucket_tokens).bit_length())
+    lists = blocks.mapInArrow(partial(count_lists, order=order, width=width), LIST_SCHEMA)
+    swap = lambda what, dtype, make, rows, name: exchange(rows, size.blocks, width, bits, dtype, make, name, given[what] if given else None, keep, fan)
+    counts = swap("counts", np.int64, _counted, lists, "katz-counts")
+    if given:
+        model = given["model"]
+    else:
+        sums = counts.where(F.size("stats") > 0).groupBy("space").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(MAX_COUNT + 3)]).alias("x"))
+        stats = {r.space: r.x for r in sums.collect()}  # a row an order
+        none = [0] * (MAX_COUNT + 3)
+        d = [discounts(stats.get(k, none)[: MAX_COUNT + 1]) for k in range(1, order + 1)]
+        n_all, types = stats.get(1, none)[-2:]
+        model = {"n": n_all, "types": types, "texts": size.texts, "discounts": d, "unknown": _unigram_rest(stats.get(1, none), d[0])}
+    back = counts.where("kind = 0").select("space", "part", "answers", "firsts", F.col("node").alias("block")).groupBy("block")
+    parts = stage(blocks.groupBy("block").cogroup(back).applyInArrow(lambda b, a: score_block(b, a, order, width, model, keep), PART_SCHEMA), "katz-parts", ["kind"])
+    owing = parts.where("kind = 1").select(*[f.split(" ")[0] for f in LIST_SCHEMA.split(", ")])
+    weights = swap("weights", np.float64, _weighed, owing, "katz-weights")
+    back = weights.where("kind = 0").select("space", "part", "answers", "firsts", F.col("node").alias("block")).groupBy("block")
+    scores = parts.where("kind = 0").select("block", "ids", "train", "texts", "needs").groupBy("block").cogroup(back).applyInArrow(lambda b, a: settle(b, a, order), SCORE_SCHEMA)
+    scores = scores.withColumn("train_tokens", F.lit(model["n"]).cast("long")).select("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores, model | {"width": width, "order": order}, counts, weights
+
+
 def katz_scores(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_tokens: int = 600_000
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_tokens: int = 600_000, fan: int = FAN, bucket_tokens: int = 1_200_000
 ) -> DataFrame:
     """log10 probability of every text under a Katz model of the texts where ``train`` holds.
 
-    Returns one row per row of ``docs``: doc_id, train, n_tokens, n_known, train_tokens,
-    base_score (add-one unigrams) and score.  Words are maximal runs without ASCII white space,
-    A-Z lower-cased; each text ends in one more token.  Unknown words are one class, which has the
-    mass that the unigram discounts free, so each history's probabilities sum to one over the
-    known words and that class.  Null text is empty (its end alone is scored), a null ``train`` is
-    false, repeated rows count each time, an empty table gives no row, other columns are ignored.
-    N-grams are told apart by 64-bit hashes.
+    Returns one row per row of ``docs``: doc_id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams)
+    and score.  Words are maximal runs without ASCII white space, A-Z lower-cased; each text ends in one more token.
+    Unknown words are one class, which has the mass that the unigram discounts free, so each history's probabilities sum
+    to one over the known words and that class.  Null text is empty (its end alone is scored), a null ``train`` is
+    false, repeated rows count each time, a text of any length is read whole, an empty table gives no row, other columns
+    are ignored.  N-grams are told apart by hashes of 24 bits more than the number of tokens takes, 64 at most.
     """
-    given = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train")
-    )
-    blocks = stage(given.mapInArrow(partial(encode_blocks, block_tokens=block_tokens), BLOCK_SCHEMA), "katz-blocks")
-    size = blocks.agg(
-        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0)).alias("texts"),
-    ).first()
-    bits = max(4, int(size.n // 1_200_000).bit_length())  # a bucket has a few million n-grams at most
-    asked = blocks.mapInArrow(partial(ask, order=order, bits=bits), ASK_SCHEMA)
-    answers = stage(
-        asked.groupBy("bucket").applyInArrow(lambda asked: answer(asked, bits), ANSWER_SCHEMA), "katz-counts", ["gram_order"]
-    )
-    stats = {
-        r.gram_order: r.x
-        for r in answers.where(F.size("stats") > 0)
-        .groupBy("gram_order")
-        .agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(MAX_COUNT + 3)]).alias("x"))
-        .collect()
-    }
-    none = [0] * (MAX_COUNT + 3)
-    d = [discounts(stats.get(k, none)[: MAX_COUNT + 1]) for k in range(1, order + 1)]
-    n_all, types = stats.get(1, none)[-2:]
-    # what the known words keep; the rest is the unknown class
-    n1 = stats.get(1, none)[: MAX_COUNT + 1]
-    counted = sum(r * n for r, n in enumerate(n1[:MAX_COUNT], 1))
-    larger = types - sum(n1[:MAX_COUNT])
-    kept = sum(d[0][r - 1] * r * n1[r - 1] for r in range(1, MAX_COUNT + 1)) + (n_all - counted) - d[0][-1] * larger
-    model = {"n": n_all, "types": types, "texts": size.texts, "discounts": d, "unknown": 1 - kept / n_all if n_all else 1.0}
-
-    scored = stage(
-        blocks.groupBy("block")
-        .cogroup(answers.select("gram_order", "bucket", "block", "totals", "owned").groupBy("block"))
-        .applyInArrow(lambda block, answers: score_block(block, answers, order, model), SCORE_SCHEMA),
-        "katz-scores",
-        ["kind"],
-    )
-    weights = backoff_weights(scored)
-    owed = (
-        scored.where("kind = 1")
-        .groupBy("block", "place", "gram_order", "ctx")
-        .agg(F.sum("n").alias("n"))
-        .join(weights, ["gram_order", "ctx"])
-        .groupBy("block", "place")
-        .agg(F.sum(F.col("n") * F.col("log_weight")).alias("owed"))
-    )
-    return (
-        scored.where("kind = 0")
-        .select("block", "place", "doc_id", "train", "n_tokens", "n_known", F.col("base").alias("base_score"), "part")
-        .join(owed, ["block", "place"], "left")
-        .select(
-            "doc_id",
-            "train",
-            "n_tokens",
-            "n_known",
-            F.lit(n_all).cast("long").alias("train_tokens"),
-            "base_score",
-            (F.col("part") + F.coalesce("owed", F.lit(0.0))).alias("score"),
-        )
-    )
-
-
-def backoff_weights(scored: DataFrame) -> DataFrame:
-    """(gram_order, ctx, log_weight): what a history's unseen words share, over their mass one order lower."""
-    return (
-        scored.where("kind = 2")
-        .groupBy("gram_order", "ctx")
-        .agg(F.sum("seen_mass").alias("seen"), F.sum("lower_mass").alias("lower"))
-        .select(
-            "gram_order",
-            "ctx",
-            F.log10((1 - F.col("seen")) / F.greatest(1 - F.col("lower"), F.lit(1e-12))).alias("log_weight"),
-        )
-    )
+    return _run(docs, train, id_col, text_col, order, block_tokens, fan, bucket_tokens, False, None)[0]
+
+
+def _rows_of(batches, dtype):
+    """Kept lists to rows (space, key, value)."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys, values = unpack_sorted(row["keys"]), unpack(row["answers"], dtype)
+            values = values >> 1 if dtype is np.int64 else values
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["space"], np.int32)), pa.array(keys.view(np.int64)), pa.array(values)], ["space", "key", "value"])
+
+
+def fit_katz(docs: DataFrame, path: str, text_col: str = "text", order: int = 3, block_tokens: int = 600_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> None:
+    """Write a model of all texts under ``path``: counts (gram_order, gram, count), weights (gram_order, history,
+    log_weight), both partitioned by order, and one row of totals and discounts.  Cases as in ``katz_scores``.
+
+    The weights of an order are those of histories one word shorter.
+    """
+    _, model, counts, weights = _run(docs.withColumn("_id", F.lit(0)), F.lit(True), "_id", text_col, order, block_tokens, fan, bucket_tokens, True, None)
+    for rows, kind, dtype, key, value in ((counts, "long", np.int64, "gram", "count"), (weights, "double", np.float64, "history", "log_weight")):
+        kept = rows.where("kind = 1").select("space", "keys", "answers").mapInArrow(partial(_rows_of, dtype=dtype), f"space int, key long, value {kind}")
+        kept.select(F.col("space").alias("gram_order"), F.col("key").alias(key), F.col("value").alias(value)).write.partitionBy("gram_order").parquet(f"{path}/{'counts' if kind == 'long' else 'weights'}")
+    docs.sparkSession.createDataFrame([(json.dumps(model),)], "model string").coalesce(1).write.text(f"{path}/model")
+
+
+def score_katz(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 600_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> DataFrame:
+    """Scores of texts by the model that ``fit_katz`` wrote under ``path``; columns and cases as in ``katz_scores``."""
+    spark = docs.sparkSession
+    model = json.loads(spark.read.text(f"{path}/model").first()[0])
+    read = lambda what, key, value: spark.read.parquet(f"{path}/{what}").select(F.col("gram_order").cast("int").alias("space"), F.col(key).alias("key"), F.col(value).alias("value"))
+    given = {"width": model["width"], "model": model, "counts": read("counts", "gram", "count").withColumn("value", 2 * F.col("value") + 1), "weights": read("weights", "history", "log_weight")}
+    return _run(docs, F.lit(False), id_col, text_col, model["order"], block_tokens, fan, bucket_tokens, False, given)[0]
 
 
 def op1_katz_backoff(spark, sf_dir: str) -> DataFrame:
+    """Scores of every document by trigrams, bigrams and words of those not in fold 2 of 7; cases as in ``katz_scores``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = in_fold("doc_id", 7, 2)
-    scores = katz_scores(docs, ~held_out)
-    return scores.select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
-    )
+    scores = katz_scores(docs, ~in_fold("doc_id", 7, 2), order=3)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import in_fold, pack, pack_sorted, raw_texts, unpack, unpack_sorted
-from loomgraph.runtime import stage, table
+from loomgraph.runtime import discard, stage, table
 
 END = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -185,8 +185,8 @@ def _discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
 
 
 def hash_width(tokens: int) -> int:
-    """Bits of a hash that tell about as many n-grams apart: 24 more than their number takes."""
-    return min(64, max(40, int(tokens).bit_length() + 24))
+    """Bits of a hash that tell about as many n-grams apart: 22 more than their number takes."""
+    return min(64, max(40, int(tokens).bit_length() + 22))
 
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
@@ -197,32 +197,65 @@ def _table(schema: str, rows: list[dict]) -> pa.Table:
     return pa.table({n: pa.array([r.get(n) for r in rows], _KINDS[k]) for n, k in fields})
 
 
-def _list_row(space: int, node: int, keys: np.ndarray, sums: np.ndarray, asked: np.ndarray | None = None, prefix: int = 0) -> dict:
-    """A list as a row: ascending keys, one line of ``sums`` a quantity, and which keys want an answer (None: all)."""
-    return {"space": space, "prefix": prefix, "node": node, "keys": pack_sorted(keys), "sums": pack(sums.reshape(-1)), "asked": None if asked is None else pack(np.packbits(asked))}
+def _pack_lines(lines: np.ndarray) -> bytes:
+    """Two lines of numbers; doubles each as distinct values and their places, of which few bytes differ."""
+    if lines.dtype.kind == "i":
+        return pack(lines.reshape(-1))
+    parts = []
+    for line in lines:
+        values, place = np.unique(line, return_inverse=True)
+        place = place.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32)
+        for x in (values, place):
+            data = pack(x)
+            parts += [len(data).to_bytes(4, "little"), data]
+    return b"".join(parts)
+
+
+def _unpack_lines(data: bytes, n: int, dtype) -> np.ndarray:
+    if np.dtype(dtype).kind == "i":
+        return unpack(data, dtype).reshape(2, -1)
+    parts, at = [], 0
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        parts.append(data[at + 4 : end])
+        at = end
+    lines = []
+    for values, place in zip(parts[0::2], parts[1::2], strict=True):
+        known = unpack(values, dtype)
+        lines.append(known[unpack(place, np.uint16 if len(known) <= 1 << 16 else np.uint32)])
+    return np.stack(lines) if lines and n else np.zeros((2, n), dtype)
+
+
+def _list_row(space: int, prefix: int, node: int, keys: np.ndarray, sums: np.ndarray, asked: np.ndarray | None = None) -> dict:
+    """A list as a row: ascending keys, two lines of ``sums``, and which keys want an answer (None: all)."""
+    return {"space": space, "prefix": prefix, "node": node, "keys": pack_sorted(keys), "sums": _pack_lines(sums), "asked": None if asked is None else pack(np.packbits(asked))}
 
 
 def _read_list(row: dict, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = unpack_sorted(row["keys"])
     asked = np.ones(len(keys), bool) if row["asked"] is None else np.unpackbits(unpack(row["asked"], np.uint8), count=len(keys)).astype(bool)
-    sums = unpack(row["sums"], dtype)
-    return keys, sums.reshape(-1, len(keys)) if len(keys) else np.zeros((2, 0), dtype), asked
+    return keys, _unpack_lines(row["sums"], len(keys), dtype), asked
 
 
-def split(batches, bits: int, shift: int, parents: int, dtype):
-    """Lists to pieces of one range each: ``prefix`` takes ``bits`` more, which are the keys' bits from ``shift`` on."""
+def stored_lists(batches, dtype):
+    """Rows of LIST_SCHEMA as (space, prefix, node, keys, sums, asked)."""
     for batch in batches:
         for row in batch.to_pylist():
             keys, sums, asked = _read_list(row, dtype)
-            if not len(keys):
-                continue
-            ranges, start = np.unique(keys >> np.uint64(shift), return_index=True)
-            parent = int(_mix(np.array([row["node"]]).astype(np.uint64), END)[0] % np.uint64(parents))
-            out = []
-            for r, a, b in zip(ranges.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True):
-                mask = None if row["asked"] is None else asked[a:b]
-                out.append(_list_row(row["space"], row["node"], keys[a:b], sums[:, a:b], mask, r) | {"parent": parent})
-            yield from _table(PIECE_SCHEMA, out).to_batches()
+            yield row["space"], row["prefix"], row["node"], keys, sums, None if row["asked"] is None else asked
+
+
+def split(lists, bits: int, shift: int, parents: int):
+    """Lists to pieces of one range each: ``prefix`` takes ``bits`` more, which are the keys' bits from ``shift`` on."""
+    for space, _, node, keys, sums, asked in lists:
+        if not len(keys):
+            continue
+        ranges, start = np.unique(keys >> np.uint64(shift), return_index=True)
+        parent = int(_mix(np.array([node]).astype(np.uint64), END)[0] % np.uint64(parents))
+        out = []
+        for r, a, b in zip(ranges.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True):
+            out.append(_list_row(space, r, node, keys[a:b], sums[:, a:b], None if asked is None else asked[a:b]) | {"parent": parent})
+        yield from _table(PIECE_SCHEMA, out).to_batches()
 
 
 def _merged(pieces: pa.Table, dtype):
@@ -244,7 +277,7 @@ def merge(pieces: pa.Table, dtype) -> pa.Table:
     """The pieces of one range as one list."""
     rows, asked, distinct, local, totals, _ = _merged(pieces, dtype)
     wanted = np.bincount(local, weights=np.concatenate(asked), minlength=len(distinct)) > 0
-    return _table(LIST_SCHEMA, [_list_row(rows[0]["space"], rows[0]["parent"], distinct, totals, wanted, rows[0]["prefix"])])
+    return _table(LIST_SCHEMA, [_list_row(rows[0]["space"], rows[0]["prefix"], rows[0]["parent"], distinct, totals, wanted)])
 
 
 def _answers(rows, asked, local, values, owner, bits: int, stats: list[int]) -> list[dict]:
@@ -253,62 +286,64 @@ def _answers(rows, asked, local, values, owner, bits: int, stats: list[int]) ->
         place, own = local[at : at + len(mask)][mask], owner[at : at + len(mask)][mask]
         at += len(mask)
         up, part = row["prefix"] >> bits, row["prefix"] & ((1 << bits) - 1)
-        out.append({"kind": 0, "space": row["space"], "prefix": up, "node": row["node"], "part": part, "answers": pack(values[place]), "firsts": pack(np.packbits(own)), "stats": [] if n else stats})
+        out.append({"kind": 0, "space": row["space"], "prefix": up, "node": row["node"], "part": part, "answers": _pack_lines(values[:, place]), "firsts": pack(np.packbits(own)), "stats": [] if n else stats})
     return out
 
 
-def finish(pieces: pa.Table, known: pa.Table | None, dtype, make, bits: int, keep: bool) -> pa.Table:
-    """The last merge of a range: ``make`` turns its sums into answers, or ``known`` (keys and values) has them.
+def finish(pieces: pa.Table, known: pa.Table | None, dtype, stats, bits: int, keep: bool) -> pa.Table:
+    """The last merge of a range: its sums are the answers, or ``known`` (key and two values) has them.
 
-    With ``keep`` a row of kind 1 holds the keys whose first quantity is not 0, and their answers.
+    With ``keep`` a row of kind 1 holds the keys whose first sum is not 0, and their sums.
     """
     if not pieces.num_rows:
         return _table(ANSWER_SCHEMA, [])
     rows, asked, distinct, local, totals, owner = _merged(pieces, dtype)
-    values, stats = make(totals)
+    told = stats(totals)
     if known is not None:
-        values = np.zeros_like(values)
+        totals = np.zeros_like(totals)
         if known.num_rows:
-            names, held = (known.column(i).to_numpy() for i in (0, 1))
-            order = np.argsort(names.view(np.uint64))
-            names, held = names.view(np.uint64)[order], held[order]
-            at = np.minimum(np.searchsorted(names, distinct), len(names) - 1)
-            values = np.where(names[at] == distinct, held[at], values)
-    out = _answers(rows, asked, local, values, owner, bits, stats)
+            names = known.column(0).to_numpy().view(np.uint64)
+            order = np.argsort(names)
+            at = order[np.minimum(np.searchsorted(names, distinct, sorter=order), len(names) - 1)]
+            there = names[at] == distinct
+            for line in (0, 1):
+                totals[line, there] = known.column(line + 1).to_numpy()[at[there]]
+    out = _answers(rows, asked, local, totals, owner, bits, told)
     if keep:
         held = totals[0] > 0
-        out.append({"kind": 1, "space": rows[0]["space"], "prefix": rows[0]["prefix"], "keys": pack_sorted(distinct[held]), "answers": pack(values[held])})
+        out.append({"kind": 1, "space": rows[0]["space"], "prefix": rows[0]["prefix"], "keys": pack_sorted(distinct[held]), "answers": _pack_lines(totals[:, held])})
     return _table(ANSWER_SCHEMA, out)
 
 
 def _joined(answers: list[dict], dtype) -> tuple[np.ndarray, np.ndarray]:
-    """A list's answers, and which of its keys it owns, from its ranges in order."""
-    values, firsts = [np.empty(0, dtype)], [np.empty(0, bool)]
+    """A list's answers, two lines, and which of its keys it owns, from its ranges in order."""
+    values, firsts = [np.empty((2, 0), dtype)], [np.empty(0, bool)]
     for r in sorted(answers, key=lambda r: r["part"]):
-        values.append(unpack(r["answers"], dtype))
-        firsts.append(np.unpackbits(unpack(r["firsts"], np.uint8), count=len(values[-1])).astype(bool))
-    return np.concatenate(values), np.concatenate(firsts)
+        lines = _unpack_lines(r["answers"], 1, dtype)
+        values.append(lines)
+        firsts.append(np.unpackbits(unpack(r["firsts"], np.uint8), count=lines.shape[1]).astype(bool))
+    return np.concatenate(values, axis=1), np.concatenate(firsts)
 
 
-def pass_down(pieces: pa.Table, answers: pa.Table, dtype, answer_dtype, bits: int) -> pa.Table:
+def pass_down(pieces: pa.Table, answers: pa.Table, dtype, bits: int) -> pa.Table:
     """The answers of a merged list, to the lists that it was merged from."""
     if not pieces.num_rows or not answers.num_rows:
         return _table(ANSWER_SCHEMA, [])
     rows, asked, distinct, local, _, owner = _merged(pieces, dtype)
-    got, first = _joined(answers.to_pylist(), answer_dtype)
+    got, first = _joined(answers.to_pylist(), dtype)
     wanted = np.bincount(local, weights=np.concatenate(asked), minlength=len(distinct)) > 0
-    values, owned = np.zeros(len(distinct), answer_dtype), np.zeros(len(distinct), bool)
-    values[wanted], owned[wanted] = got, first
+    values, owned = np.zeros((2, len(distinct)), dtype), np.zeros(len(distinct), bool)
+    values[:, wanted], owned[wanted] = got, first
     return _table(ANSWER_SCHEMA, _answers(rows, asked, local, values, owner & owned[local], bits, []))
 
 
-def _passing(dtype, answer_dtype, bits: int):
-    return lambda pieces, answers: pass_down(pieces, answers, dtype, answer_dtype, bits)
+def _passing(dtype, bits: int):
+    return lambda pieces, answers: pass_down(pieces, answers, dtype, bits)
 
 
-def exchange(lists: DataFrame, n: int, width: int, bits: int, dtype, make, name: str, known: DataFrame | None = None, keep: bool = False, fan: int = FAN) -> DataFrame:
-    """Answers (ANSWER_SCHEMA, a row for each list and range) of ``n`` lists; ``known``: (space, key, value) to look up instead."""
-    answer_dtype = make(np.zeros((2, 1), dtype))[0].dtype
+def exchange(source: DataFrame, lists, n: int, width: int, bits: int, dtype, stats, name: str, known: DataFrame | None = None, keep: bool = False, fan: int = FAN) -> DataFrame:
+    """Answers (ANSWER_SCHEMA, a row for each list and range) of ``n`` lists, which the function ``lists`` takes from
+    the batches of ``source``; ``known``: (space, key, first, second) to look up instead of the lists' sums."""
     levels, nodes = [], n
     while not levels or nodes > 1:
         nodes = -(-nodes // fan)
@@ -317,56 +352,51 @@ def exchange(lists: DataFrame, n: int, width: int, bits: int, dtype, make, name:
     for parents, take in levels:
         take = min(take, shift)
         shift -= take
-        pieces.append((lists.mapInArrow(partial(split, bits=take, shift=shift, parents=parents, dtype=dtype), PIECE_SCHEMA), take))
+        cut = lambda batches, read=lists, take=take, shift=shift, parents=parents: split(read(batches), take, shift, parents)
+        pieces.append((source.mapInArrow(cut, PIECE_SCHEMA), take))
         if len(pieces) < len(levels):
-            lists = stage(pieces[-1][0].groupBy("space", "prefix", "parent").applyInArrow(lambda t: merge(t, dtype), LIST_SCHEMA), f"{name}-lists")
+            source, lists = stage(pieces[-1][0].groupBy("space", "prefix", "parent").applyInArrow(lambda t: merge(t, dtype), LIST_SCHEMA), f"{name}-lists"), partial(stored_lists, dtype=dtype)
     last, take = pieces.pop()
     if known is None:
-        done = last.groupBy("space", "prefix").applyInArrow(lambda t: finish(t, None, dtype, make, take, keep), ANSWER_SCHEMA)
+        done = last.groupBy("space", "prefix").applyInArrow(lambda t: finish(t, None, dtype, stats, take, keep), ANSWER_SCHEMA)
     else:
-        found = known.select("key", "value", "space", F.shiftrightunsigned("key", shift).alias("prefix")).groupBy("space", "prefix")
-        done = last.groupBy("space", "prefix").cogroup(found).applyInArrow(lambda t, k: finish(t, k, dtype, make, take, False), ANSWER_SCHEMA)
+        found = known.select("key", "first", "second", "space", F.shiftrightunsigned("key", shift).alias("prefix")).groupBy("space", "prefix")
+        done = last.groupBy("space", "prefix").cogroup(found).applyInArrow(lambda t, k: finish(t, k, dtype, stats, take, False), ANSWER_SCHEMA)
     answers = stage(done, name, ["kind"] if keep else None)
     kept = answers
     while pieces:
         up, take = pieces.pop()
         below = answers.where("kind = 0").withColumn("parent", F.col("node")).groupBy("space", "prefix", "parent")
-        down = up.groupBy("space", "prefix", "parent").cogroup(below).applyInArrow(_passing(dtype, answer_dtype, take), ANSWER_SCHEMA)
-        answers = stage(down, name)
+        answers = stage(up.groupBy("space", "prefix", "parent").cogroup(below).applyInArrow(_passing(dtype, take), ANSWER_SCHEMA), name)
     return answers if answers is kept else answers.unionByName(kept.where("kind = 1 or size(stats) > 0").withColumn("kind", F.when(F.col("kind") == 0, 2).otherwise(F.col("kind"))))
 
 
 def count_lists(batches, order: int, width: int):
-    """A block's list for each order: its distinct n-grams, how often training texts have them, and whether others do."""
+    """A block's list for each order: its distinct n-grams, how often training texts have them, and how often others."""
     for batch in batches:
         for row in batch.to_pylist():
             tokens, starts = _read_block(row)
             learn = np.repeat(np.array(row["train"], bool), np.diff(starts))
             for k, gram in enumerate(_grams(tokens, starts, order)[0], 1):
                 distinct, local = np.unique(gram >> np.uint64(64 - width), return_inverse=True)
-                counts = np.bincount(local, weights=learn, minlength=len(distinct)).astype(np.int64)
-                others = np.bincount(local, weights=~learn, minlength=len(distinct)) > 0
-                yield from _table(LIST_SCHEMA, [_list_row(k, row["block"], distinct, np.stack([counts, others]))]).to_batches()
+                counts = np.stack([np.bincount(local, weights=w, minlength=len(distinct)) for w in (learn, ~learn)]).astype(np.int64)
+                counts[1] = counts[1] > 0
+                yield k, 0, row["block"], distinct, counts, None
 
 
-def _counted(totals: np.ndarray):
-    """Twice the count, and 1 more if other texts have the n-gram too; and the numbers of n-grams that occur once, twice,
-    ... ``MAX_COUNT`` + 1 times, of all tokens and of all n-grams."""
+def _count_stats(totals: np.ndarray) -> list[int]:
+    """Numbers of n-grams that occur once, twice, ... ``MAX_COUNT`` + 1 times, of all tokens and of all n-grams."""
     seen = totals[0][totals[0] > 0]
     of_counts = np.bincount(np.minimum(seen, MAX_COUNT + 2), minlength=MAX_COUNT + 3)[1 : MAX_COUNT + 2]
-    return 2 * totals[0] + (totals[1] > 0), [*map(int, of_counts), int(seen.sum()), len(seen)]
-
-
-def _weighed(totals: np.ndarray):
-    """What a history's unseen words share, over their mass one order lower, as a logarithm."""
-    return np.log10((1 - totals[0]) / np.maximum(1 - totals[1], 1e-12)), []
+    return [*map(int, of_counts), int(seen.sum()), len(seen)]
 
 
 def score_block(block: pa.Table, answers: pa.Table, order: int, width: int, model: dict, every: bool) -> pa.Table:
     """A block's sums by text and needs (kind 0), and its lists of histories (kind 1).
 
-    All that follows a history in a training text was seen, so only histories of other texts may need a weight; with
-    ``every`` the others are listed too.
+    A history's list has the discounted counts of what follows it, and of the same words after the shorter history; who
+    asks divides them by the histories' counts.  All that follows a history in a training text was seen, so only histories
+    of other texts may need a weight; with ``every`` all are listed, and divided already.
     """
     out, by = [], {}
     for r in answers.to_pylist():
@@ -374,54 +404,57 @@ def score_block(block: pa.Table, answers: pa.Table, order: int, width: int, mode
     for row in block.to_pylist():
         tokens, starts = _read_block(row)
         grams, histories = _grams(tokens, starts, order)
-        cut = np.uint64(64 - width)
-        log_p, below, held_count, held_due, needs = None, None, None, None, []
-        lists: list[list] = [[] for _ in range(order + 1)]
+        cut, begins = np.uint64(64 - width), starts[:-1]
+
+        def before(of_token, at_start, begins=begins):
+            """What holds of the n-gram that ends just before each token."""
+            out = np.empty_like(of_token)
+            out[1:] = of_token[:-1]
+            out[begins] = at_start
+            return out
+
+        log_p = below = count_below = due_below = under = None
+        lists, needs = {}, []
         for k in range(1, order + 1):
             distinct, first, local = np.unique(grams[k - 1] >> cut, return_index=True, return_inverse=True)
-            totals, owned = _joined(by[k], np.int64)
-            due, totals = (totals & 1)[local] > 0, totals >> 1
-            taken, count = _discounted(totals, model["discounts"][k - 1]), totals[local]
+            (totals, others), owned = _joined(by[k], np.int64)
+            taken, count, due = _discounted(totals, model["discounts"][k - 1]), totals[local], (others > 0)[local]
             if k == 1:
-                p = np.where(totals > 0, taken / max(1, model["n"]), model["unknown"])
                 known, base = count > 0, np.log10((count + 1) / (model["n"] + model["types"] + 1))
-                log_p, below, held_count, held_due = np.log10(p)[local], p[local], count, due
-                continue
-            # how often the history was followed: as often as it was seen, since a text's end follows
-            followed = np.empty(len(tokens), np.int64)
-            followed[1:] = held_count[:-1]
-            followed[starts[:-1]] = model["texts"]
-            history, seen = histories[k - 1] >> cut, count > 0
-            p = np.where(seen, taken[local] / np.maximum(followed, 1), 0.0)
-            for _, unseen in needs:
-                unseen[seen] = False  # a longer n-gram was seen: no weight of a shorter history is needed
-            needs.append((k, ~seen & (followed > 0)))
-            log_p = np.where(seen, np.log10(np.where(seen, p, 1.0)), log_p)
-            asked_for = np.ones(len(tokens), bool)
-            if not every:
-                asked_for[1:] = held_due[:-1]
-                asked_for[starts[:-1]] = True
-            at = first[owned]
-            at = at[asked_for[at]]
-            ctx, of = np.unique(history[at], return_inverse=True)
-            lists[k] = [history, ctx, *(np.bincount(of, weights=x[at], minlength=len(ctx)) for x in (p, below))]
-            below, held_count, held_due = p, count, due
+                log_p = np.log10(np.where(totals > 0, taken / max(1, model["n"]), model["unknown"]))[local]
+                below, under = taken[local], np.full(len(tokens), max(1, model["n"]))
+            else:
+                # how often the history was followed: as often as it was seen, since a text's end follows
+                followed, history, seen = before(count_below, model["texts"]), histories[k - 1] >> cut, count > 0
+                over = np.maximum(followed, 1)
+                log_p = np.where(seen, np.log10(np.where(seen, taken[local] / over, 1.0)), log_p)
+                for n in needs:
+                    n["unseen"][seen] = False  # a longer n-gram was seen: no weight of a shorter history is needed
+                needs.append({"k": k, "unseen": ~seen & (followed > 0), "over": over, "under": under})
+                at = first[owned]
+                at = at if every else at[before(due_below, True)[at]]
+                ctx, of = np.unique(history[at], return_inverse=True)
+                parts = (taken[local[at]], below[at])
+                parts = (parts[0] / over[at], parts[1] / under[at]) if every else parts
+                lists[k] = history, ctx, [np.bincount(of, weights=x, minlength=len(ctx)) for x in parts]
+                below, under = taken[local], over
+            count_below, due_below = count, due
         sizes = np.diff(starts)
         owed, doc = [], np.repeat(np.arange(len(sizes)), sizes)
-        for k, unseen in needs:
-            history, ctx, seen_mass, lower_mass = lists[k]
-            at = np.flatnonzero(unseen)
-            asked, place = np.unique(history[at], return_inverse=True)
-            owed += [doc[at], place]
+        for n in needs:
+            history, ctx, masses = lists[n["k"]]
+            at = np.flatnonzero(n["unseen"])
+            asked, one, place = np.unique(history[at], return_index=True, return_inverse=True)
+            one = at[one]
+            owed += [doc[at], place, *(np.ones_like(one) if every else n[x][one] for x in ("over", "under"))]
             keys = np.union1d(ctx, asked)
             sums, mark = np.zeros((2, len(keys))), np.zeros(len(keys), bool)
-            sums[:, np.searchsorted(keys, ctx)] = seen_mass, lower_mass
+            sums[:, np.searchsorted(keys, ctx)] = masses
             mark[np.searchsorted(keys, asked)] = True
-            out.append({"kind": 1} | _list_row(k, row["block"], keys, sums, mark))
-        summed = lambda x: np.add.reduceat(x.astype(float), starts[:-1])  # noqa: E731  no text is without its end
+            out.append({"kind": 1} | _list_row(n["k"], 0, row["block"], keys, sums, mark))
+        summed = lambda x: np.add.reduceat(x.astype(float), begins)  # noqa: E731  no text is without its end
         texts = np.stack([sizes.astype(float), summed(known), summed(base), summed(log_p)])
-        lengths = np.array([len(x) for x in owed], np.int64)
-        flat = np.concatenate([lengths, *owed]) if owed else lengths
+        flat = np.concatenate([np.array([len(x) for x in owed], np.int64), *owed])
         out.append({"kind": 0, "block": row["block"], "ids": row["ids"], "train": row["train"], "texts": pack(texts.reshape(-1)), "needs": pack(flat.astype(np.int64))})
     return _table(PART_SCHEMA, out)
 
@@ -434,18 +467,24 @@ def settle(parts: pa.Table, answers: pa.Table, order: int) -> pa.Table:
     for row in parts.to_pylist():
         sizes, known, base, log_p = unpack(row["texts"], np.float64).reshape(4, -1)
         flat = unpack(row["needs"], np.int64)
-        at = 2 * (order - 1)
+        at = 4 * (order - 1)
         owed = np.split(flat[at:], np.cumsum(flat[:at])[:-1]) if at else []
         for k in range(2, order + 1):
-            doc, place = owed[2 * (k - 2) : 2 * (k - 1)]
+            doc, place, over, under = owed[4 * (k - 2) : 4 * (k - 1)]
             if len(doc):
-                weights, _ = _joined(by.get(k, []), np.float64)
+                (seen, lower), _ = _joined(by.get(k, []), np.float64)
+                weights = log_weight(seen / over, lower / under)
                 log_p = log_p + np.bincount(doc, weights=weights[place], minlength=len(log_p))
         columns = [pa.array(row["ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(log_p)]
         out.append(pa.table(columns, names=out[0].schema.names))
     return pa.concat_tables(out)
 
 
+def log_weight(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """What a history's unseen words share, over their mass one order lower, as a logarithm."""
+    return np.log10((1 - seen) / np.maximum(1 - lower, 1e-12))
+
+
 def _unigram_rest(stats: list[int], d: list[float]) -> float:
     """The mass that the discounts free: the unknown class's."""
     of, n, types = stats[: MAX_COUNT + 1], *stats[-2:]
@@ -461,9 +500,8 @@ def _run(docs: DataFrame, train: Column, id_col: str, text_col: str, order: int,
     size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0)).alias("texts")).first()
     width = given["width"] if given else hash_width(size.n)
     bits = max(4, int(size.n // bucket_tokens).bit_length())
-    lists = blocks.mapInArrow(partial(count_lists, order=order, width=width), LIST_SCHEMA)
-    swap = lambda what, dtype, make, rows, name: exchange(rows, size.blocks, width, bits, dtype, make, name, given[what] if given else None, keep, fan)
-    counts = swap("counts", np.int64, _counted, lists, "katz-counts")
+    swap = lambda what, rows, lists, dtype, stats: exchange(rows, lists, size.blocks, width, bits, dtype, stats, f"katz-{what}", given[what] if given else None, keep, fan)
+    counts = swap("counts", blocks, partial(count_lists, order=order, width=width), np.int64, _count_stats)
     if given:
         model = given["model"]
     else:
@@ -473,10 +511,14 @@ def _run(docs: DataFrame, train: Column, id_col: str, text_col: str, order: int,
         d = [discounts(stats.get(k, none)[: MAX_COUNT + 1]) for k in range(1, order + 1)]
         n_all, types = stats.get(1, none)[-2:]
         model = {"n": n_all, "types": types, "texts": size.texts, "discounts": d, "unknown": _unigram_rest(stats.get(1, none), d[0])}
+    every = keep or given is not None
     back = counts.where("kind = 0").select("space", "part", "answers", "firsts", F.col("node").alias("block")).groupBy("block")
-    parts = stage(blocks.groupBy("block").cogroup(back).applyInArrow(lambda b, a: score_block(b, a, order, width, model, keep), PART_SCHEMA), "katz-parts", ["kind"])
+    parts = stage(blocks.groupBy("block").cogroup(back).applyInArrow(lambda b, a: score_block(b, a, order, width, model, every), PART_SCHEMA), "katz-parts", ["kind"])
+    discard(blocks)
+    if not keep:
+        discard(counts)
     owing = parts.where("kind = 1").select(*[f.split(" ")[0] for f in LIST_SCHEMA.split(", ")])
-    weights = swap("weights", np.float64, _weighed, owing, "katz-weights")
+    weights = swap("weights", owing, partial(stored_lists, dtype=np.float64), np.float64, lambda totals: [])
     back = weights.where("kind = 0").select("space", "part", "answers", "firsts", F.col("node").alias("block")).groupBy("block")
     scores = parts.where("kind = 0").select("block", "ids", "train", "texts", "needs").groupBy("block").cogroup(back).applyInArrow(lambda b, a: settle(b, a, order), SCORE_SCHEMA)
     scores = scores.withColumn("train_tokens", F.lit(model["n"]).cast("long")).select("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -484,7 +526,7 @@ def _run(docs: DataFrame, train: Column, id_col: str, text_col: str, order: int,
 
 
 def katz_scores(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_tokens: int = 600_000, fan: int = FAN, bucket_tokens: int = 1_200_000
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_tokens: int = 1_400_000, fan: int = FAN, bucket_tokens: int = 1_200_000
 ) -> DataFrame:
     """log10 probability of every text under a Katz model of the texts where ``train`` holds.
 
@@ -493,7 +535,7 @@ def katz_scores(
     Unknown words are one class, which has the mass that the unigram discounts free, so each history's probabilities sum
     to one over the known words and that class.  Null text is empty (its end alone is scored), a null ``train`` is
     false, repeated rows count each time, a text of any length is read whole, an empty table gives no row, other columns
-    are ignored.  N-grams are told apart by hashes of 24 bits more than the number of tokens takes, 64 at most.
+    are ignored.  N-grams are told apart by hashes of 22 bits more than the number of tokens takes, 64 at most.
     """
     return _run(docs, train, id_col, text_col, order, block_tokens, fan, bucket_tokens, False, None)[0]
 
@@ -502,12 +544,13 @@ def _rows_of(batches, dtype):
     """Kept lists to rows (space, key, value)."""
     for batch in batches:
         for row in batch.to_pylist():
-            keys, values = unpack_sorted(row["keys"]), unpack(row["answers"], dtype)
-            values = values >> 1 if dtype is np.int64 else values
+            keys = unpack_sorted(row["keys"])
+            lines = _unpack_lines(row["answers"], len(keys), dtype)
+            values = lines[0] if dtype is np.int64 else log_weight(*lines)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["space"], np.int32)), pa.array(keys.view(np.int64)), pa.array(values)], ["space", "key", "value"])
 
 
-def fit_katz(docs: DataFrame, path: str, text_col: str = "text", order: int = 3, block_tokens: int = 600_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> None:
+def fit_katz(docs: DataFrame, path: str, text_col: str = "text", order: int = 3, block_tokens: int = 1_400_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> None:
     """Write a model of all texts under ``path``: counts (gram_order, gram, count), weights (gram_order, history,
     log_weight), both partitioned by order, and one row of totals and discounts.  Cases as in ``katz_scores``.
 
@@ -520,12 +563,14 @@ def fit_katz(docs: DataFrame, path: str, text_col: str = "text", order: int = 3,
     docs.sparkSession.createDataFrame([(json.dumps(model),)], "model string").coalesce(1).write.text(f"{path}/model")
 
 
-def score_katz(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 600_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> DataFrame:
+def score_katz(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_400_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> DataFrame:
     """Scores of texts by the model that ``fit_katz`` wrote under ``path``; columns and cases as in ``katz_scores``."""
     spark = docs.sparkSession
     model = json.loads(spark.read.text(f"{path}/model").first()[0])
     read = lambda what, key, value: spark.read.parquet(f"{path}/{what}").select(F.col("gram_order").cast("int").alias("space"), F.col(key).alias("key"), F.col(value).alias("value"))
-    given = {"width": model["width"], "model": model, "counts": read("counts", "gram", "count").withColumn("value", 2 * F.col("value") + 1), "weights": read("weights", "history", "log_weight")}
+    counts = read("counts", "gram", "count").select("space", "key", F.col("value").alias("first"), F.lit(1).cast("long").alias("second"))
+    weights = read("weights", "history", "log_weight").select("space", "key", (1 - F.pow(F.lit(10.0), "value")).alias("first"), F.lit(0.0).alias("second"))
+    given = {"width": model["width"], "model": model, "counts": counts, "weights": weights}
     return _run(docs, F.lit(False), id_col, text_col, model["order"], block_tokens, fan, bucket_tokens, False, given)[0]
 
 

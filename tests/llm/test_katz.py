@@ -107,7 +107,5 @@ def test_rows_grow_with_the_input(spark, texts):
     n = []
     for part in (df.where("doc_id < 30"), df):
         lists = part.select("doc_id", "text", F.lit(True).alias("train")).repartition(4).mapInArrow(lambda b: katz.encode_blocks(b, 300), katz.BLOCK_SCHEMA)
-        lists = lists.mapInArrow(lambda b: katz.count_lists(b, 3, 40), katz.LIST_SCHEMA).cache()
-        pieces = lists.mapInArrow(lambda b: katz.split(b, 3, 37, 4, "int64"), katz.PIECE_SCHEMA).count()
-        n.append((lists.count(), pieces))
+        n.append((lists.count(), lists.mapInArrow(lambda b: katz.split(katz.count_lists(b, 3, 40), 3, 37, 4), katz.PIECE_SCHEMA).count()))
     assert n[1][0] > 1.5 * n[0][0] and n[1][1] / n[1][0] < 1.3 * n[0][1] / n[0][0]

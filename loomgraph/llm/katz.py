@@ -526,7 +526,7 @@ def _run(docs: DataFrame, train: Column, id_col: str, text_col: str, order: int,
 
 
 def katz_scores(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_tokens: int = 1_400_000, fan: int = FAN, bucket_tokens: int = 1_200_000
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_tokens: int = 1_000_000, fan: int = FAN, bucket_tokens: int = 1_200_000
 ) -> DataFrame:
     """log10 probability of every text under a Katz model of the texts where ``train`` holds.
 
@@ -550,7 +550,7 @@ def _rows_of(batches, dtype):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["space"], np.int32)), pa.array(keys.view(np.int64)), pa.array(values)], ["space", "key", "value"])
 
 
-def fit_katz(docs: DataFrame, path: str, text_col: str = "text", order: int = 3, block_tokens: int = 1_400_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> None:
+def fit_katz(docs: DataFrame, path: str, text_col: str = "text", order: int = 3, block_tokens: int = 1_000_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> None:
     """Write a model of all texts under ``path``: counts (gram_order, gram, count), weights (gram_order, history,
     log_weight), both partitioned by order, and one row of totals and discounts.  Cases as in ``katz_scores``.
 
@@ -563,7 +563,7 @@ def fit_katz(docs: DataFrame, path: str, text_col: str = "text", order: int = 3,
     docs.sparkSession.createDataFrame([(json.dumps(model),)], "model string").coalesce(1).write.text(f"{path}/model")
 
 
-def score_katz(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_400_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> DataFrame:
+def score_katz(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_000_000, fan: int = FAN, bucket_tokens: int = 1_200_000) -> DataFrame:
     """Scores of texts by the model that ``fit_katz`` wrote under ``path``; columns and cases as in ``katz_scores``."""
     spark = docs.sparkSession
     model = json.loads(spark.read.text(f"{path}/model").first()[0])

@@ -12,33 +12,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import stage
+from loomgraph.runtime import discard, stage
 
 TYPE = "rdf:type"
 
 
-def closure(edges: DataFrame, sub: str = "sub", sup: str = "super", max_rounds: int = 40) -> DataFrame:
-    """(sub, super) for every descendant, each class its own too; cycles end (Q1).  Joins only new pairs."""
-    base = edges.select(F.col(sub).alias("sub"), F.col(sup).alias("super")).distinct()
-    names = base.select(F.col("sub").alias("n")).union(base.select("super")).distinct()
-    known = stage(base.union(names.select(F.col("n").alias("sub"), F.col("n").alias("super"))).distinct(), "closure")
-    fresh = known
-    for _ in range(max_rounds):
-        step = fresh.alias("a").join(base.alias("b"), F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super").distinct()
-        fresh = stage(step.join(known, ["sub", "super"], "left_anti"), "closure")
-        if fresh.isEmpty():
+def _doubled(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Transitive pairs (a, b): each round joins what is known with itself, so paths double until nothing is new."""
+    known = stage(pairs.select(a, b).distinct(), name)
+    n = known.count()
+    while True:
+        hop = known.select(F.col(a).alias("_m"), F.col(b).alias("_f"))
+        more = known.join(hop, F.col(b) == F.col("_m")).select(a, F.col("_f").alias(b))
+        wider = stage(known.union(more).distinct(), name)
+        discard(known)
+        known, before, n = wider, n, wider.count()
+        if n == before:
             return known
-        known = stage(known.union(fresh), "closure")
-    raise RuntimeError("closure did not settle")
 
 
-def sub_properties(prop_edges: DataFrame, domains: DataFrame, class_closure: DataFrame, prop: str, cls: str) -> DataFrame:
-    """(p): ``prop`` and its sub-properties whose domain is ``cls`` or a super- or subclass of it (Q1)."""
+def closure(edges: DataFrame, sub: str = "sub", sup: str = "super") -> DataFrame:
+    """(sub, super) for every descendant, each class its own too; cycles end, hierarchies of any depth settle (Q1)."""
+    base = edges.select(F.col(sub).alias("sub"), F.col(sup).alias("super"))
+    names = base.select(F.col("sub").alias("n")).union(base.select("super")).distinct()
+    return _doubled(base.union(names.select(F.col("n").alias("sub"), F.col("n").alias("super"))), "sub", "super", "closure")
+
+
+def sub_properties(prop_closure: DataFrame, domains: DataFrame, class_closure: DataFrame, prop: str, cls: str) -> DataFrame:
+    """(p): ``prop`` and its sub-properties whose domain is ``cls`` or a super- or subclass of it (Q1).
+
+    ``domains``: (p, domain); a sub-property without one is left out.
+    """
     near = (
         class_closure.where(F.col("super") == cls).select(F.col("sub").alias("domain"))
-        .union(class_closure.where(F.col("sub") == cls).select(F.col("super").alias("domain"))).distinct()
+        .union(class_closure.where(F.col("sub") == cls).select(F.col("super").alias("domain")))
+        .union(class_closure.sparkSession.createDataFrame([(cls,)], "domain string")).distinct()
     )
-    subs = closure(prop_edges).where((F.col("super") == prop) & (F.col("sub") != prop)).select(F.col("sub").alias("p"))
+    subs = prop_closure.where((F.col("super") == prop) & (F.col("sub") != prop)).select(F.col("sub").alias("p"))
     return subs.join(domains, "p").join(near, "domain", "left_semi").select("p").union(subs.sparkSession.createDataFrame([(prop,)], "p string")).distinct()
 
 
@@ -98,18 +108,23 @@ class Node:
 
 
 class Graph:
-    def __init__(self, triples: DataFrame, classes: DataFrame | None = None, properties: DataFrame | None = None, graphs: list[str] | None = None):
+    def __init__(self, triples: DataFrame, classes: DataFrame | None = None, properties: DataFrame | None = None, graphs: list[str] | None = None, domains: DataFrame | None = None):
+        """``classes`` and ``properties``: (sub, super) edges; ``domains``: (p, domain), which limit sub-properties by class."""
         self.triples = triples if graphs is None else triples.where(F.col("graph").isin(*graphs))  # Q17
         self.classes = closure(classes) if classes is not None else None
         self.properties = closure(properties) if properties is not None else None
+        self.domains = domains
 
-    def edges(self, predicate: str, subject: str, value: str) -> DataFrame:
-        """(subject, value) of a predicate or any sub-property of it."""
+    def edges(self, predicate: str, subject: str, value: str, cls: str | None = None) -> DataFrame:
+        """(subject, value) of a predicate or any sub-property of it that may be on ``cls``."""
         wanted = F.col("p") == predicate
         if self.properties is None:
             found = self.triples.where(wanted)
         else:
-            names = self.properties.where(F.col("super") == predicate).select(F.col("sub").alias("p"))
+            if self.domains is not None and self.classes is not None and cls is not None:
+                names = sub_properties(self.properties, self.domains, self.classes, predicate, cls)
+            else:
+                names = self.properties.where(F.col("super") == predicate).select(F.col("sub").alias("p"))
             found = self.triples.join(names.union(names.sparkSession.createDataFrame([(predicate,)], "p string")).distinct(), "p", "left_semi")
         return found.select(F.col("s").alias(subject), F.col("o").alias(value))
 
@@ -125,25 +140,14 @@ class Graph:
             types = types.join(subs.union(subs.sparkSession.createDataFrame([(node.cls,)], "_cls string")).distinct(), "_cls", "left_semi")
         return types.withColumnRenamed("_cls", node.type_var).distinct() if node.type_var else types.select(node.var).distinct()
 
-    def path(self, link: Link, near: str, far: str, max_rounds: int = 50) -> DataFrame:
-        """(near, far) of a link; ``*`` and ``+`` join only new pairs until none is left (Q6)."""
+    def path(self, link: Link, near: str, far: str, cls: str | None = None) -> DataFrame:
+        """(near, far) of a link; ``*`` and ``+`` double their paths until none is new (Q6).  ``cls``: the class of near."""
         flip = link.reverse != (link.qualifier == "^")
-        step = self.edges(link.predicate, far if flip else near, near if flip else far).select(near, far).distinct()
+        step = self.edges(link.predicate, far if flip else near, near if flip else far, link.node.cls if flip else cls).select(near, far).distinct()
         if link.qualifier in ("", "^"):
             return step
         if link.qualifier in ("*", "+"):
-            known = stage(step, "path")
-            fresh = known
-            hop = step.select(F.col(near).alias("_m"), F.col(far).alias("_f"))
-            for _ in range(max_rounds):
-                more = fresh.join(hop, F.col(far) == F.col("_m")).select(near, F.col("_f").alias(far)).distinct()
-                fresh = stage(more.join(known, [near, far], "left_anti"), "path")
-                if fresh.isEmpty():
-                    break
-                known = stage(known.union(fresh), "path")
-            else:
-                raise RuntimeError("path did not settle")
-            step = known
+            step = _doubled(step, near, far, "path")
         if link.qualifier in ("*", "?"):
             nodes = self.triples.select(F.col("s").alias(near)).union(self.triples.where("o_kind = 'uri'").select("o")).distinct()
             step = step.union(nodes.select(near, F.col(near).alias(far))).distinct()
@@ -160,12 +164,12 @@ class Graph:
         for mode in ("required", "minus", "optional"):
             for _, part in (x for x in parts if x[0] == mode):
                 if isinstance(part, Prop):
-                    found = self.edges(part.predicate, node.var, part.var)
+                    found = self.edges(part.predicate, node.var, part.var, node.cls)
                     for w in part.where:
                         if not w.other:
                             found = found.where(w.column(F.col(part.var)))
                 else:
-                    found = self.path(part, node.var, part.node.var).join(self.match(part.node), part.node.var)
+                    found = self.path(part, node.var, part.node.var, node.cls).join(self.match(part.node), part.node.var)
                 out = out.join(found, node.var, how[mode])
             if mode == "required":
                 for branches in node.unions:
@@ -245,7 +249,8 @@ class Graph:
 
     def instance_table(self, pairs: list[tuple[str, str]]) -> DataFrame:
         wanted = self.triples.sparkSession.createDataFrame(pairs, "cls string, p string")
-        out = self.triples.join(self.types(), "s").join(F.broadcast(wanted), ["cls", "p"])
+        own = self.triples.where(F.col("p").isin(sorted({p for _, p in pairs})))
+        out = own.join(self.types().where(F.col("cls").isin(sorted({c for c, _ in pairs}))), "s").join(wanted, ["cls", "p"])
         return out.join(self.types("o", "o_cls"), "o", "left").select("s", "cls", "p", "o", "o_cls").distinct()
 
     def subjects_of_classes(self, classes: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, component) for every node that an edge names; the component is its least node.
 
     Edges are undirected; null ends, loops and repeats are ignored.  Each round ends in a
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     )
     now = stage(now, "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         now = stage(_star(_star(now, True), False), "edges")
         sums = now.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
@@ -49,4 +49,3 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = tuple(sums)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -43,24 +43,26 @@ def path_instance_count(triples: DataFrame, start: str, steps: list[tuple[str, s
     return at.agg(F.count("*").alias("n"))
 
 
-def cardinality_rules(model: DataFrame, max_list: int = 50) -> DataFrame:
-    """(class, property, restriction, limit) from restriction triples, direct or through unionOf lists (A4)."""
+def cardinality_rules(model: DataFrame) -> DataFrame:
+    """(class, property, restriction, limit) from restriction triples, direct or through unionOf lists of any length (A4).
+
+    A list is walked by jumps that double; a list that turns back on itself ends where nothing is new.
+    """
     one = lambda p, out: model.where(F.col("p") == p).select(F.col("s").alias("r"), F.col("o").alias(out))
     limits = reduce(DataFrame.union, [one(f"owl:{k}", "limit").withColumn("restriction", F.lit(k)) for k in ("maxCardinality", "minCardinality", "cardinality")])
     rules = limits.join(one("owl:onProperty", "property"), "r")
     direct = model.where(F.col("p") == "rdfs:subClassOf").select(F.col("s").alias("class"), F.col("o").alias("r"))
     first, rest = (model.where(F.col("p") == f"rdf:{p}").select(F.col("s").alias("cell"), F.col("o").alias(p)) for p in ("first", "rest"))
-    at = model.where(F.col("p") == "owl:unionOf").select(F.col("s").alias("u"), F.col("o").alias("cell"))
-    members = None
-    for _ in range(max_list):
-        at = stage(at, "lists")
-        if at.isEmpty():
+    at = stage(model.where(F.col("p") == "owl:unionOf").select(F.col("s").alias("u"), F.col("o").alias("cell")).distinct(), "lists")
+    jump, n = stage(rest.distinct(), "jumps"), at.count()
+    while n:
+        at = stage(at.union(at.join(jump, "cell").select("u", "rest")).distinct(), "lists")
+        jump = stage(jump.join(jump.select(F.col("cell").alias("rest"), F.col("rest").alias("far")), "rest").select("cell", F.col("far").alias("rest")).distinct(), "jumps")
+        before, n = n, at.count()
+        if n == before:
             break
-        got = at.join(first, "cell").select("u", F.col("first").alias("class"))
-        members = got if members is None else members.union(got)
-        at = at.join(rest, "cell").select("u", F.col("rest").alias("cell"))
-    if members is not None:
-        direct = direct.union(direct.join(members, direct["class"] == members["u"]).select(members["class"], "r"))
+    members = at.join(first, "cell").select("u", F.col("first").alias("class"))
+    direct = direct.union(direct.join(members, direct["class"] == members["u"]).select(members["class"], "r"))
     return direct.join(rules, "r").select("class", "property", "restriction", F.col("limit").cast("int").alias("limit")).distinct()
 
 
@@ -74,8 +76,9 @@ def cardinality_violations(triples: DataFrame, rules: DataFrame, classes: DataFr
     if classes is not None:
         up = closure(classes)
         t = t.join(up, t.cls == up["sub"], "left").select("s", F.coalesce("super", "cls").alias("cls")).distinct()
-    due = t.join(F.broadcast(rules), t.cls == rules["class"]).select(rules["*"], F.col("s").alias("subject"))
-    counts = triples.groupBy(F.col("s").alias("subject"), F.col("p").alias("property")).agg(F.count_distinct("o").cast("int").alias("n"))
+    due = t.join(rules, t.cls == rules["class"]).select(rules["*"], F.col("s").alias("subject"))
+    ruled = triples.join(rules.select(F.col("property").alias("p")).distinct(), "p", "left_semi")  # prunes the partitions of a table by predicate
+    counts = ruled.groupBy(F.col("s").alias("subject"), F.col("p").alias("property")).agg(F.count_distinct("o").cast("int").alias("n"))
     got = due.join(counts, ["subject", "property"], "left").withColumn("property_count", F.coalesce("n", F.lit(0)))
     return got.where(breaks(F.col("restriction"), F.col("property_count"), F.col("limit"))).select("class", "property", "restriction", "limit", "subject", "property_count")
 
@@ -89,7 +92,7 @@ def violations_concise(violations: DataFrame, instance_counts: DataFrame) -> Dat
 
 def satisfies_cardinality(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """``facts``: (id, class, property, n); (id, ok) if no rule of any of its classes is broken."""
-    got = facts.join(F.broadcast(rules), ["class", "property"], "left")
+    got = facts.join(rules, ["class", "property"], "left")
     ok = F.coalesce(~breaks(F.col("restriction"), F.col("n"), F.col("limit")), F.lit(True))
     return got.groupBy("id").agg(F.bool_and(ok).alias("ok"))
 
@@ -154,14 +157,13 @@ def shape_check(triples: DataFrame, shapes: list[dict], severity: list[str] | No
     return reduce(DataFrame.unionByName, found)
 
 
-def prune_by_shapes(triples: DataFrame, shapes: list[dict], max_rounds: int = 20) -> DataFrame:
-    """Delete every node that a shape reports, in and out, until none is reported (A10)."""
-    for _ in range(max_rounds):
+def prune_by_shapes(triples: DataFrame, shapes: list[dict]) -> DataFrame:
+    """Delete every node that a shape reports, in and out, until none is reported (A10).  Each round deletes some, so it ends."""
+    while True:
         gone = stage(shape_check(triples, shapes).select(F.col("focus").alias("_x")).distinct(), "pruned")
         if gone.isEmpty():
             return triples
         triples = stage(triples.join(gone, F.col("s") == F.col("_x"), "left_anti").join(gone, F.col("o") == F.col("_x"), "left_anti"), "triples")
-    raise RuntimeError("pruning did not settle")
 
 
 def same_as_precheck(same_as: DataFrame, triples: DataFrame, classes: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def same_as_batch(same_as: DataFrame) -> DataFrame:
     return same_as.join(used, "row", "left_anti")
 
 
-def combine_entities(triples: DataFrame, same_as: DataFrame, rules: DataFrame, drop_from_target: list[str] = (), drop_from_duplicate: list[str] = (), max_rounds: int = 30) -> tuple[DataFrame, DataFrame]:
+def combine_entities(triples: DataFrame, same_as: DataFrame, rules: DataFrame, drop_from_target: list[str] = (), drop_from_duplicate: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Merge duplicates into their targets, leaves first; (triples, rows left over in loops).
 
     Outgoing triples move unless their predicate is listed, is the type, or the merged count would break a
@@ -198,7 +200,7 @@ def combine_entities(triples: DataFrame, same_as: DataFrame, rules: DataFrame, d
     """
     left = same_as.select("row", "target", "duplicate")
     cols = triples.columns
-    for _ in range(max_rounds):
+    while True:  # each round uses rows up
         batch = stage(same_as_batch(left), "batch")
         if batch.isEmpty():
             return triples, left
@@ -209,7 +211,7 @@ def combine_entities(triples: DataFrame, same_as: DataFrame, rules: DataFrame, d
             moving.select(F.col("_t").alias("s"), "p", "o").union(triples.join(pairs, F.col("s") == F.col("_t")).where(~F.col("p").isin(TYPE, *drop_from_target)).select("s", "p", "o"))
             .groupBy("s", "p").agg(F.count_distinct("o").alias("n"))
         )
-        over = merged.join(types(triples), "s").join(F.broadcast(tops), ["cls", "p"]).where("n > limit").select(F.col("s").alias("_t"), "p").distinct()
+        over = merged.join(types(triples), "s").join(tops, ["cls", "p"]).where("n > limit").select(F.col("s").alias("_t"), "p").distinct()
         moved = moving.join(over, ["_t", "p"], "left_anti").withColumn("s", F.col("_t")).select(cols)
         rest = triples.join(pairs.select("_d"), F.col("s") == F.col("_d"), "left_anti")
         if drop_from_target:
@@ -218,7 +220,6 @@ def combine_entities(triples: DataFrame, same_as: DataFrame, rules: DataFrame, d
         both = rest.unionByName(moved).join(pairs, F.col("o") == F.col("_d"), "left").withColumn("o", F.coalesce("_t", "o")).select(cols).distinct()
         triples = stage(both, "combined")
         left = stage(left.join(batch, "row", "left_anti"), "same-as")
-    raise RuntimeError("combining did not settle")
 
 
 def combine_by_lookup(triples: DataFrame, rows: DataFrame, target_cols: dict[str, str], duplicate_cols: dict[str, str], classes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,8 +27,10 @@ def dedupe_mentions(rows: DataFrame, names: list[str], prefix: str = "ent_") ->
     return _first(rows, keys, "pos").withColumn("mention_id", short_sha1(F.concat_ws("|", *keys), 24, prefix))
 
 
-def merge_entities_exact(entities: DataFrame, by_type: bool = True) -> DataFrame:
-    """One row per type and normalised name (G3), or per normalised name alone (G7, with 64 source ids at most).
+def canonical_entities(entities: DataFrame, by_type: bool = True) -> DataFrame:
+    """One row per type and normalised name, or per normalised name alone: canonical_id, canonical_name, entity_type,
+    norm_name, description, mentions and pos.  Only partial aggregates, so that a name may hold any share of all rows;
+    ``entity_members`` has the ids.
 
     entities: entity_id, entity_name, entity_type, description, source_chunk_id, pos.
     """
@@ -37,14 +40,37 @@ def merge_entities_exact(entities: DataFrame, by_type: bool = True) -> DataFrame
         F.min_by("entity_name", "pos").alias("canonical_name"),
         F.min_by("entity_type", "pos").alias("_type"),
         F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col("pos"))).alias("description"),
-        F.array_sort(F.collect_set("entity_name")).alias("source_names"),
-        F.array_sort(F.collect_list(F.struct("pos", "entity_id"))).getField("entity_id").alias("merged_from"),
-        F.array_sort(F.collect_set("source_chunk_id")).alias("source_chunk_ids"),
+        F.count("*").alias("mentions"),
         F.min("pos").alias("pos"),
     )
-    if not by_type:
-        out = out.withColumn("entity_type", F.col("_type")).withColumn("merged_from", F.slice("merged_from", 1, 64))
-    return out.drop("_type").withColumn("canonical_id", short_sha1(F.concat_ws("|", "canonical_name", "entity_type"), 24, "canon_ent_"))
+    out = out.withColumn("entity_type", F.col("_type")).drop("_type")
+    return out.withColumn("canonical_id", short_sha1(F.concat_ws("|", "canonical_name", "entity_type"), 24, "canon_ent_"))
+
+
+def entity_members(entities: DataFrame, canonical: DataFrame, by_type: bool = True) -> DataFrame:
+    """(raw_id, canonical_id) of every mention: a row each, however many share a name."""
+    e = entities.withColumn("norm_name", normalize_name(F.col("entity_name")))
+    same = e["norm_name"] == canonical["norm_name"]
+    same = same & e["entity_type"].eqNullSafe(canonical["entity_type"]) if by_type else same
+    return e.join(canonical, same).select(e["entity_id"].alias("raw_id"), canonical["canonical_id"])
+
+
+def merge_entities_exact(entities: DataFrame, by_type: bool = True) -> DataFrame:
+    """``canonical_entities`` with arrays of names, ids and chunks (G3), or per normalised name alone (G7, with 64 source ids at most).
+
+    Arrays hold a whole group; for groups of unbounded size take ``canonical_entities`` and ``entity_members``.
+    """
+    e = entities.withColumn("norm_name", normalize_name(F.col("entity_name")))
+    keys = ["entity_type", "norm_name"] if by_type else ["norm_name"]
+    ids = e if by_type else e.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("pos", "entity_id"))).where("_n <= 64")  # a partial limit comes before the shuffle
+    of = ids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "entity_id"))).getField("entity_id").alias("merged_from"))
+    sets = e.groupBy(*keys).agg(F.array_sort(F.collect_set("entity_name")).alias("source_names"), F.array_sort(F.collect_set("source_chunk_id")).alias("source_chunk_ids"))
+    out = canonical_entities(entities, by_type).join(sets.withColumnsRenamed({k: f"_{k}" for k in keys}), _same(keys)).drop(*[f"_{k}" for k in keys])
+    return out.join(of.withColumnsRenamed({k: f"_{k}" for k in keys}), _same(keys)).drop(*[f"_{k}" for k in keys])
+
+
+def _same(keys: list[str]):
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
 
 
 def alias_groups(entities: DataFrame) -> DataFrame:
@@ -63,27 +89,73 @@ def similar(new: str, known: str, threshold: float) -> bool:
     return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
+def _errors(a: int, b: int, threshold: float) -> int:
+    """Characters outside matching blocks, of both names together, that a ratio of ``threshold`` allows."""
+    return int((1 - threshold) * (a + b) + 1e-9)
+
+
+def name_segments(name: str, threshold: float) -> list[tuple[int, int, str]]:
+    """(length, number, segment): more segments than errors, so that one at least is whole in every name alike."""
+    n = len(name)
+    parts = _errors(n, int(n * (2 - threshold) / threshold), threshold) + 1
+    cuts = [n * i // parts for i in range(parts + 1)]
+    return [(n, i, name[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+
+
+def name_probes(name: str, threshold: float) -> list[tuple[int, int, str]]:
+    """(length, number, text) of all that may be a segment of a name alike: lengths within the ratio, places within the errors."""
+    out, n, low = set(), len(name), threshold / (2 - threshold)
+    for m in range(max(1, int(low * n)), int(n / low) + 2):
+        parts = _errors(m, int(m / low), threshold) + 1
+        cuts = [m * i // parts for i in range(parts + 1)]
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            out |= {(m, i, name[s : s + b - a]) for s in range(max(0, a - parts + 1), min(n - (b - a), a + parts - 1) + 1)}
+    return sorted(out)
+
+
 def fuzzy_groups(names: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(entity_type, norm_name, group_name): greedy, first group in order of pos whose first name is alike.
 
-    ``names`` holds distinct names.  A candidate's group must be within a length ratio of t / (2 - t), so
-    groups are looked up by length.
+    ``names`` holds distinct names.  A name and an earlier one can only be alike if a segment of the one is whole in the other,
+    so pairs come from a join on segments, which loses none, and only they are compared.  A name without an earlier one alike is
+    first of a group; one whose earlier ones are all decided joins the first that is, or is first itself: rounds go on
+    until all are decided.  Thresholds under 0.7 would make segments empty and are an error; null names are left out.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        group, low = [], threshold / (2 - threshold)
-        for i, name in enumerate(pdf.sort_values(["pos", "norm_name"])["norm_name"]):
-            near = sorted(g for n in range(int(low * len(name)), int(len(name) / low) + 2) for g in by_length.get(n, ()))
-            found = next((k for _, k in near if similar(name, k, threshold)), None)
-            if found is None:
-                by_length.setdefault(len(name), []).append((i, name))
-            group.append(found or name)
-        out = pdf.sort_values(["pos", "norm_name"])[["entity_type", "norm_name"]].copy()
-        out["group_name"] = group
-        return out
-
-    return names.select("entity_type", "norm_name", "pos").groupBy("entity_type").applyInPandas(run, "entity_type string, norm_name string, group_name string")
+    if not 0.7 <= threshold <= 1:
+        raise ValueError("the threshold must be from 0.7 to 1")
+
+    def keyed(make):
+        def run(parts):
+            for pdf in parts:
+                rows = [(*r, *k) for r in pdf.itertuples(index=False) for k in make(r.norm_name, threshold)]
+                yield pd.DataFrame(rows, columns=["entity_type", "norm_name", "pos", "size", "no", "key"])
+
+        return run
+
+    shape = f"entity_type string, norm_name string, pos {dict(names.dtypes)['pos']}, size int, no int, key string"
+    given = stage(names.where("norm_name is not null").select(F.coalesce("entity_type", F.lit("")).alias("entity_type"), "norm_name", "pos"), "names")
+    known = given.mapInPandas(keyed(name_segments), shape).withColumnsRenamed({"norm_name": "earlier", "pos": "before"})
+    probes = given.mapInPandas(keyed(name_probes), shape)
+    pairs = probes.join(known, ["entity_type", "size", "no", "key"]).where("before < pos or (before = pos and earlier < norm_name)").select("entity_type", "norm_name", "earlier", "before").distinct()
+
+    def alike(parts):
+        for pdf in parts:
+            yield pdf[[similar(a, b, threshold) for a, b in zip(pdf["norm_name"], pdf["earlier"], strict=True)]]
+
+    near = stage(pairs.mapInPandas(alike, pairs.schema), "alike")
+    key = ["entity_type", "norm_name"]
+    done = stage(given.join(near, key, "left_anti").select(*key, F.col("norm_name").alias("group_name")), "groups")
+    left = near
+    while not left.isEmpty():
+        state = left.join(done.select("entity_type", F.col("norm_name").alias("earlier"), (F.col("group_name") == F.col("norm_name")).alias("first")), ["entity_type", "earlier"], "left")
+        told = state.groupBy(*key).agg(F.bool_and(F.col("first").isNotNull()).alias("all"), F.min(F.when(F.col("first"), F.struct("before", "earlier"))).alias("best"), F.min(F.when(F.coalesce("first", F.lit(True)), F.struct("before", "earlier"))).alias("could"))
+        # the first that is or may yet be first decides, once it is known to be
+        sure = told.where("all or (best is not null and best = could)").select(*key, F.coalesce("best.earlier", "norm_name").alias("group_name"))
+        done = stage(done.unionByName(sure), "groups")
+        left = stage(left.join(done.select(*key), key, "left_anti"), "left")
+    kinds = names.select("entity_type", "norm_name").where("norm_name is not null")
+    of = done.withColumnsRenamed({"entity_type": "_t", "norm_name": "_n"})
+    return kinds.join(of, (F.coalesce("entity_type", F.lit("")) == F.col("_t")) & (F.col("norm_name") == F.col("_n"))).select("entity_type", "norm_name", "group_name")
 
 
 def merge_entities(entities: DataFrame, strategy: str = "normalize", threshold: float = 0.9) -> DataFrame:
@@ -135,15 +207,19 @@ def resolve_endpoints(relations: DataFrame, names: DataFrame) -> DataFrame:
     return out.where(blank_to_null(F.col("source_entity")).isNotNull() & blank_to_null(F.col("target_entity")).isNotNull())
 
 
-def merge_relations(relations: DataFrame) -> DataFrame:
-    """One row per source, target and canonical type: greatest weight, longest description, ids."""
+def merge_relations(relations: DataFrame, arrays: bool = True) -> DataFrame:
+    """One row per source, target and canonical type: greatest weight, longest description, mentions, ids.
+
+    ``arrays=False`` leaves out the lists of ids and chunks, which hold a whole group.
+    """
     r = relations.withColumn("relation_type", canonical_relation_type(F.col("relation_type")))
+    lists = [F.array_sort(F.collect_list("relation_id")).alias("merged_from"), F.array_sort(F.collect_set("source_chunk_id")).alias("source_chunk_ids")] if arrays else []
     out = r.groupBy("source_entity", "target_entity", "relation_type").agg(
         F.max("weight").alias("weight"),
         F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col("pos"))).alias("description"),
-        F.array_sort(F.collect_list("relation_id")).alias("merged_from"),
-        F.array_sort(F.collect_set("source_chunk_id")).alias("source_chunk_ids"),
+        F.count("*").alias("mentions"),
         F.min("pos").alias("pos"),
+        *lists,
     )
     return out.withColumn("canonical_id", short_sha1(F.concat_ws("|", "source_entity", "target_entity", "relation_type"), 24, "canon_rel_"))
 
@@ -212,8 +288,19 @@ def graph_components(entities: DataFrame, relations: DataFrame, preserve_all: bo
     return entities.select("entity_id").distinct().join(comp, F.col("entity_id") == F.col("node"), "left").select("entity_id", F.coalesce("component", "entity_id").alias("least"))
 
 
+def component_sizes(membership: DataFrame, relations: DataFrame) -> DataFrame:
+    """(least, entity_count, relation_count) of each component, whatever its size; members are ``membership``'s rows."""
+    of = membership.select(F.col("entity_id").alias("source_entity"), "least")
+    rel = relations.join(of, "source_entity").groupBy("least").agg(F.count_distinct("relation_id").alias("relation_count"))
+    return membership.groupBy("least").agg(F.count_distinct("entity_id").alias("entity_count")).join(rel, "least", "left").fillna(0, "relation_count")
+
+
 def component_summary(membership: DataFrame, relations: DataFrame) -> DataFrame:
-    """component_id = comp_ + sha1 of the sorted ids, entity ids, relation ids and counts."""
+    """component_id = comp_ + sha1 of the sorted ids, entity ids, relation ids and counts.
+
+    The id is a hash of all ids, so a component is one array here; for components of unbounded size take
+    ``component_sizes``.
+    """
     of = membership.select(F.col("entity_id").alias("source_entity"), "least")
     rel = relations.join(of, "source_entity").groupBy("least").agg(F.array_sort(F.collect_set("relation_id")).alias("relation_ids"))
     ent = membership.groupBy("least").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
@@ -269,18 +356,24 @@ def attach_chunk_refs(nodes: DataFrame, chunks: DataFrame, cap: int = 200, docum
     return out.join(whole, "doc_id", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.when(F.col("label") == "Document", F.col("_doc")))).drop("_doc")
 
 
-def has_cycle(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 1000) -> bool:
-    """Peel nodes without an incoming edge until none is left, or a cycle is."""
-    now = stage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "cycle")
-    n = now.count()
-    for _ in range(max_rounds):
-        if n == 0:
-            return False
-        now = stage(now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi"), "cycle")
-        before, n = n, now.count()
-        if n == before:
+def has_cycle(edges: DataFrame, src: str = "src", dst: str = "dst") -> bool:
+    """Whether directed edges close a circle.
+
+    Each round lets edges jump over nodes that have one successor, which halves chains and keeps circles, and drops edges
+    whose start nothing enters or whose end nothing leaves.  No edge left: no circle; none dropped, or an edge that ends where
+    it starts: a circle.
+    """
+    now = stage(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "cycle")
+    while True:
+        n = now.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("loops")).first()
+        if n.loops or not n.n:
+            return bool(n.loops)
+        kept = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        kept = stage(kept.select("a", "b"), "cycle")
+        if kept.count() == n.n:
             return True
-    raise RuntimeError("too long a chain")
+        only = kept.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("s"), F.count("*").alias("n")).where("n = 1").select("b", "s")
+        now = stage(kept.join(only, "b", "left").select("a", F.coalesce("s", "b").alias("b")).distinct(), "cycle")
 
 
 def upsert_by_key(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Retrieval for batches of queries: search, fusion, reranking, context.
 
-Every frame is keyed by query_id.  Word search broadcasts at most ``BLOCK_QUERIES`` queries; more are dealt to
-blocks of about that size, each of which meets each part of the records in a task of its own.  Vector search
-always deals queries to blocks and records to shards.
+Every frame is keyed by query_id.  Substring searches broadcast at most ``BLOCK_QUERIES`` queries of a checked size; more
+are dealt to blocks of about that size, each of which meets each shard of the records in a task of its own.  Vector
+search always deals queries to blocks and records to shards.
 """
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,10 +30,95 @@ TURN_ORDER = ["vector", "graph", "keyword", "vision"]
 BLOCK_QUERIES = 10_000
 
 
-def _blocks(queries: DataFrame, block: int = BLOCK_QUERIES) -> DataFrame:
-    """The queries for a cross join: broadcast if few, else in partitions of about ``block``."""
-    n = queries.count()
-    return F.broadcast(queries) if n <= block else queries.repartition(-(-n // block))
+#: Bytes of queries that are broadcast at most; more are dealt to blocks that meet shards of records.
+BROADCAST_BYTES = 32_000_000
+
+
+class _Needles:
+    """Strings to look for, each with the queries that want it: one pass over a text finds all that occur in it."""
+
+    def __init__(self, queries: pd.DataFrame):
+        self.ids, self.size = queries["query_id"].to_numpy(), np.maximum(queries["_t"].map(len).to_numpy(), 1)
+        wanted: dict[str, list[int]] = {}
+        for i, words in enumerate(queries["_t"]):
+            for w in filter(None, words):
+                wanted.setdefault(w, []).append(i)
+        whole: dict[str, list[int]] = {}
+        for i, q in enumerate(queries["_q"]):
+            if q:
+                whole.setdefault(q, []).append(i)
+        self.words, self.whole = ([np.array(x.get(w, ()), np.int64) for w in {**wanted, **whole}] for x in (wanted, whole))
+        self.find = ahocorasick.Automaton()
+        for n, w in enumerate({**wanted, **whole}):
+            self.find.add_word(w, n)
+        self.find.make_automaton()
+
+    def scores(self, text: str, per_word: float, per_whole: float) -> np.ndarray:
+        out = np.zeros(len(self.ids))
+        found = list({n for _, n in self.find.iter(text)}) if len(self.find) else []
+        if found:
+            hits = np.concatenate([self.words[n] for n in found])
+            out += per_word * np.bincount(hits, minlength=len(out)) / self.size
+            out[np.concatenate([self.whole[n] for n in found])] += per_whole
+        return out
+
+    def best(self, records: pd.DataFrame, k: int, per_word: float, per_whole: float, bonus: bool) -> list[pd.DataFrame]:
+        """Each query's k best of the records, 256 records at a time; only what was found counts."""
+        out = []
+        for a in range(0, len(records), 256):
+            part = records.iloc[a : a + 256].sort_values("record_id", kind="stable")
+            base = np.stack([self.scores(t or "", per_word, per_whole) for t in part["_x"]])
+            score = np.where(base > 0, np.round(base + (part["_bonus"].to_numpy()[:, None] if bonus else 0.0), 6), -1.0)
+            at = np.argsort(-score, axis=0, kind="stable")[:k]
+            top = np.take_along_axis(score, at, 0)
+            row, query = np.nonzero(top > 0)
+            out.append(pd.DataFrame({"query_id": self.ids[query], "record_id": part["record_id"].to_numpy()[at[row, query]], "score": top[row, query], "text": part["text"].to_numpy()[at[row, query]]}))
+        return out
+
+
+def _best_of(lists: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    one = pd.concat(lists).sort_values(["score", "record_id"], ascending=[False, True], kind="stable")
+    return one.groupby("query_id", sort=False).head(k)
+
+
+def substring_search(queries: DataFrame, records: DataFrame, k: int, per_word: float, per_whole: float, bonus: bool = False, block: int = BLOCK_QUERIES, shard_rows: int = 20_000) -> DataFrame:
+    """(query_id, record_id, score, text): for each part of the records each query's k best, to be merged.
+
+    queries: query_id, _t (strings), _q (one string or null); records: record_id, text, _x (text to search), _bonus.  A record's score is
+    ``per_word`` times the share of the strings that occur in it, ``per_whole`` if _q does, and its bonus if either is
+    positive.  Every string of all queries is looked for in one pass over a record.  Queries of a checked number and size are
+    broadcast and records stay where they are; more queries are dealt to blocks, each of which meets each shard of records in
+    a task of its own.  A text must be a string, queries with no string find nothing, and no rows give no rows.
+    """
+    shape = f"query_id {dict(queries.dtypes)['query_id']}, record_id {dict(records.dtypes)['record_id']}, score double, text string"
+    asked = stage(queries.select("query_id", "_t", "_q"), "queries")
+    found = records.select("record_id", "text", "_x", "_bonus")
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.array_join("_t", " ")) + F.length(F.coalesce("_q", F.lit("")))), F.lit(0)).alias("chars")).first()
+    if size.n <= block and size.chars <= BROADCAST_BYTES:
+        known = queries.sparkSession.sparkContext.broadcast(asked.toPandas())
+
+        def run(parts):
+            needles, best = None, []
+            for pdf in parts:
+                needles = needles or _Needles(known.value)
+                best = [_best_of(best + needles.best(pdf, k, per_word, per_whole, bonus), k)] if len(pdf) and len(known.value) else best
+            yield from best
+
+        return found.mapInPandas(run, shape)
+    base = stage(found, "records")
+    blocks, shards = max(1, -(-size.n // block)), max(1, -(-base.count() // shard_rows))
+    blocks = max(blocks, -(-size.chars // BROADCAST_BYTES))
+
+    def meet(q, r):
+        empty = pd.DataFrame({"query_id": q["query_id"][:0], "record_id": r["record_id"][:0], "score": np.empty(0), "text": r["text"][:0]})
+        return _best_of(_Needles(q).best(r, k, per_word, per_whole, bonus), k) if len(q) and len(r) else empty
+
+    return _deal(asked, "block", blocks, "shard", shards).groupBy("block", "shard").cogroup(_deal(base, "shard", shards, "block", blocks).groupBy("block", "shard")).applyInPandas(meet, shape)
+
+
+def _deal(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+    """Rows dealt to ``n`` parts by hash, each copied for the ``m`` parts that it meets."""
+    return df.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
 
 def top_k(df: DataFrame, k: int, *order) -> DataFrame:
@@ -53,12 +139,13 @@ def extract_keywords(queries: DataFrame, max_keywords: int = 12) -> DataFrame:
 
 
 def lexical_search(queries: DataFrame, records: DataFrame, k: int = 10) -> DataFrame:
-    """+5 for the whole query as a substring, +2 times the share of its tokens that occur; positive scores only (R2)."""
+    """+5 for the whole query as a substring, +2 times the share of its tokens that occur; positive scores only (R2).
+
+    Null texts and blank queries find nothing; ties go to the smaller record_id.
+    """
     q = queries.select("query_id", F.lower(F.trim("query")).alias("_q")).withColumn("_t", F.array_distinct(F.filter(F.split("_q", r"\s+"), lambda w: w != ""))).where("_q != ''")
-    hits = F.size(F.filter("_t", lambda t: F.contains("_x", t)))
-    score = F.when(F.contains("_x", F.col("_q")), F.lit(5.0)).otherwise(F.lit(0.0)) + 2.0 * hits / F.size("_t")
-    found = records.select("record_id", "text", F.lower("text").alias("_x")).crossJoin(_blocks(q)).withColumn("score", F.round(score, 6)).where("score > 0")
-    return top_k(found.select("query_id", "record_id", "score", "text"), k, F.desc("score"), "record_id")
+    rows = records.where(F.col("text").isNotNull()).select("record_id", "text", F.lower("text").alias("_x"), F.lit(0.0).alias("_bonus"))
+    return top_k(substring_search(q, rows, k, 2.0, 5.0), k, F.desc("score"), "record_id")
 
 
 def vector_search(queries: DataFrame, records: DataFrame, k: int = 10, block_rows: int = 2_000, shard_rows: int = 20_000) -> DataFrame:
@@ -70,7 +157,6 @@ def vector_search(queries: DataFrame, records: DataFrame, k: int = 10, block_row
     asked = stage(queries.select("query_id", "vector").where("vector is not null"), "queries")
     base = stage(records.select("record_id", "vector").where("vector is not null"), "records")
     blocks, shards = max(1, -(-asked.count() // block_rows)), max(1, -(-base.count() // shard_rows))
-    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     unit = lambda col: (v := np.stack(col.to_numpy()).astype(np.float64)) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def meet(q, c):
@@ -86,7 +172,7 @@ def vector_search(queries: DataFrame, records: DataFrame, k: int = 10, block_row
         return pd.concat(got[1:] or got)
 
     kinds = f"query_id {dict(queries.dtypes)['query_id']}, record_id {dict(records.dtypes)['record_id']}, score double"
-    found = deal(asked, "block", blocks, "shard", shards).groupBy("block", "shard").cogroup(deal(base, "shard", shards, "block", blocks).groupBy("block", "shard")).applyInPandas(meet, kinds)
+    found = _deal(asked, "block", blocks, "shard", shards).groupBy("block", "shard").cogroup(_deal(base, "shard", shards, "block", blocks).groupBy("block", "shard")).applyInPandas(meet, kinds)
     return top_k(found, k, F.desc("score"), "record_id")
 
 
@@ -94,11 +180,9 @@ def graph_search(queries: DataFrame, entities: DataFrame, relations: DataFrame,
     """Low keywords in entity texts, high ones in relation texts; hits per keyword plus a little for length."""
 
     def search(df, ident, text, words, kind):
-        rows = df.select(ident.alias("result_id"), F.trim(text).alias("text")).where("text != ''").withColumn("_x", F.lower("text"))
-        q = queries.select("query_id", F.transform(F.col(words), F.lower).alias("_w")).where(F.size("_w") > 0)
-        hits = F.size(F.filter("_w", lambda w: (w != "") & F.contains("_x", w)))
-        score = F.round(hits / F.size("_w") + F.least(F.length("text"), F.lit(200)) / 2000, 6)
-        return rows.crossJoin(_blocks(q)).where(hits > 0).select("query_id", "result_id", score.alias("score"), "text", F.lit(kind).alias("result_type"))
+        rows = df.select(ident.alias("record_id"), F.trim(text).alias("text")).where("text != ''").withColumns({"_x": F.lower("text"), "_bonus": F.least(F.length("text"), F.lit(200)) / 2000})
+        q = queries.select("query_id", F.transform(F.col(words), F.lower).alias("_t"), F.lit(None).cast("string").alias("_q")).where(F.size("_t") > 0)
+        return substring_search(q, rows, k, 1.0, 0.0, True).select("query_id", F.col("record_id").alias("result_id"), "score", "text", F.lit(kind).alias("result_type"))
 
     e = search(entities, F.concat(F.lit("entity:"), "entity_id"), F.concat_ws(" ", "entity_id", "entity_name", "description"), "low", "entity")
     r = search(relations, F.concat(F.lit("relation:"), "source_entity", F.lit("->"), "target_entity", F.lit(":"), F.coalesce("relation_id", F.lit(""))), F.concat_ws(" ", "source_entity", "target_entity", "description", "keywords"), "high", "relation")

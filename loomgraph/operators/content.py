@@ -193,18 +193,14 @@ def chunk_by_tokens(df: DataFrame, text_col: str = "text", size: int = 1200, ove
     """
     pieces = F.split(F.col(text_col), f"\\Q{split_by}\\E") if split_by else F.array(F.col(text_col))
     stride = size - overlap
-    words = F.filter(F.split(F.col("_piece"), r"\s+"), lambda w: w != "")
-    n = F.size("_words")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(stride)) if not only else F.array(F.lit(0))
-    cut = (
-        df.select("*", F.posexplode(pieces).alias("_no", "_piece"))
-        .withColumn("_words", words)
-        .where(n > 0)
-        .select("*", F.explode(starts).alias("_at"))
-        .withColumn("_part", F.col("_words") if only else F.slice("_words", F.col("_at") + 1, size))
-    )
-    order = W.partitionBy(*[c for c in df.columns if c in ("doc_id", "block_id", "seq")]).orderBy("_no", "_at")
-    return cut.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("chunk_text", F.array_join("_part", " ")).withColumn("tokens", F.size("_part")).drop("_no", "_piece", "_words", "_at", "_part")
+    words = lambda piece: F.filter(F.split(piece, r"\s+"), lambda w: w != "")
+    starts = lambda w: F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride)) if not only else F.array(F.lit(0))
+    part = lambda w, at: w if only else F.slice(w, at + 1, size)
+    filled = F.filter(F.transform(pieces, words), lambda w: F.size(w) > 0)
+    parts = F.flatten(F.transform(filled, lambda w: F.transform(starts(w), lambda at: part(w, at))))
+    # a row's pieces are numbered where they are made: nothing is shuffled, whatever columns the frame has
+    cut = df.select("*", F.posexplode(parts).alias("chunk_index", "_part"))
+    return cut.withColumn("chunk_text", F.array_join("_part", " ")).withColumn("tokens", F.size("_part")).drop("_part")
 
 
 def chunk_id(pipeline: Column, source_item: Column, index: Column, text: Column) -> Column:

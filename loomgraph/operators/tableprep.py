@@ -265,31 +265,65 @@ def rows_to_triples(rows: DataFrame, mappings: list[Mapping], graph: str = "defa
 
 
 def load(rows: DataFrame, mappings: list[Mapping], path: str, precheck: bool = True, **kw) -> DataFrame:
-    """Write the triples, clustered by predicate; with any error and a precheck nothing is written.  Returns the errors."""
+    """Write the triples, a folder for each predicate; with any error and a precheck nothing is written.  Returns the errors.
+
+    A predicate's triples are dealt to as many tasks as its share of all triples asks for, so that a frequent one (types) isn't
+    written by one task.
+    """
     triples, errors = rows_to_triples(rows, mappings, **kw)
     errors = stage(errors, "load-errors")
     if not (precheck and not errors.isEmpty()):
-        triples.repartition("p").sortWithinPartitions("s").write.mode("append").partitionBy("p").parquet(path)
+        triples = stage(triples, "load-triples")
+        sizes = triples.groupBy("p").agg(F.count("*").alias("_n"))  # a row a predicate
+        parts = F.ceil(F.col("_n") / F.lit(LOAD_ROWS)).cast("int")
+        dealt = triples.join(sizes, "p").withColumn("_part", F.pmod(F.xxhash64("s"), parts)).repartition("p", "_part").sortWithinPartitions("p", "s")
+        dealt.drop("_n", "_part").write.mode("append").partitionBy("p").parquet(path)
     return errors
 
 
+#: Triples of one predicate that a task writes, about.
+LOAD_ROWS = 2_000_000
+
 # Result tables
 
 
-def stitch(steps: list[DataFrame], keys: list[str], common: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(table, conflicts) of successive full outer joins (B1): common columns coalesce, other clashes get -<step>."""
-    out = steps[0]
-    conflicts = []
-    for i, nxt in enumerate(steps[1:], 2):
-        clash = [c for c in nxt.columns if c in out.columns and c not in keys]
-        both = out.join(nxt.withColumnsRenamed({c: f"{c}-{i}" for c in clash}), keys, "full")
-        for c in (c for c in clash if c in common):
-            left, right = F.col(c), F.col(f"`{c}-{i}`")
-            conflicts.append(both.where(left != right).select(*[F.col(k).cast("string").alias(k) for k in keys], F.lit(c).alias("column"), left.cast("string").alias("a"), right.cast("string").alias("b")))
-            both = both.withColumn(c, F.coalesce(left, right)).drop(f"{c}-{i}")
-        out = both
-    bad = reduce(DataFrame.unionByName, conflicts) if conflicts else out.limit(0).select(*[F.col(k).cast("string").alias(k) for k in keys], F.lit("").alias("column"), F.lit("").alias("a"), F.lit("").alias("b"))
-    return out, bad
+def stitch(steps: list[DataFrame], keys: list, common: list[str] = (), names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(table, conflicts) of successive full outer joins (B1).
+
+    ``keys``: key columns, or a list of them for each step after the first.  Common columns coalesce, and rows where they
+    differ are conflicts.  Every other column is <column>-<step's name> (ng1, ng2, ...), or <column> if one step alone has it.
+    A column that becomes a key later must have come from one step until then.
+    """
+    names = names or [f"ng{i}" for i in range(1, len(steps) + 1)]
+    each = [list(k) for k in keys] if keys and not isinstance(keys[0], str) else [list(keys)] * (len(steps) - 1)
+    made: dict[str, list[str]] = {}  # column: its names so far
+    shared, out, conflicts = set(), None, []
+    for i, (step, name) in enumerate(zip(steps, names, strict=True)):
+        own = each[max(0, i - 1)] if each else []
+        if i:
+            for k in (k for k in own if k not in shared):
+                if len(made.get(k, ())) != 1:
+                    raise ValueError(f"{name}: key column {k} is in {len(made.get(k, ()))} steps before it")
+                out = out.withColumnRenamed(made.pop(k)[0], k)
+                shared.add(k)
+        else:
+            own = [k for k in own if k in step.columns]
+            shared |= set(own)
+        for c in (c for c in step.columns if c not in own and c not in common):
+            step = step.withColumnRenamed(c, f"{c}-{name}")
+            made.setdefault(c, []).append(f"{c}-{name}")
+        if out is None:
+            out = step
+            continue
+        twice = [c for c in common if c in step.columns and c in out.columns and c not in own]
+        out = out.join(step.withColumnsRenamed({c: f"_again_{c}" for c in twice}), own, "full")
+        for c in twice:
+            left, right = F.col(f"`{c}`"), F.col(f"`_again_{c}`")
+            conflicts.append(out.where(left != right).select(F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in own]).alias("key"), F.lit(c).alias("column"), left.cast("string").alias("a"), right.cast("string").alias("b")))
+            out = out.withColumn(c, F.coalesce(left, right)).drop(f"_again_{c}")
+    out = out.withColumnsRenamed({new[0]: c for c, new in made.items() if len(new) == 1})
+    none = out.limit(0).select(*[F.lit("").alias(c) for c in ("key", "column", "a", "b")])
+    return out, reduce(DataFrame.unionByName, conflicts) if conflicts else none
 
 
 def fuse_tables(tables: dict[str, DataFrame], on: list[str], optional: bool = False) -> DataFrame:

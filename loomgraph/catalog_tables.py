@@ -35,7 +35,8 @@ m AS (SELECT p_partkey, p_name, 'canon_ent_' || substr(sha1(first_value(p_name)
 @query(f"""WITH {MERGED_SQL} SELECT CAST(p_partkey AS VARCHAR) AS raw_id, canonical_id FROM m""")
 def part_merge_map(spark, sf_dir):
     """G6."""
-    return graphmerge.entity_merge_map(graphmerge.merge_entities_exact(part_entities(spark, sf_dir)))
+    parts = part_entities(spark, sf_dir)
+    return graphmerge.entity_members(parts, graphmerge.canonical_entities(parts))
 
 
 @query("""SELECT 'c' || o_custkey AS source_entity, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS target_entity, count(*) AS n FROM orders GROUP BY ALL""")

@@ -203,7 +203,7 @@ def return_flag_faults(spark, sf_dir):
 # Retrieval
 
 
-@query("""WITH q AS (SELECT item_id AS query_id, regexp_extract_all(trim(substr(text, 1, 60)), '([A-Za-z][A-Za-z0-9_\\-]{1,})', 1) AS raw FROM benchmark),
+@query("""WITH q AS (SELECT item_id AS query_id, regexp_extract_all(trim(text), '([A-Za-z][A-Za-z0-9_\\-]{1,})', 1) AS raw FROM benchmark),
 w AS (SELECT query_id, list_filter(raw, lambda w: NOT list_contains(['a','an','the','is','are','was','were','be','to','of','for','and','or','in','on','at','with','by','from','what','how','why','when','where','which','who'], lower(w))) AS ws FROM q),
 k AS (SELECT query_id, list_filter(ws, lambda w, i: NOT list_contains(list_transform(ws[1 : i - 1], lambda v: lower(v)), lower(w)))[1 : 12] AS ks FROM w)
 SELECT query_id, array_to_string(ks, ' ') AS keywords, CAST(len(ks[1 : greatest(1, len(ks) // 2)]) AS INTEGER) AS high FROM k""")
@@ -222,7 +222,7 @@ s AS (SELECT query_id, record_id, round((CASE WHEN contains(x, q) THEN 5.0 ELSE
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT query_id, record_id, CAST(score AS DOUBLE) AS score, rank FROM r WHERE rank <= 10""")
 def benchmark_lexical_whole(spark, sf_dir):
-    """R2: the whole texts of benchmark, where benchmark_lexical asks for their first 60 characters."""
+    """R2: benchmark_lexical under the name that it had while that one read beginnings only."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
     return retrieval.lexical_search(_whole_questions(spark, sf_dir), docs).select("query_id", "record_id", "score", "rank")
 
@@ -232,7 +232,7 @@ w AS (SELECT query_id, list_filter(raw, lambda w: NOT list_contains(['a','an','t
 k AS (SELECT query_id, list_filter(ws, lambda w, i: NOT list_contains(list_transform(ws[1 : i - 1], lambda v: lower(v)), lower(w)))[1 : 12] AS ks FROM w)
 SELECT query_id, array_to_string(ks, ' ') AS keywords, CAST(len(ks[1 : greatest(1, len(ks) // 2)]) AS INTEGER) AS high FROM k""")
 def benchmark_keywords_whole(spark, sf_dir):
-    """Likewise of the whole texts."""
+    """Likewise."""
     return retrieval.extract_keywords(_whole_questions(spark, sf_dir)).select("query_id", F.array_join("keywords", " ").alias("keywords"), F.size("high").alias("high"))
 
 

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from loomgraph import catalog, catalog_tables, catalog_text, registry  # noqa: F401
+from loomgraph import catalog, catalog_more, catalog_tables, catalog_text, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

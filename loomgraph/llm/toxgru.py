@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import fit_logistic, in_fold, logistic, raw_texts, sample_labelled
 from loomgraph.runtime import table
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 EMBED, HIDDEN, CHAR_ROWS = 8, 8, 8191
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -165,8 +165,22 @@ def text_logits(net: Network, texts: list[list[bytes]], most: int = 8192) -> np.
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = 1500, max_chars: int = 20_000, vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3) -> dict:
-    """Fit on at most about ``per_class`` labelled texts of each class, of ``max_chars`` characters at most."""
+    """Fit on at most about ``per_class`` labelled texts of each class, of ``max_chars`` characters at most.
+
+    A fifth of them is kept from the network and calibrates its scores.  Null and empty texts aren't sampled; of labels that
+    repeat for an id the greatest counts; fewer than ten texts of a class make the score a constant, the toxic share.
+    """
     rows, counts = sample_labelled(docs, labels, label, keep, per_class, max_chars)
+    return fit_network(rows, counts, vocabulary, rounds, least, decay)
+
+
+def fit_network(every: list[tuple[bytes, int]], counts: dict[int, int], vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3) -> dict:
+    """``train_toxicity`` on (text, label) pairs and the labels' counts."""
+    seen = {0: 0, 1: 0}
+    rows, aside = [], []
+    for t, z in every:  # each class's every fifth text
+        seen[z] += 1
+        (aside if seen[z] % 5 == 0 else rows).append((t, z))
     y = np.array([z for _, z in rows], np.float32)
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.0
     if min((y == 0).sum(), (y == 1).sum()) < 8:
@@ -204,7 +218,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
                 v += 0.001 * (grad * grad - v)
                 net.p[k] *= 1 - 0.01 * decay
                 net.p[k] -= 0.01 * (m / (1 - 0.9**serial)) / (np.sqrt(v / (1 - 0.999**serial)) + 1e-8)
-    z = text_logits(net, texts)
+    z, y = text_logits(net, [words_of(t) for t, _ in aside]), np.array([z for _, z in aside], float)
     real = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum())
     scale = float(z.std()) + 1e-9
     return {"net": net, "prior": prior, "scale": scale, "beta": fit_logistic((z / scale)[:, None], y, real, ridge=1e-4)}
@@ -228,7 +242,7 @@ def toxicity_scores(texts: list[bytes], model: dict) -> np.ndarray:
 def with_toxicity(docs: DataFrame, model: dict, text_col: str = "text", out: str = "toxicity_score") -> DataFrame:
     """``docs`` and the score (double, 0 to 1) of each whole text, null counting as empty; all rows and columns stay.
 
-    Without labelled texts of both classes every text scores the toxic share among the labels.
+    A text of any length is read whole, in windows of 64 words of which the next starts 32 words on.  Without labelled texts of both classes every text scores the toxic share among the labels.
     Repeated rows score alike, an empty table gives no row; a column called like ``out`` is an error.
     """
     if out in docs.columns:
@@ -244,6 +258,7 @@ def with_toxicity(docs: DataFrame, model: dict, text_col: str = "text", out: str
 
 
 def op8_recurrent_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels not in fold 0 of 5; cases as in ``with_toxicity``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = in_fold("doc_id", 5, 0)
     model = train_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", ~held_out)

@@ -38,7 +38,7 @@ class TokenBytes:
     same vocabulary's ranks.  Other texts, and those with a special token's string, are encoded whole.
     """
 
-    def __init__(self, path: str, ranks_path: str, most: int = 600_000):
+    def __init__(self, path: str, ranks_path: str, most: int = 150_000):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
@@ -125,6 +125,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, toke
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
+        encode.known.clear()  # the process lives on for other tasks, which have words of their own
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -236,7 +237,7 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """Every piece of every text with its sequence and offset; no sequence is over ``size`` ids.
 
-    Null text is empty: its one id is the separator.  Repeated rows are packed each for itself,
+    Null text is empty: its one id is the separator.  A text of any length is cut into pieces.  Repeated rows are packed each for itself,
     null ids stay null, an empty table gives no row, other columns are ignored.
     """
     pieces = stage(tokenize_pieces(docs, id_col, text_col, size, tokenizer), "pieces")
@@ -273,4 +274,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op5_pattern_packing(spark, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 1024 ids; cases as in ``pack_documents``."""
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -54,7 +54,11 @@ class SizeDifference:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = 1500, max_chars: int = 50_000, dict_bytes: int = 65536) -> dict:
-    """Fit on at most about ``per_class`` labelled texts of each class, of ``max_chars`` characters at most."""
+    """Fit on at most about ``per_class`` labelled texts of each class, of ``max_chars`` characters at most.
+
+    Null and empty texts aren't sampled; of labels that repeat for an id the greatest counts; with fewer than eight
+    texts of a class no dictionary is built and every text scores the good share among the labels.
+    """
     rows, counts = sample_labelled(docs, labels, label, keep, per_class, max_chars)
     by = {y: [t for t, z in rows if z == y] for y in (0, 1)}
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
@@ -80,7 +84,7 @@ def quality_scores(texts: list[bytes], model: dict, measure: SizeDifference | No
 def with_quality(docs: DataFrame, model: dict, text_col: str = "text", out: str = "quality_score") -> DataFrame:
     """``docs`` and the score (double, 0 to 1) of each whole text, null counting as empty; all rows and columns stay.
 
-    Repeated rows score alike and an empty table gives no row.  A column called like ``out`` is an error.
+    A text of any length is compressed whole, in pieces.  Repeated rows score alike and an empty table gives no row.  A column called like ``out`` is an error.
     """
     if out in docs.columns:
         raise ValueError(f"there is a column {out} already")
@@ -97,6 +101,7 @@ def with_quality(docs: DataFrame, model: dict, text_col: str = "text", out: str
 
 
 def op3_compression_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labels not in fold 0 of 5; cases as in ``with_quality``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = in_fold("doc_id", 5, 0)
     model = train_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", ~held_out)

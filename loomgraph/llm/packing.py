@@ -13,6 +13,7 @@ import base64
 import bisect
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,19 @@ class TokenBytes:
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; null counts as empty."""
+        return list(self.each(texts))
+
+    def each(self, texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[bytes]:
+        """As ``batch``, text by text; memory is for runs of ``most_bytes``, or for one longer text."""
         texts = pc.fill_null(texts, "")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most_bytes, side="right")))
+            yield from self.run(texts.slice(a, b - a))
+            a = b
+
+    def run(self, texts: pa.Array) -> list[bytes]:
         odd = pc.match_substring_regex(texts, LOOSE_SPACE)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
@@ -113,7 +126,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, toke
         end = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.each(batch.column(1)), strict=True):
                 ids += end
                 n = len(ids) // 4
                 first = n % size or size

@@ -2,6 +2,7 @@
 
 from loomgraph.llm.katz import op1_katz_backoff
 from loomgraph.llm.langmask import op2_language_bitmask
+from loomgraph.llm.merkle import OP11_SQL, op11_merkle_manifest
 from loomgraph.llm.packing import op5_pattern_packing
 from loomgraph.llm.raking import op4_raked_mixture
 from loomgraph.llm.rules import op9_adaptive_rules
@@ -39,9 +40,10 @@ def queries():
             op8_recurrent_toxicity,
             op9_adaptive_rules,
             op10_simhash_groups,
+            op11_merkle_manifest,
         )
     }
 
 
 def oracle_sql():
-    return {"op6_warc_records": OP6_SQL, "op7_exact_top_k": OP7_SQL}
+    return {"op6_warc_records": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op11_merkle_manifest": OP11_SQL}

@@ -6,6 +6,7 @@ from loomgraph.llm.merkle import OP11_SQL, op11_merkle_manifest
 from loomgraph.llm.packing import op5_pattern_packing
 from loomgraph.llm.raking import op4_raked_mixture
 from loomgraph.llm.rules import op9_adaptive_rules
+from loomgraph.llm.secretscan import OP12_SQL, op12_secret_ledger
 from loomgraph.llm.simhash import op10_simhash_groups
 from loomgraph.llm.topk import OP7_SQL, op7_exact_top_k
 from loomgraph.llm.toxgru import op8_recurrent_toxicity
@@ -41,9 +42,10 @@ def queries():
             op9_adaptive_rules,
             op10_simhash_groups,
             op11_merkle_manifest,
+            op12_secret_ledger,
         )
     }
 
 
 def oracle_sql():
-    return {"op6_warc_records": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op6_warc_records": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_secret_ledger": OP12_SQL}

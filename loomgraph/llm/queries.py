@@ -8,6 +8,7 @@ from loomgraph.llm.raking import op4_raked_mixture
 from loomgraph.llm.rules import op9_adaptive_rules
 from loomgraph.llm.secretscan import OP12_SQL, op12_secret_ledger
 from loomgraph.llm.simhash import op10_simhash_groups
+from loomgraph.llm.spelling import OP13_SQL, op13_spelling_trie
 from loomgraph.llm.topk import OP7_SQL, op7_exact_top_k
 from loomgraph.llm.toxgru import op8_recurrent_toxicity
 from loomgraph.llm.warc import op6_warc_records
@@ -43,9 +44,10 @@ def queries():
             op10_simhash_groups,
             op11_merkle_manifest,
             op12_secret_ledger,
+            op13_spelling_trie,
         )
     }
 
 
 def oracle_sql():
-    return {"op6_warc_records": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_secret_ledger": OP12_SQL}
+    return {"op6_warc_records": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_secret_ledger": OP12_SQL, "op13_spelling_trie": OP13_SQL}

@@ -35,6 +35,12 @@ class Rule:
     def name(self) -> str:
         return f"{self.kind}@{self.version}"
 
+    @property
+    def tight(self) -> str:
+        """A pattern of the same matches; for runs of one class the least length is in it, since a shorter run holds none."""
+        run = self.least > 0 and not self.group and re.fullmatch(r"\[[^\]]+\]\+", self.pattern)
+        return f"{self.pattern[:-1]}{{{self.least},}}" if run else self.pattern
+
     def spans(self, text: str, finder: re.Pattern) -> list[tuple[int, int]]:
         return [m.span() for m in finder.finditer(text) if len(m[self.group]) >= self.least]
 
@@ -52,7 +58,6 @@ MORE_RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 40, 0, ("eyj",)),
 )
 RULES = BASE_RULES + MORE_RULES
-_SHORTER = {"[0-9a-f]+": "[0-9a-f]{24,}"}  # the same matches: a run that is too short can't hold one that isn't
 
 
 def blob_id(text: Column) -> Column:
@@ -61,7 +66,7 @@ def blob_id(text: Column) -> Column:
 
 def _scanner(rules: tuple[Rule, ...]):
     def scan(batches):
-        finders = {r.name: (r, re.compile(_SHORTER.get(r.pattern, r.pattern), re.A | (re.I if r.any_case else 0))) for r in rules}
+        finders = {r.name: (r, re.compile(r.tight, re.A | (re.I if r.any_case else 0))) for r in rules}
         for batch in batches:
             found = []
             for raw, todo in zip(raw_texts(batch.column("text")), batch.column("todo").to_pylist(), strict=True):
@@ -139,7 +144,8 @@ def scan_versions(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] =
     spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), order[s["rule"]].alias("no"), s["past"].alias("past"), kind[s["rule"]].alias("kind"))))
     found = ledger.findings(rules).select("blob", spans.alias("spans"))
     none = F.array().cast("array<struct<first:long,no:int,past:long,kind:string>>")
-    return addressed.drop("text").join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    keep = [f"`{c}`" for c in addressed.columns if c != "text"]
+    return addressed.join(found, "blob", "left").select(*keep, F.coalesce("spans", none).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -162,7 +168,7 @@ def op12_secret_ledger(spark, sf_dir: str) -> DataFrame:
 
 def _spans_sql(no: int, rule: Rule) -> str:
     """(doc_id, first, no, past, kind): a match begins after all that was split off or matched before it."""
-    pattern = ("(?i)" if rule.any_case else "") + rule.pattern.replace(r"\x20", " ").replace("'", "''")
+    pattern = ("(?i)" if rule.any_case else "") + rule.tight.replace(r"\x20", " ").replace("'", "''")
     return f"""SELECT doc_id, k, {no} AS no, '{rule.kind}' AS kind, length(m[k]) AS size, length(g[k]) AS least, {rule.least} AS wanted,
   list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS first
 FROM (
@@ -172,9 +178,7 @@ FROM (
 
 
 def _sql() -> str:
-    # a shorter pattern for hex keeps SQL from listing every letter a to f; matches are the same
-    rules = [Rule(r.kind, r.version, _SHORTER.get(r.pattern, r.pattern), r.least, r.group, r.hints, r.any_case) for r in RULES]
-    spans = "\nUNION ALL ".join(_spans_sql(k, r) for k, r in enumerate(rules))
+    spans = "\nUNION ALL ".join(_spans_sql(k, r) for k, r in enumerate(RULES))
     base = [f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES]
     item = "kind || ':' || first::BIGINT || ':' || (first + size)::BIGINT"
     return f"""

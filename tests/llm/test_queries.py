@@ -25,6 +25,9 @@ CONTRACT = {
     "op8": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op10": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op12": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op13": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
 }
 FOLDS = {"op1": (7, 2), "op2": (3, 1), "op3": (5, 0), "op8": (5, 0)}
 
@@ -76,11 +79,11 @@ def test_contract(spark, tables, name):
         held = [(x.score, x.doc_id % 6 != 0) for x in got if x.held_out and x.doc_id < 240]
         ranks = [(a > b) + 0.5 * (a == b) for a, y in held if y for b, z in held if not z]
         assert sum(ranks) >= 0.9 * len(ranks)
-    if op in ("op4", "op9", "op10"):
+    if op in ("op4", "op9", "op10", "op11", "op12"):
         assert collections.Counter(x.doc_id for x in got) == collections.Counter(x[0] for x in rows)
-    if op in ("op6", "op7"):
+    if op in ("op6", "op7", "op11", "op13"):
         con = duckdb.connect()
-        table = "pages" if op == "op6" else "embeddings"
+        table = {"op6": "pages", "op7": "embeddings"}.get(op, "documents")
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
         found = con.execute(queries.oracle_sql()[name])
         names = [d[0] for d in found.description]

@@ -29,6 +29,21 @@ def blocks_read(spark, sf_dir):
     return io.read_blocks(spark, path).where("text is not null").select(F.col("doc_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("id").alias("type"), F.sha1(F.col("text").cast("binary")).alias("h"))
 
 
+@query("""SELECT doc_id, '[' || source || ',' || lang || ']' AS captions, sha256(coalesce(text, '')) AS content, n_chars, '{"lang":"' || lang || '","n":[' || doc_id || ',' || n_chars || ']}' AS place, source AS note FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL""")
+def block_keys_read(spark, sf_dir):
+    """Captions, content and keys that no column has, nested ones too, come back whole."""
+    d = table(spark, sf_dir, "documents").where("lang is not null and source is not null and n_chars is not null")
+    place = F.struct("lang", F.array("doc_id", "n_chars").alias("n"))
+    block = F.struct(F.lit("code").alias("type"), F.coalesce("text", F.lit("")).alias("content"), F.array("source", "lang").alias("table_caption"), "n_chars", place.alias("place"), F.struct(F.col("source").alias("note")).alias("metadata"))
+    path = new_path(spark, "blocks")
+    d.select(F.col("doc_id").cast("string").alias("doc_id"), F.array(block).alias("content_list")).write.json(path)
+    m = lambda k: F.col("metadata")[k]
+    return io.read_blocks(spark, path).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit("["), F.array_join("captions", ","), F.lit("]")).alias("captions"), F.sha2(F.col("content"), 256).alias("content"),
+        m("n_chars").cast("long").alias("n_chars"), m("place").alias("place"), m("note").alias("note"),
+    )
+
+
 @query("""SELECT '' || p_partkey AS "P_PartKey", trim(p_name) AS p_name, p_brand AS p_brand FROM part""")
 def parts_from_csv(spark, sf_dir):
     """Names match in any case, outer spaces go."""

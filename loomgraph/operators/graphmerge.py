@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,9 +14,13 @@ from pyspark.sql import Window as W
 
 from loomgraph.components import connected_components as label_components
 from loomgraph.functions.text import blank_to_null, canonical_relation_type, normalize_name, short_sha1
+from loomgraph.paths import has_cycle  # noqa: F401  (G18, one of this module's operators)
 from loomgraph.runtime import stage
 
 
+MOST_RESTS = 400  #: of one name for one length: above, names are matched by segments
+
+
 def _first(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """One row per key, the first in order: a partial aggregate, no window."""
     rest = [c for c in df.columns if c not in keys]
@@ -94,18 +100,46 @@ def _errors(a: int, b: int, threshold: float) -> int:
     return int((1 - threshold) * (a + b) + 1e-9)
 
 
-def name_segments(name: str, threshold: float) -> list[tuple[int, int, str]]:
+def _deletions(n: int, m: int, threshold: float) -> int | None:
+    """Characters that a name of ``n`` can lose to what it shares with one of ``m`` at that ratio; None if lengths forbid it."""
+    shared = math.ceil(threshold * (n + m) / 2 - 1e-9)
+    return n - shared if 0 < shared <= min(n, m) else None
+
+
+def _by_rest(n: int, m: int, threshold: float) -> bool:
+    """Whether names of these lengths are matched by what deletions leave (few enough to list) rather than by segments."""
+    d, e = _deletions(n, m, threshold), _deletions(m, n, threshold)
+    return d is not None and e is not None and max(math.comb(n, d), math.comb(m, e)) <= MOST_RESTS
+
+
+def _by_segment(n: int, lengths: list[int], threshold: float) -> list[int]:
+    return [m for m in lengths if _deletions(n, m, threshold) is not None and not _by_rest(n, m, threshold)]
+
+
+def name_rests(name: str, lengths: list[int], threshold: float) -> list[tuple[int, int, str]]:
+    """(less length, greater length, rest) of all that deletions leave of a name.
+
+    Names alike share a common subsequence at least as long as their matching blocks, so they share a rest.  Only as many names
+    have one rest as there are ways to put deleted letters back, however many names begin alike.
+    """
+    n = len(name)
+    return sorted({(min(n, m), max(n, m), "".join(x)) for m in lengths if _by_rest(n, m, threshold) for x in combinations(name, n - _deletions(n, m, threshold))})
+
+
+def name_segments(name: str, lengths: list[int], threshold: float) -> list[tuple[int, int, str]]:
     """(length, number, segment): more segments than errors, so that one at least is whole in every name alike."""
     n = len(name)
+    if not _by_segment(n, lengths, threshold):
+        return []
     parts = _errors(n, int(n * (2 - threshold) / threshold), threshold) + 1
     cuts = [n * i // parts for i in range(parts + 1)]
     return [(n, i, name[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
-def name_probes(name: str, threshold: float) -> list[tuple[int, int, str]]:
+def name_probes(name: str, lengths: list[int], threshold: float) -> list[tuple[int, int, str]]:
     """(length, number, text) of all that may be a segment of a name alike: lengths within the ratio, places within the errors."""
     out, n, low = set(), len(name), threshold / (2 - threshold)
-    for m in range(max(1, int(low * n)), int(n / low) + 2):
+    for m in _by_segment(n, lengths, threshold):
         parts = _errors(m, int(m / low), threshold) + 1
         cuts = [m * i // parts for i in range(parts + 1)]
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -113,49 +147,94 @@ def name_probes(name: str, threshold: float) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def fuzzy_groups(names: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(entity_type, norm_name, group_name): greedy, first group in order of pos whose first name is alike.
+def alike_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """(entity_type, norm_name, pos, earlier, before) of every two names alike, the earlier by pos and name second.
 
-    ``names`` holds distinct names.  A name and an earlier one can only be alike if a segment of the one is whole in the other,
-    so pairs come from a join on segments, which loses none, and only they are compared.  A name without an earlier one alike is
-    first of a group; one whose earlier ones are all decided joins the first that is, or is first itself: rounds go on
-    until all are decided.  Thresholds under 0.7 would make segments empty and are an error; null names are left out.
+    names: entity_type, norm_name, pos, distinct and not null.  Candidates share a rest or a segment; only they are compared.
     """
-    if not 0.7 <= threshold <= 1:
-        raise ValueError("the threshold must be from 0.7 to 1")
+    lengths = sorted(r[0] for r in names.select(F.length("norm_name")).distinct().collect())  # lengths, not names
 
     def keyed(make):
         def run(parts):
             for pdf in parts:
-                rows = [(*r, *k) for r in pdf.itertuples(index=False) for k in make(r.norm_name, threshold)]
+                rows = [(*r, *k) for r in pdf.itertuples(index=False) for k in make(r.norm_name, lengths, threshold)]
                 yield pd.DataFrame(rows, columns=["entity_type", "norm_name", "pos", "size", "no", "key"])
 
         return run
 
     shape = f"entity_type string, norm_name string, pos {dict(names.dtypes)['pos']}, size int, no int, key string"
-    given = stage(names.where("norm_name is not null").select(F.coalesce("entity_type", F.lit("")).alias("entity_type"), "norm_name", "pos"), "names")
-    known = given.mapInPandas(keyed(name_segments), shape).withColumnsRenamed({"norm_name": "earlier", "pos": "before"})
-    probes = given.mapInPandas(keyed(name_probes), shape)
-    pairs = probes.join(known, ["entity_type", "size", "no", "key"]).where("before < pos or (before = pos and earlier < norm_name)").select("entity_type", "norm_name", "earlier", "before").distinct()
+    key = ["entity_type", "size", "no", "key"]
+    second = lambda df: df.withColumnsRenamed({"norm_name": "earlier", "pos": "before"})
+    rests = names.mapInPandas(keyed(name_rests), shape)
+    pairs = rests.join(second(rests), key)
+    if any(_by_segment(n, lengths, threshold) for n in lengths):
+        pairs = pairs.unionByName(names.mapInPandas(keyed(name_probes), shape).join(second(names.mapInPandas(keyed(name_segments), shape)), key))
+    pairs = pairs.where("before < pos or (before = pos and earlier < norm_name)").select("entity_type", "norm_name", "pos", "earlier", "before").distinct()
 
     def alike(parts):
         for pdf in parts:
             yield pdf[[similar(a, b, threshold) for a, b in zip(pdf["norm_name"], pdf["earlier"], strict=True)]]
 
-    near = stage(pairs.mapInPandas(alike, pairs.schema), "alike")
-    key = ["entity_type", "norm_name"]
-    done = stage(given.join(near, key, "left_anti").select(*key, F.col("norm_name").alias("group_name")), "groups")
-    left = near
+    return pairs.mapInPandas(alike, pairs.schema)
+
+
+def _greedy(links: pd.DataFrame) -> pd.DataFrame:
+    """(entity_type, norm_name, first) of one component's names, in order."""
+    names = {(r.before, r.earlier) for r in links.itertuples()} | {(r.pos, r.norm_name) for r in links.itertuples()}
+    earlier, firsts = links.groupby("norm_name")["earlier"].agg(set).to_dict(), set()
+    for _, name in sorted(names):
+        if firsts.isdisjoint(earlier.get(name, ())):
+            firsts.add(name)
+    return pd.DataFrame([(links["entity_type"].iat[0], n, n in firsts) for _, n in names], columns=["entity_type", "norm_name", "first"])
+
+
+def first_names(near: DataFrame, rounds: int = 4, most: int = 200_000) -> DataFrame:
+    """(entity_type, norm_name, first) of every name in ``near`` (``alike_pairs``): a name is first unless an earlier first is alike.
+
+    Each round decides the names without undecided earlier ones, and all that come after them.  After every ``rounds`` rounds the
+    components that are left are decided whole, a task each, where they have ``most`` links or fewer; larger ones go on.
+    """
+    key, shape = ["entity_type", "norm_name"], "entity_type string, norm_name string, first boolean"
+    as_earlier = lambda df: df.withColumnRenamed("norm_name", "earlier")
+    done, left, turn = near.sparkSession.createDataFrame([], shape), near, 0
     while not left.isEmpty():
-        state = left.join(done.select("entity_type", F.col("norm_name").alias("earlier"), (F.col("group_name") == F.col("norm_name")).alias("first")), ["entity_type", "earlier"], "left")
-        told = state.groupBy(*key).agg(F.bool_and(F.col("first").isNotNull()).alias("all"), F.min(F.when(F.col("first"), F.struct("before", "earlier"))).alias("best"), F.min(F.when(F.coalesce("first", F.lit(True)), F.struct("before", "earlier"))).alias("could"))
-        # the first that is or may yet be first decides, once it is known to be
-        sure = told.where("all or (best is not null and best = could)").select(*key, F.coalesce("best.earlier", "norm_name").alias("group_name"))
-        done = stage(done.unionByName(sure), "groups")
-        left = stage(left.join(done.select(*key), key, "left_anti"), "left")
+        turn += 1
+        later, heads = left.select(*key).distinct(), left.select("entity_type", F.col("earlier").alias("norm_name")).distinct()
+        heads = stage(heads.join(later, key, "left_anti"), "heads")
+        beaten = stage(left.join(as_earlier(heads), ["entity_type", "earlier"], "left_semi").select(*key).distinct(), "beaten")
+        rest = stage(left.join(beaten, key, "left_anti").join(as_earlier(beaten), ["entity_type", "earlier"], "left_anti"), "left")
+        still = rest.select(*key).unionAll(rest.select("entity_type", "earlier"))
+        free = stage(later.join(beaten, key, "left_anti").join(still, key, "left_anti"), "heads")  # all their earlier ones were beaten
+        done = done.unionByName(heads.unionByName(free).withColumn("first", F.lit(True))).unionByName(beaten.withColumn("first", F.lit(False)))
+        if turn % rounds == 0 and not rest.isEmpty():
+            node = lambda c: F.to_json(F.struct("entity_type", F.col(c).alias("n")))
+            ends = rest.withColumns({"a": node("norm_name"), "b": node("earlier")})
+            ends = ends.join(label_components(ends, "a", "b").select(F.col("node").alias("a"), "component"), "a")
+            small = ends.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+            ends = stage(ends.join(small, "component", "left"), "components")
+            solved = ends.where("n is not null").select("component", *near.columns).groupBy("component").applyInPandas(_greedy, shape)
+            done = done.unionByName(stage(solved, "solved"))
+            rest = ends.where("n is null").select(*near.columns)
+        left = rest
+    return done
+
+
+def fuzzy_groups(names: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(entity_type, norm_name, group_name): greedy, first group in order of pos whose first name is alike.
+
+    ``names`` holds distinct names.  Thresholds under 0.7 would make segments empty and are an error; null names are left out.
+    """
+    if not 0.7 <= threshold <= 1:
+        raise ValueError("the threshold must be from 0.7 to 1")
+    given = stage(names.where("norm_name is not null").select(F.coalesce("entity_type", F.lit("")).alias("entity_type"), "norm_name", "pos"), "names")
+    near = stage(alike_pairs(given, threshold), "alike")
+    told = stage(first_names(near), "firsts")
+    firsts = told.where("first").select("entity_type", F.col("norm_name").alias("earlier"))
+    best = near.join(told.where("not first").drop("first"), ["entity_type", "norm_name"], "left_semi").join(firsts, ["entity_type", "earlier"])
+    best = best.groupBy(F.col("entity_type").alias("_t"), F.col("norm_name").alias("_n")).agg(F.min(F.struct("before", "earlier")).alias("_b"))
     kinds = names.select("entity_type", "norm_name").where("norm_name is not null")
-    of = done.withColumnsRenamed({"entity_type": "_t", "norm_name": "_n"})
-    return kinds.join(of, (F.coalesce("entity_type", F.lit("")) == F.col("_t")) & (F.col("norm_name") == F.col("_n"))).select("entity_type", "norm_name", "group_name")
+    out = kinds.join(best, (F.coalesce("entity_type", F.lit("")) == F.col("_t")) & (F.col("norm_name") == F.col("_n")), "left")
+    return out.select("entity_type", "norm_name", F.coalesce("_b.earlier", "norm_name").alias("group_name"))
 
 
 def merge_entities(entities: DataFrame, strategy: str = "normalize", threshold: float = 0.9) -> DataFrame:
@@ -356,26 +435,6 @@ def attach_chunk_refs(nodes: DataFrame, chunks: DataFrame, cap: int = 200, docum
     return out.join(whole, "doc_id", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.when(F.col("label") == "Document", F.col("_doc")))).drop("_doc")
 
 
-def has_cycle(edges: DataFrame, src: str = "src", dst: str = "dst") -> bool:
-    """Whether directed edges close a circle.
-
-    Each round lets edges jump over nodes that have one successor, which halves chains and keeps circles, and drops edges
-    whose start nothing enters or whose end nothing leaves.  No edge left: no circle; none dropped, or an edge that ends where
-    it starts: a circle.
-    """
-    now = stage(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "cycle")
-    while True:
-        n = now.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("loops")).first()
-        if n.loops or not n.n:
-            return bool(n.loops)
-        kept = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        kept = stage(kept.select("a", "b"), "cycle")
-        if kept.count() == n.n:
-            return True
-        only = kept.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("s"), F.count("*").alias("n")).where("n = 1").select("b", "s")
-        now = stage(kept.join(only, "b", "left").select("a", F.coalesce("s", "b").alias("b")).distinct(), "cycle")
-
-
 def upsert_by_key(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key, new rows winning ties."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

@@ -12,30 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import discard, stage
+from loomgraph.paths import reach, transitive
+from loomgraph.runtime import stage
 
 TYPE = "rdf:type"
 
 
-def _doubled(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Transitive pairs (a, b): each round joins what is known with itself, so paths double until nothing is new."""
-    known = stage(pairs.select(a, b).distinct(), name)
-    n = known.count()
-    while True:
-        hop = known.select(F.col(a).alias("_m"), F.col(b).alias("_f"))
-        more = known.join(hop, F.col(b) == F.col("_m")).select(a, F.col("_f").alias(b))
-        wider = stage(known.union(more).distinct(), name)
-        discard(known)
-        known, before, n = wider, n, wider.count()
-        if n == before:
-            return known
-
-
 def closure(edges: DataFrame, sub: str = "sub", sup: str = "super") -> DataFrame:
     """(sub, super) for every descendant, each class its own too; cycles end, hierarchies of any depth settle (Q1)."""
     base = edges.select(F.col(sub).alias("sub"), F.col(sup).alias("super"))
     names = base.select(F.col("sub").alias("n")).union(base.select("super")).distinct()
-    return _doubled(base.union(names.select(F.col("n").alias("sub"), F.col("n").alias("super"))), "sub", "super", "closure")
+    return transitive(base, "sub", "super").union(names.where("n is not null").select(F.col("n").alias("sub"), F.col("n").alias("super"))).distinct()
 
 
 def sub_properties(prop_closure: DataFrame, domains: DataFrame, class_closure: DataFrame, prop: str, cls: str) -> DataFrame:
@@ -140,18 +127,42 @@ class Graph:
             types = types.join(subs.union(subs.sparkSession.createDataFrame([(node.cls,)], "_cls string")).distinct(), "_cls", "left_semi")
         return types.withColumnRenamed("_cls", node.type_var).distinct() if node.type_var else types.select(node.var).distinct()
 
-    def path(self, link: Link, near: str, far: str, cls: str | None = None) -> DataFrame:
-        """(near, far) of a link; ``*`` and ``+`` double their paths until none is new (Q6).  ``cls``: the class of near."""
+    def path(self, link: Link, near: str, far: str, cls: str | None = None, starts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+        """(near, far) of a link (Q6).  ``cls``: the class of near.
+
+        ``starts`` (a column near) or ``ends`` (far) bound the paths of ``*`` and ``+`` and the identities of ``*`` and ``?``: only what
+        can be reached from them is touched.  Without both, every node's paths are listed, and identities of all nodes.
+        """
         flip = link.reverse != (link.qualifier == "^")
-        step = self.edges(link.predicate, far if flip else near, near if flip else far, link.node.cls if flip else cls).select(near, far).distinct()
+        step = self.edges(link.predicate, far if flip else near, near if flip else far, link.node.cls if flip else cls).select(near, far)
         if link.qualifier in ("", "^"):
-            return step
+            return step.distinct()
         if link.qualifier in ("*", "+"):
-            step = _doubled(step, near, far, "path")
+            if starts is not None:
+                step = reach(step, starts, near, far)
+            elif ends is not None:
+                step = reach(step, ends, far, near)
+            else:
+                step = transitive(step, near, far, "path")
         if link.qualifier in ("*", "?"):
-            nodes = self.triples.select(F.col("s").alias(near)).union(self.triples.where("o_kind = 'uri'").select("o")).distinct()
-            step = step.union(nodes.select(near, F.col(near).alias(far))).distinct()
-        return step
+            if starts is not None:
+                nodes = starts.select(near)
+            elif ends is not None:
+                nodes = ends.select(F.col(far).alias(near))
+            else:
+                nodes = self.triples.select(F.col("s").alias(near)).union(self.triples.where("o_kind = 'uri'").select("o"))
+            step = step.union(nodes.where(F.col(near).isNotNull()).select(near, F.col(near).alias(far)))
+        return step.select(near, far).distinct()
+
+    def _linked(self, out: DataFrame, link: Link, near: str, cls: str | None) -> tuple[DataFrame, DataFrame]:
+        """``out`` and the link's bindings.  Paths start at the side with fewer nodes, both being written once."""
+        far = self.match(link.node)
+        if link.qualifier not in ("*", "+", "?"):
+            return out, self.path(link, near, link.node.var, cls).join(far, link.node.var)
+        out, far = stage(out, "bound"), stage(far, "bound")
+        starts, ends = out.select(near).distinct(), far.select(link.node.var).distinct()
+        bound = {"starts": starts} if starts.count() <= ends.count() else {"ends": ends}
+        return out, self.path(link, near, link.node.var, cls, **bound).join(far, link.node.var)
 
     def match(self, node: Node) -> DataFrame:
         """All bindings; required parts first, then minus, then optional parts, whole sub-patterns each (Q3, Q4)."""
@@ -169,7 +180,7 @@ class Graph:
                         if not w.other:
                             found = found.where(w.column(F.col(part.var)))
                 else:
-                    found = self.path(part, node.var, part.node.var, node.cls).join(self.match(part.node), part.node.var)
+                    out, found = self._linked(out, part, node.var, node.cls)
                 out = out.join(found, node.var, how[mode])
             if mode == "required":
                 for branches in node.unions:

@@ -188,38 +188,51 @@ def _greedy(links: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(links["entity_type"].iat[0], n, n in firsts) for _, n in names], columns=["entity_type", "norm_name", "first"])
 
 
-def first_names(near: DataFrame, rounds: int = 4, most: int = 200_000) -> DataFrame:
+def _settled(left: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all that ``told`` (entity_type, norm_name, first) decides, it included; the links that stay undecided).
+
+    Who comes after a first is none; a link to a name that isn't first says nothing; a name without links left is first.
+    """
+    key = ["entity_type", "norm_name"]
+    other = lambda df: df.select("entity_type", F.col("norm_name").alias("earlier"))
+    on = left.join(told.select(*key), key, "left_anti")
+    beaten = stage(on.join(other(told.where("first")), ["entity_type", "earlier"], "left_semi").select(*key).distinct().withColumn("first", F.lit(False)), "beaten")
+    told = told.unionByName(beaten)
+    rest = stage(on.join(beaten, key, "left_anti").join(other(told.where("not first")), ["entity_type", "earlier"], "left_anti"), "left")
+    ends = lambda df: df.select(*key).unionAll(df.select("entity_type", "earlier"))
+    free = ends(left).distinct().join(told.select(*key), key, "left_anti").join(ends(rest), key, "left_anti")
+    return stage(told.unionByName(free.withColumn("first", F.lit(True))), "told"), rest
+
+
+def first_names(near: DataFrame, rounds: int = 2, most: int = 300_000) -> DataFrame:
     """(entity_type, norm_name, first) of every name in ``near`` (``alike_pairs``): a name is first unless an earlier first is alike.
 
-    Each round decides the names without undecided earlier ones, and all that come after them.  After every ``rounds`` rounds the
-    components that are left are decided whole, a task each, where they have ``most`` links or fewer; larger ones go on.
+    Some rounds decide the names that have no undecided earlier one, and all that come after them.  Components that are left are
+    decided whole, a task each, if they have ``most`` links or fewer.  Of a larger one each round decides the names up to a
+    place that about ``most`` links lie before; nothing after that place bears on them.
     """
     key, shape = ["entity_type", "norm_name"], "entity_type string, norm_name string, first boolean"
-    as_earlier = lambda df: df.withColumnRenamed("norm_name", "earlier")
-    done, left, turn = near.sparkSession.createDataFrame([], shape), near, 0
+    done, left = near.sparkSession.createDataFrame([], shape), near
+    for _ in range(rounds):
+        heads = left.select("entity_type", F.col("earlier").alias("norm_name")).distinct().join(left.select(*key), key, "left_anti")
+        told, left = _settled(left, stage(heads.withColumn("first", F.lit(True)), "heads"))
+        done = done.unionByName(told)
+    node = lambda c: F.to_json(F.struct("entity_type", F.col(c).alias("n")))
+    left = left.withColumns({"a": node("norm_name"), "b": node("earlier")})
+    left = stage(left.join(label_components(left, "a", "b").select(F.col("node").alias("a"), "component"), "a").drop("a", "b"), "components")
+    shares = [0.5**k for k in range(1, 31)]
     while not left.isEmpty():
-        turn += 1
-        later, heads = left.select(*key).distinct(), left.select("entity_type", F.col("earlier").alias("norm_name")).distinct()
-        heads = stage(heads.join(later, key, "left_anti"), "heads")
-        beaten = stage(left.join(as_earlier(heads), ["entity_type", "earlier"], "left_semi").select(*key).distinct(), "beaten")
-        rest = stage(left.join(beaten, key, "left_anti").join(as_earlier(beaten), ["entity_type", "earlier"], "left_anti"), "left")
-        still = rest.select(*key).unionAll(rest.select("entity_type", "earlier"))
-        free = stage(later.join(beaten, key, "left_anti").join(still, key, "left_anti"), "heads")  # all their earlier ones were beaten
-        done = done.unionByName(heads.unionByName(free).withColumn("first", F.lit(True))).unionByName(beaten.withColumn("first", F.lit(False)))
-        if turn % rounds == 0 and not rest.isEmpty():
-            node = lambda c: F.to_json(F.struct("entity_type", F.col(c).alias("n")))
-            ends = rest.withColumns({"a": node("norm_name"), "b": node("earlier")})
-            ends = ends.join(label_components(ends, "a", "b").select(F.col("node").alias("a"), "component"), "a")
-            small = ends.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most)
-            ends = stage(ends.join(small, "component", "left"), "components")
-            solved = ends.where("n is not null").select("component", *near.columns).groupBy("component").applyInPandas(_greedy, shape)
-            done = done.unionByName(stage(solved, "solved"))
-            rest = ends.where("n is null").select(*near.columns)
-        left = rest
+        cuts = F.percentile_approx("pos", F.array(*[F.lit(x) for x in shares]), 10_000)
+        wanted = F.filter(F.arrays_zip(F.array(*[F.lit(x) for x in shares]).alias("share"), F.col("cuts").alias("cut")), lambda x: x["share"] * F.col("n") <= most)
+        sizes = left.groupBy("component").agg(F.count("*").alias("n"), cuts.alias("cuts")).withColumn("cut", F.when(F.col("n") > most, F.get(wanted, F.lit(0))["cut"]))
+        now = left.join(sizes.select("component", "cut"), "component").where("cut is null or pos <= cut")
+        told = stage(now.select("component", *near.columns).groupBy("component").applyInPandas(_greedy, shape), "solved")
+        told, left = _settled(left, told)
+        done = done.unionByName(told)
     return done
 
 
-def fuzzy_groups(names: DataFrame, threshold: float = 0.9) -> DataFrame:
+def fuzzy_groups(names: DataFrame, threshold: float = 0.9, most: int = 300_000) -> DataFrame:
     """(entity_type, norm_name, group_name): greedy, first group in order of pos whose first name is alike.
 
     ``names`` holds distinct names.  Thresholds under 0.7 would make segments empty and are an error; null names are left out.
@@ -228,7 +241,7 @@ def fuzzy_groups(names: DataFrame, threshold: float = 0.9) -> DataFrame:
         raise ValueError("the threshold must be from 0.7 to 1")
     given = stage(names.where("norm_name is not null").select(F.coalesce("entity_type", F.lit("")).alias("entity_type"), "norm_name", "pos"), "names")
     near = stage(alike_pairs(given, threshold), "alike")
-    told = stage(first_names(near), "firsts")
+    told = stage(first_names(near, most=most), "firsts")
     firsts = told.where("first").select("entity_type", F.col("norm_name").alias("earlier"))
     best = near.join(told.where("not first").drop("first"), ["entity_type", "norm_name"], "left_semi").join(firsts, ["entity_type", "earlier"])
     best = best.groupBy(F.col("entity_type").alias("_t"), F.col("norm_name").alias("_n")).agg(F.min(F.struct("before", "earlier")).alias("_b"))

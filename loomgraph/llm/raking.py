@@ -8,6 +8,7 @@ kept with its cell's probability, by a hash of its id and text.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,19 +87,20 @@ def feasible_targets(cells: DataFrame, dim: str, targets: DataFrame) -> DataFram
     return fill(scaled).select("value", "target", "share")
 
 
-def _fit(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance: float) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _fit(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None, tolerance: float) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Cells with ``weight``, and each dimension's (value, target, share, expected).
 
     ``open_weight`` is what raking alone would give a cell; its weight is that or ``most``, whichever is less.
     A dimension's step scales each value's cells so that they sum to its share if those that are full stay so; as a
     full cell may open and an open one fill up, rounds go on until every sum is within ``tolerance`` of its share,
-    relative to it, before its own step; or until five rounds bring no sum closer, where no weights meet all shares.
+    relative to it, before its own step; or until five rounds bring no sum closer, where no weights meet all shares.  There is
+    no other cap, unless ``rounds`` gives one.
     """
     wanted = {d: stage(feasible_targets(cells, d, t), "shares") for d, t in targets.items()}
     open_, most, share, now = (F.col(c) for c in ("open_weight", "most", "_share", "_now"))
     at = cells.withColumn("open_weight", F.col("base"))
     best, stale = float("inf"), 0
-    for _ in range(rounds):
+    for turn in count(1):
         for d in targets:
             sums = at.groupBy(d).agg(
                 F.sum(F.least(open_, most)).alias("_now"),
@@ -112,7 +114,7 @@ def _fit(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance
             # each step reads ``at`` twice: unwritten, a round's plan would hold it eight times
             at = stage(at.drop(f"_off_{d}").join(known, d).withColumn("open_weight", open_ * F.col("_step")).drop("_step"), "rake")
         worst = at.agg(F.max(F.greatest(*[F.col(f"_off_{d}") for d in targets], F.lit(0.0)))).first()[0] or 0.0
-        if worst <= tolerance:
+        if worst <= tolerance or turn == rounds:
             break
         best, stale = (worst, 0) if worst < best * 0.99 else (best, stale + 1)
         if stale >= 5:
@@ -122,7 +124,7 @@ def _fit(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance
     return fitted, {d: stage(wanted[d].join(sums[d], "value", "left"), "marginals") for d in targets}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """Scale ``tokens`` to ``weight`` so that each dimension's sums follow its targets; weights sum to 1.
 
     ``cells`` has a row for each combination, with tokens of 0 or more; ``targets`` holds (value,
@@ -134,13 +136,24 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 60, tole
     return _fit(given, targets, rounds, tolerance)[0].drop("base", "most")
 
 
-def tempered_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
-    """(value, target): shares proportional to a value's tokens to the power ``power``."""
-    sums = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("target"))
-    return sums.select(F.col(dim).alias("value"), "target")
+def tempered_targets(cells: DataFrame, dim: str, power: float, budget: float = 1.0, room: float = 0.9) -> DataFrame:
+    """(value, target): shares proportional to a value's tokens to the power ``power``, as nearly as its tokens can give them.
+
+    A sample of ``budget`` of all tokens can take a value's share times 1 / ``budget`` at most.  Where tempered shares ask for more,
+    targets lie between the shares as they are and the tempered ones, as far out as every value can go with ``room`` of what it has
+    above its own share, so that all targets can be met.  Values without tokens have a target of 0.
+    """
+    sums = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").cast("double").alias("n"))
+    total = sums.agg(F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(power))).alias("t")).first()
+    if not total.n:
+        return sums.select("value", F.lit(0.0).alias("target"))
+    own, wanted = F.col("n") / F.lit(total.n), F.when(F.col("n") > 0, F.pow("n", F.lit(power)) / F.lit(total.t)).otherwise(0.0)
+    far = sums.agg(F.min(F.when((wanted > own) & (own > 0), own * F.lit(room * (1 / budget - 1)) / (wanted - own)))).first()[0]
+    step = min(1.0, far) if far is not None else 1.0
+    return sums.select("value", (own + (wanted - own) * F.lit(step)).alias("target"))
 
 
-def fit_mixture(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = 60, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+def fit_mixture(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int | None = None, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """(cells with ``probability`` and ``residual``, marginals) of a sample of ``budget`` of all tokens.
 
     No cell is expected to give more tokens than it has.  A value whose target is beyond its tokens is taken whole and
@@ -170,7 +183,7 @@ def mix(
     lang_col: str = "lang",
     power: float = 0.7,
     budget: float = 0.5,
-    rounds: int = 60,
+    rounds: int | None = None,
     seed: int = 17,
     topics: dict[str, list[str]] | None = None,
     prefix: str = "mix_",
@@ -179,7 +192,7 @@ def mix(
     """Every row of ``docs`` with its cell's probability and whether it is sampled; and the marginals.
 
     Added columns, after ``prefix``: tokens, topic, probability, residual, sampled; a clash is an error.  Targets are the
-    tempered token shares of each source, language and topic; the expected sample is ``budget`` of all tokens, and its
+    tempered token shares of each source, language and topic, as far as the tokens allow (``tempered_targets``); the expected sample is ``budget`` of all tokens, and its
     expected shares are the targets' where those can be met (``fit_mixture``).  ``topics``: terms by topic.
     A null source or language is the category ''.  Texts without a word, null included, weigh nothing and aren't
     sampled; long ones are read whole.  Rows with the same id and text are drawn alike.  An empty table gives no row.
@@ -198,7 +211,7 @@ def mix(
     category = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     key = {"source": category(source_col), "lang": category(lang_col), "topic": F.col(name("topic"))}
     cells = stage(read.groupBy(*[c.alias(k) for k, c in key.items()]).agg(F.sum(name("tokens")).alias("tokens"), F.count("*").alias("texts")), "cells")
-    fitted, marginals = fit_mixture(cells, {d: tempered_targets(cells, d, power) for d in DIMENSIONS}, budget, rounds)
+    fitted, marginals = fit_mixture(cells, {d: tempered_targets(cells, d, power, budget) for d in DIMENSIONS}, budget, rounds)
     rates = stage(fitted.select(F.struct(*DIMENSIONS).alias(name("cell")), F.col("probability").alias(name("probability")), F.col("residual").alias(name("residual"))), "rates")
     out = read.join(rates, F.struct(*[c.alias(k) for k, c in key.items()]) == F.col(name("cell")), "left").drop(name("cell"))
     sampled = (F.col(name("tokens")) > 0) & (F.col(name("draw")) < F.coalesce(name("probability"), F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import in_fold, struct_name
@@ -15,7 +15,10 @@ from loomgraph.runtime import stage, table
 
 
 def rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their language's and source's thresholds."""
+    """Documents that pass the base rules and their language's and source's thresholds.
+
+    Null and empty texts have no words and go; null languages and sources are groups of their own; equal rows pass or go together.
+    """
     own = struct_name(docs.columns, "rule")
     return apply_rules(docs, prefix=f"{own}_").where(F.col(f"{own}_kept")).select(docs.columns)
 
@@ -30,28 +33,34 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_quality(docs, model, out=own).where(F.col(own) >= 0.3).select(docs.columns)
 
 
+def row_identity(docs: DataFrame) -> Column:
+    """Two 64-bit hashes of all columns, so that different rows don't pass for one; maps, alone or nested, by their JSON."""
+    cols = [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return F.struct(F.xxhash64(F.lit("a"), *cols).alias("a"), F.xxhash64(F.lit("b"), *reversed(cols)).alias("b"))
+
+
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the least id's, or one without an id if none has any.
 
-    Of a group's rows that share that id the one with the least hash of all its columns stays, so that no row of
-    another group takes its place; whole rows that are equal stay once.
+    Of a group's rows that share that id the one with the least ``row_identity`` stays, so that no row of another group takes its
+    place; whole rows that are equal stay once.  Null and empty texts are alike, and one of them stays.  No rows give none.
     """
     own = struct_name(docs.columns, "fp")
-    hashed = docs.withColumn(f"{own}_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    hashed = docs.withColumn(f"{own}_row", row_identity(docs))
     printed = stage(with_fingerprints(hashed.select("doc_id", "text", f"{own}_row"), out=own).drop("text"), "fingerprints")
     groups = near_duplicates(printed, fp_col=own)
     member = printed.join(groups.select(F.col("fp").alias(own), "component"), own)
     first = member.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(f"{own}_row"))).alias("r"))
     kept = first.select(F.col(f"r.{own}_row").alias(f"{own}_row")).distinct()
-    return hashed.join(kept, f"{own}_row", "left_semi").dropDuplicates([f"{own}_row"]).select(docs.columns)
+    return hashed.join(kept, f"{own}_row", "left_semi").dropDuplicates([f"{own}_row"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample that follows the target weights."""
+    """The sample that follows the target weights.  Null and empty texts weigh nothing and go; rows with one id and text are drawn alike."""
     own = struct_name(docs.columns, "mix")
     return mix(docs, prefix=f"{own}_")[0].where(F.col(f"{own}_sampled")).select(docs.columns)
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
+    """Where each piece of each document lies in the packed sequences; null and empty texts are a piece of one id, equal rows pieces each."""
     return pack_documents(docs)

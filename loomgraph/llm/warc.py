@@ -9,6 +9,7 @@ at the start of a record, in Spark again, and runs over each record's chunks in
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import pyarrow as pa
@@ -22,11 +23,12 @@ RECORD_START = "WARC/1.1\r\nWARC-Type: "
 RECORD_END = "\r\n\r\n"
 CHUNK_BYTES = 1 << 16
 
-CHUNK_SCHEMA = "page_id long, url string, record_id string, chunk_no int, last boolean, offset long, chunk string, digest string"
+CHUNK_SCHEMA = "page_id long, url string, record_id string, chunk_no int, last boolean, offset long, size int, coded boolean, chunk string, digest string"
 
 
 #: What a response's block has before the payload.
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+CHUNK_CODING = "X-Chunk-Encoding"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -50,11 +52,20 @@ def pieces(payload: memoryview, size: int, mark: bytes):
             return
 
 
+def as_text(chunk: bytes) -> tuple[bool, str]:
+    """(coded, text): the chunk as it is, or in base64 if its bytes aren't UTF-8, since archives are laid out as text."""
+    try:
+        return False, chunk.decode()
+    except UnicodeDecodeError:
+        return True, base64.b64encode(chunk).decode()
+
+
 def chunk_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", size: int = CHUNK_BYTES) -> DataFrame:
     """Rows of each payload's chunks; ``digest`` is the SHA-256 of all bytes up to the chunk's end.
 
     Null payloads are empty and have one empty chunk.  Each row of ``pages`` is a record of its own, repeated or not, and
-    null ids stay null; a payload of any length is read where it lies, a chunk at a time.
+    null ids stay null; a payload of any length is read where it lies, a chunk at a time.  ``size`` counts the payload's bytes; a chunk
+    that isn't UTF-8 is ``coded`` in base64, so any bytes come through.
     """
 
     def chunks(batches):
@@ -69,7 +80,7 @@ def chunk_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 state, name = hashlib.sha256(), hashlib.md5(f"{page}/{serial}".encode()).hexdigest()
                 for no, (at, chunk) in enumerate(pieces(view, size, mark)):
                     state.update(chunk)
-                    rows.append((page, url, name, no, at + len(chunk) == len(view), at, chunk.decode(), state.hexdigest()))
+                    rows.append((page, url, name, no, at + len(chunk) == len(view), at, len(chunk), *as_text(chunk), state.hexdigest()))
                     held += len(chunk)
                     if held >= 64 * size or len(rows) >= 10_000:
                         yield _batch(rows, names)
@@ -82,14 +93,14 @@ def chunk_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def _batch(rows, names):
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string())
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def revisits_of(chunks: DataFrame, least: int) -> DataFrame:
     """(record_id, first_page, first_record, bytes, sha) of records whose payload an earlier page has; only last chunks' ids,
     lengths and digests are compared."""
-    ends = chunks.where("last").select("record_id", "page_id", (F.col("offset") + F.octet_length("chunk")).alias("bytes"), F.col("digest").alias("sha"))
+    ends = chunks.where("last").select("record_id", "page_id", (F.col("offset") + F.col("size")).alias("bytes"), F.col("digest").alias("sha"))
     same = (
         ends.where(F.col("bytes") >= least).groupBy("sha", "bytes")
         .agg(F.min("page_id").alias("first_page"), F.min_by("record_id", F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("record_id"))).alias("first_record"), F.count("*").alias("n"))
@@ -116,11 +127,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     own = F.when(first, F.col("record_id")).otherwise(F.md5(F.concat_ws("/", "record_id", "chunk_no")))
     target = field("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " "))
     top = [F.when(first, F.lit("response")).otherwise(F.lit("continuation")), field("WARC-Record-ID", uri(own)), field("WARC-Date", F.lit("1970-01-01T00:00:00Z")), target, field("X-Page-Id", F.coalesce(F.col("page_id").cast("string"), F.lit("")))]
-    segment = maybe(~whole, F.concat(field("WARC-Segment-Number", F.col("chunk_no") + 1), maybe(~first, field("WARC-Segment-Origin-ID", uri(F.col("record_id")))), maybe(last, field("WARC-Segment-Total-Length", F.col("offset") + F.octet_length("chunk") + len(HTTP_HEAD)))))
+    segment = maybe(~whole, F.concat(field("WARC-Segment-Number", F.col("chunk_no") + 1), maybe(~first, field("WARC-Segment-Origin-ID", uri(F.col("record_id")))), maybe(last, field("WARC-Segment-Total-Length", F.col("offset") + F.col("size") + len(HTTP_HEAD)))))
     digest = F.when(last, field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest"))).otherwise(field("X-Digest-So-Far", F.concat(F.lit("sha256:"), "digest")))
     body = F.concat(maybe(first, F.lit(HTTP_HEAD)), F.col("chunk"))
     kind = maybe(first, field("Content-Type", F.lit("application/http; msgtype=response")))
-    response = F.concat(F.lit(RECORD_START), *top, segment, digest, kind, field("Content-Length", F.octet_length(body)), F.lit(RECORD_END), body)
+    response = F.concat(F.lit(RECORD_START), *top, segment, digest, kind, maybe(F.col("coded"), field(CHUNK_CODING, F.lit("base64"))), field("Content-Length", F.octet_length(body)), F.lit(RECORD_END), body)
     copy = F.concat(
         F.lit(RECORD_START), F.lit("revisit"), *top[1:], field("WARC-Profile", F.lit(REVISIT_PROFILE)), field("WARC-Refers-To", uri(F.col("first_record"))), field("X-Refers-To-Page", F.col("first_page")),
         field("X-Payload-Length", F.col("bytes")), field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "sha")), field("Content-Length", F.lit(0)), F.lit(RECORD_END),
@@ -132,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """Chunk rows of the archives: record_type, record_id, chunk_no, page_id, refers_to, length, digest, content_length, segmented, chunk."""
+    """Chunk rows of the archives: record_type, record_id, chunk_no, page_id, refers_to, length, digest, content_length, segmented, coded, chunk."""
     lines = spark.read.option("lineSep", RECORD_START).text(path).where("value != ''")
     cut = F.instr("value", RECORD_END)
     parts = lines.select(
@@ -154,6 +165,7 @@ def read_archives(spark, path: str) -> DataFrame:
         F.nullif(F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]+)", 1), F.lit("")).alias("digest"),
         F.when(http, length - len(HTTP_HEAD)).otherwise(length).alias("content_length"),
         F.contains("head", F.lit("\r\nWARC-Segment-Number: ")).alias("segmented"),
+        F.contains("head", F.lit(f"\r\n{CHUNK_CODING}: base64")).alias("coded"),
         F.when(http, F.substring("chunk", len(HTTP_HEAD) + 1, 2**31 - 1)).otherwise(F.col("chunk")).alias("chunk"),
     )
 
@@ -187,6 +199,8 @@ def checked_records(chunks: DataFrame) -> DataFrame:
                 chunk = (row.pop("chunk") or "").encode()
                 if row["chunk_no"] != number or row["content_length"] != len(chunk):
                     wrong = wrong or f"chunk {row['chunk_no']} is out of place or cut short"
+                if row["coded"]:
+                    chunk = base64.b64decode(chunk)
                 state.update(chunk)
                 size += len(chunk)
                 now = row | {"record_type": kind}

@@ -164,17 +164,18 @@ def text_logits(net: Network, texts: list[list[bytes]], most: int = 8192) -> np.
     return out
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = 1500, max_chars: int = 20_000, vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3) -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = 1500, max_chars: int = 20_000, vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3, miss_cost: float = 2.0) -> dict:
     """Fit on at most about ``per_class`` labelled texts of each class, of ``max_chars`` characters at most.
 
     A fifth of them is kept from the network and calibrates its scores.  Null and empty texts aren't sampled; of labels that
-    repeat for an id the greatest counts; fewer than ten texts of a class make the score a constant, the toxic share.
+    repeat for an id the greatest counts; fewer than ten texts of a class make the score a constant, the toxic share.  A toxic text that is missed counts as
+    ``miss_cost`` false alarms: scores are calibrated as if toxic texts were that many times as frequent.
     """
     rows, counts = sample_labelled(docs, labels, label, keep, per_class, max_chars)
-    return fit_network(rows, counts, vocabulary, rounds, least, decay)
+    return fit_network(rows, counts, vocabulary, rounds, least, decay, miss_cost)
 
 
-def fit_network(every: list[tuple[bytes, int]], counts: dict[int, int], vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3) -> dict:
+def fit_network(every: list[tuple[bytes, int]], counts: dict[int, int], vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3, miss_cost: float = 2.0) -> dict:
     """``train_toxicity`` on (text, label) pairs and the labels' counts."""
     seen = {0: 0, 1: 0}
     rows, aside = [], []
@@ -219,7 +220,7 @@ def fit_network(every: list[tuple[bytes, int]], counts: dict[int, int], vocabula
                 net.p[k] *= 1 - 0.01 * decay
                 net.p[k] -= 0.01 * (m / (1 - 0.9**serial)) / (np.sqrt(v / (1 - 0.999**serial)) + 1e-8)
     z, y = text_logits(net, [words_of(t) for t, _ in aside]), np.array([z for _, z in aside], float)
-    real = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum())
+    real = np.where(y == 1, miss_cost * prior / (y == 1).sum(), (1 - prior) / (y == 0).sum())
     scale = float(z.std()) + 1e-9
     return {"net": net, "prior": prior, "scale": scale, "beta": fit_logistic((z / scale)[:, None], y, real, ridge=1e-4)}
 

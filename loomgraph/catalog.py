@@ -22,7 +22,7 @@ CUSTOMER_REF = tableprep.Mapping("customer", "Customer", [("text", "urn:x#custom
 
 def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
-        tableprep.rows_to_triples(table(spark, sf_dir, t), m)[0]
+        tableprep.rows_to_triples(table(spark, sf_dir, t), m, distinct=False)[0]
         for t, m in (("customer", [CUSTOMER, NATION_REF]), ("nation", [NATION, REGION_REF]), ("orders", [ORDER, CUSTOMER_REF]))
     ]
     # a pattern reads the triples once for each of its parts, one predicate at a time

@@ -105,59 +105,78 @@ def label_dictionary(triples: DataFrame, max_words: int = 4, specificity: int =
     return labels.join(rare, "label").join(types(triples), "s", "left").select("label", "s", "cls", "shared")
 
 
-def shape_check(triples: DataFrame, shapes: list[dict], severity: list[str] | None = None) -> DataFrame:
+SHAPE_SCHEMA = "id int, target string, path string, kind string, value string, items array<string>, severity string, message string"
+VALUE_KINDS = ("datatype", "nodeKind", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive", "minLength", "maxLength", "pattern", "in")
+
+
+def shapes_table(spark, shapes: list[dict]) -> DataFrame:
+    """Shapes as rows: a list of {target, path, kind, value, severity} for ``shape_check``; lists (in, closed) go to ``items``."""
+    rows = []
+    for i, s in enumerate(shapes):
+        path, want = s.get("path", ""), s.get("value")
+        many = [str(x) for x in want] if isinstance(want, (list, tuple)) else None
+        one = None if want is None or many is not None else str(want)
+        rows.append((i, s["target"], path, s["kind"], one, many, s.get("severity", "Violation"), f"{s['target']} {path}: {s['kind']} {want}"))
+    return spark.createDataFrame(rows, SHAPE_SCHEMA)
+
+
+def shape_check(triples: DataFrame, shapes: list[dict] | DataFrame, severity: list[str] | None = None) -> DataFrame:
     """(focus, path, value, shape, severity, message) of every flat constraint that fails.
 
-    A shape is {target, path, kind, value, severity}; kinds: minCount, maxCount, class, datatype,
-    nodeKind, minInclusive, maxInclusive, minExclusive, maxExclusive, minLength, maxLength, pattern,
-    equals, disjoint, lessThan, in, closed.
+    ``shapes``: rows of ``SHAPE_SCHEMA`` or a list for ``shapes_table``; kinds: minCount, maxCount, class, datatype,
+    nodeKind, minInclusive, maxInclusive, minExclusive, maxExclusive, minLength, maxLength, pattern, equals, disjoint, lessThan,
+    in, closed.  Checks are data: instances join them by class and values by predicate, so the plan has a part for each
+    sort of check, six at most, for any number of shapes.  A value that isn't a number fails number checks.
     """
-    t, found = types(triples), []
-    for shape in shapes:
-        if severity and shape.get("severity", "Violation") not in severity:
-            continue
-        kind, want, path = shape["kind"], shape.get("value"), shape.get("path", "")
-        focus = t.where(F.col("cls") == shape["target"]).select(F.col("s").alias("focus")).distinct()
-        values = triples.where(F.col("p") == path).select(F.col("s").alias("focus"), F.col("o").alias("value"), "o_kind", "o_type")
-        here = focus.join(values, "focus")
-        number = F.col("value").try_cast("double")
-        tests = {
-            "datatype": lambda: ~F.col("o_type").eqNullSafe(want),
-            "nodeKind": lambda: F.col("o_kind") != want,
-            "minInclusive": lambda: ~F.coalesce(number >= want, F.lit(False)),
-            "maxInclusive": lambda: ~F.coalesce(number <= want, F.lit(False)),
-            "minExclusive": lambda: ~F.coalesce(number > want, F.lit(False)),
-            "maxExclusive": lambda: ~F.coalesce(number < want, F.lit(False)),
-            "minLength": lambda: F.length("value") < want,
-            "maxLength": lambda: F.length("value") > want,
-            "pattern": lambda: ~F.col("value").rlike(want),
-            "in": lambda: ~F.col("value").isin(*want),
-        }
-        other = lambda: triples.where(F.col("p") == want).select(F.col("s").alias("focus"), F.col("o").alias("value"))  # noqa: E731, B023
-        if kind in ("minCount", "maxCount"):
-            n = focus.join(values, "focus", "left").groupBy("focus").agg(F.count_distinct("value").alias("n"))
-            bad = n.where(F.col("n") < want if kind == "minCount" else F.col("n") > want).select("focus", F.col("n").cast("string").alias("value"))
-        elif kind == "class":
-            bad = here.join(t.where(F.col("cls") == want).select(F.col("s").alias("value")), "value", "left_anti").select("focus", "value")
-        elif kind == "equals":
-            theirs = focus.join(other(), "focus")
-            bad = here.select("focus", "value").exceptAll(theirs).union(theirs.exceptAll(here.select("focus", "value"))).distinct()
-        elif kind == "disjoint":
-            bad = here.select("focus", "value").join(other(), ["focus", "value"], "left_semi")
-        elif kind == "lessThan":
-            theirs = other().withColumnRenamed("value", "_v")
-            bad = here.join(theirs, "focus").where(~F.coalesce(number < F.col("_v").try_cast("double"), F.lit(False))).select("focus", "value").distinct()
-        elif kind == "closed":
-            bad = focus.join(triples.where(~F.col("p").isin(TYPE, *want)).select(F.col("s").alias("focus"), F.col("p").alias("value")), "focus").distinct()
-        else:
-            bad = here.where(tests[kind]()).select("focus", "value")
-        found.append(bad.select("focus", F.lit(path).alias("path"), "value", F.lit(kind).alias("shape"), F.lit(shape.get("severity", "Violation")).alias("severity"), F.lit(f"{shape['target']} {path}: {kind} {want}").alias("message")))
-    if not found:
-        return triples.sparkSession.createDataFrame([], "focus string, path string, value string, shape string, severity string, message string")
+    given = shapes if isinstance(shapes, DataFrame) else shapes_table(triples.sparkSession, shapes)
+    if severity:
+        given = given.where(F.col("severity").isin(*severity))
+    t = types(triples)
+    due = given.join(t.select(F.col("s").alias("focus"), F.col("cls").alias("target")), "target")
+    of = lambda *kinds: due.where(F.col("kind").isin(*kinds))
+    base = ["id", "focus", "path", "kind", "value", "items", "severity", "message"]
+    facts = triples.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("o"), "o_kind", "o_type")
+    other = triples.select(F.col("s").alias("focus"), F.col("p").alias("value"), F.col("o").alias("o"))
+    number, want, false = F.col("o").try_cast("double"), F.col("value").try_cast("double"), F.lit(False)
+    tests = {
+        "datatype": ~F.col("o_type").eqNullSafe(F.col("value")),
+        "nodeKind": F.col("o_kind") != F.col("value"),
+        "minInclusive": ~F.coalesce(number >= want, false),
+        "maxInclusive": ~F.coalesce(number <= want, false),
+        "minExclusive": ~F.coalesce(number > want, false),
+        "maxExclusive": ~F.coalesce(number < want, false),
+        "minLength": F.length("o") < want,
+        "maxLength": F.length("o") > want,
+        "pattern": ~F.rlike("o", F.col("value")),
+        "in": ~F.array_contains("items", F.col("o")),
+    }
+    fails = reduce(lambda e, k: e.when(F.col("kind") == k, tests[k]), VALUE_KINDS, F.when(false, false))
+    out = lambda df, value: df.select("focus", "path", value.cast("string").alias("value"), F.col("kind").alias("shape"), "severity", "message")
+    used = {r[0] for r in given.select("kind").distinct().collect()}  # of seventeen kinds
+    found = [out(of(*VALUE_KINDS).join(facts, ["focus", "path"]).where(fails), F.col("o"))]
+    lean = [c for c in base if c != "items"]
+    if used & {"minCount", "maxCount"}:
+        counts = of("minCount", "maxCount").join(facts, ["focus", "path"], "left").groupBy(*lean).agg(F.count_distinct("o").alias("n"))
+        found.append(out(counts.where(F.when(F.col("kind") == "minCount", F.col("n") < want).otherwise(F.col("n") > want)), F.col("n")))
+    if "class" in used:
+        typed = t.select(F.col("s").alias("o"), F.col("cls").alias("value"))
+        found.append(out(of("class").join(facts, ["focus", "path"]).join(typed, ["o", "value"], "left_anti"), F.col("o")))
+    if used & {"equals", "disjoint"}:  # each value once, with the sides that have it
+        pairs = of("equals", "disjoint").select(*lean)
+        sides = pairs.join(facts, ["focus", "path"]).select(*lean, "o", F.lit(1).alias("side")).unionByName(pairs.join(other, ["focus", "value"]).select(*lean, "o", F.lit(0).alias("side")))
+        sides = sides.groupBy(*lean, "o").agg((F.max("side") != F.min("side")).alias("both"))
+        found.append(out(sides.where(F.when(F.col("kind") == "equals", ~F.col("both")).otherwise(F.col("both"))), F.col("o")))
+    if "lessThan" in used:  # than the least of the other's values, all of which must be numbers
+        least = of("lessThan").join(other, ["focus", "value"]).groupBy("id", "focus").agg(F.min(number).alias("least"), F.bool_or(number.isNull()).alias("odd"))
+        below = of("lessThan").join(facts, ["focus", "path"]).join(least, ["id", "focus"]).where(F.col("odd") | ~F.coalesce(number < F.col("least"), false))
+        found.append(out(below, F.col("o")).distinct())
+    if "closed" in used:
+        said = triples.where(F.col("p") != TYPE).select(F.col("s").alias("focus"), F.col("p").alias("_p")).distinct()
+        found.append(out(of("closed").join(said, "focus").where(~F.array_contains("items", F.col("_p"))), F.col("_p")))
     return reduce(DataFrame.unionByName, found)
 
 
-def prune_by_shapes(triples: DataFrame, shapes: list[dict]) -> DataFrame:
+def prune_by_shapes(triples: DataFrame, shapes: list[dict] | DataFrame) -> DataFrame:
     """Delete every node that a shape reports, in and out, until none is reported (A10).  Each round deletes some, so it ends."""
     while True:
         gone = stage(shape_check(triples, shapes).select(F.col("focus").alias("_x")).distinct(), "pruned")

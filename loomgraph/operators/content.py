@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -113,9 +113,10 @@ STEP_HEAD = re.compile(r"^\s*(?:粗加工|精加工|热处理|表面处理|装
 
 
 def merge_semantic_blocks(routed: DataFrame, token_limit: int = 2048, same_page: bool = True, guard_atomic: bool = True, guard_rules: bool = True, order=tuple(ROUTES)) -> DataFrame:
-    """Merge runs of text blocks of a document (C9): one state machine per document, over flags and lengths.
+    """Merge runs of text blocks of a document (C9): one state machine over each document's sorted flags and lengths.
 
-    Only ids, flags and lengths enter it; texts join back and concatenate in Spark.  Returns doc_id,
+    Sorted rows stream through a task whose memory holds a batch and the open group's state, however many blocks a document has; only
+    ids, flags and lengths enter it.  Texts join back and concatenate in Spark.  Returns doc_id,
     group_no, semantic_type, pipeline, text, source_block_ids and page_range.
     """
     limit = max(256, token_limit)
@@ -131,40 +132,52 @@ def merge_semantic_blocks(routed: DataFrame, token_limit: int = 2048, same_page:
         (g == "text").alias("mergeable"), (~head & (g == "text") & (text.rlike(f"(?m){BOUNDARY.pattern}") | text.rlike(STEP_HEAD.pattern))).alias("boundary"),
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "seq", "block_id"], kind="stable").reset_index(drop=True)
-        group, kind, no, now, size, last = [], [], -1, None, 0, None
-        kinds: dict[int, str] = {}
-        for r in pdf.itertuples():
-            fresh = None
-            if guard_atomic and r.atomic:
-                fresh, keep = "atomic", None
-            elif guard_rules and r.boundary:
-                fresh, keep = "industrial_segment", None
-            elif r.head:
-                fresh = keep = "section"
-            elif not r.mergeable:
-                fresh, keep = "standalone", None
-            elif now and last and r.pipeline == last.pipeline and r.seq == last.seq + 1 and not (same_page and r.page_idx >= 0 and last.page_idx >= 0 and r.page_idx != last.page_idx) and (size + (2 if size and r.chars else 0) + r.chars) // 2 <= limit:
-                size += (2 if size and r.chars else 0) + r.chars
-                if kinds[no] != "section":
-                    kinds[no] = "list_block" if r.type == "list" else "paragraph_run"
-            else:
-                fresh = keep = "paragraph_run"
-            if fresh:
-                no += 1
-                kinds[no], now, size = fresh, keep, r.chars
-            last = r
-            group.append(no)
-        kind = [kinds[i] for i in group]
-        return pd.DataFrame({"doc_id": pdf.doc_id, "block_id": pdf.block_id, "seq": pdf.seq, "pos": range(len(pdf)), "group_no": group, "semantic_type": kind})
-
-    schema = f"doc_id {dict(routed.dtypes)['doc_id']}, block_id string, seq {dict(routed.dtypes)['seq']}, pos int, group_no int, semantic_type string"
-    groups = flagged.drop("text").groupBy("doc_id").applyInPandas(run, schema)
+    def run(batches):
+        """Rows come document by document, in order; only the open group's state goes from row to row and batch to batch."""
+        doc, last, no, pos, now, kind, size = object(), None, -1, 0, None, None, 0
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["doc_id"] != doc:
+                    doc, last, no, pos, now, kind, size = r["doc_id"], None, -1, 0, None, None, 0
+                fresh = None
+                if guard_atomic and r["atomic"]:
+                    fresh, keep = "atomic", None
+                elif guard_rules and r["boundary"]:
+                    fresh, keep = "industrial_segment", None
+                elif r["head"]:
+                    fresh = keep = "section"
+                elif not r["mergeable"]:
+                    fresh, keep = "standalone", None
+                elif (
+                    now and last and r["pipeline"] == last["pipeline"] and r["seq"] == last["seq"] + 1
+                    and not (same_page and r["page_idx"] >= 0 and last["page_idx"] >= 0 and r["page_idx"] != last["page_idx"])
+                    and (size + (2 if size and r["chars"] else 0) + r["chars"]) // 2 <= limit
+                ):
+                    size += (2 if size and r["chars"] else 0) + r["chars"]
+                    if kind != "section":
+                        kind = "list_block" if r["type"] == "list" else "paragraph_run"
+                else:
+                    fresh = keep = "paragraph_run"
+                if fresh:
+                    no, kind, now, size = no + 1, fresh, keep, r["chars"]
+                last = r
+                out.append((pos, no, kind))
+                pos += 1
+            made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.string())]
+            given = [batch.column(c) for c in ("doc_id", "block_id", "seq")]
+            yield pa.RecordBatch.from_arrays([*given, *made], ["doc_id", "block_id", "seq", "pos", "group_no", "kind"])
+
+    schema = f"doc_id {dict(routed.dtypes)['doc_id']}, block_id string, seq {dict(routed.dtypes)['seq']}, pos int, group_no int, kind string"
+    in_order = flagged.drop("text").repartition("doc_id").sortWithinPartitions("doc_id", "rank", "seq", "block_id")
+    groups = in_order.mapInArrow(run, schema)
     return (
         groups.join(flagged.select("doc_id", "block_id", "seq", "text", "pipeline", "page_idx"), ["doc_id", "block_id", "seq"])
-        .groupBy("doc_id", "group_no", "semantic_type")
-        .agg(F.min_by("pipeline", "pos").alias("pipeline"), F.array_sort(F.collect_list(F.struct("pos", "block_id", "text", "page_idx"))).alias("_b"))
+        .groupBy("doc_id", "group_no")
+        .agg(
+            F.max_by("kind", "pos").alias("semantic_type"), F.min_by("pipeline", "pos").alias("pipeline"),
+            F.array_sort(F.collect_list(F.struct("pos", "block_id", "text", "page_idx"))).alias("_b"),
+        )
         .select(
             "doc_id", "group_no", "semantic_type", "pipeline",
             F.array_join(F.filter(F.col("_b.text"), lambda x: x != ""), "\n\n").alias("text"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -241,8 +242,11 @@ class Mapping:
     links: dict[str, str] = field(default_factory=dict)
 
 
-def rows_to_triples(rows: DataFrame, mappings: list[Mapping], graph: str = "default", prefix: str = "uri://loomgraph#") -> tuple[DataFrame, DataFrame]:
-    """(triples, errors) of mapped rows: types, properties and links; empty parts are left out."""
+def rows_to_triples(rows: DataFrame, mappings: list[Mapping], graph: str = "default", prefix: str = "uri://loomgraph#", distinct: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(triples, errors) of mapped rows: types, properties and links; empty parts are left out.
+
+    ``distinct=False`` leaves repeats to a caller who drops those of several tables at once.
+    """
     uris = {m.name: mapped_value(m.uri, True) for m in mappings}
     given = rows.withColumns({f"_u_{n}": build_uri(v, prefix) for n, (v, _) in uris.items()})
     made, problems = [], [e for _, e in uris.values()]
@@ -260,27 +264,54 @@ def rows_to_triples(rows: DataFrame, mappings: list[Mapping], graph: str = "defa
     got = F.filter(F.array(*made), lambda t: t.isNotNull())
     error = F.nullif(F.concat_ws(";", *problems, F.when(F.size(got) == 0, F.lit("the row has no data"))), F.lit(""))
     marked = given.withColumn("_error", error)
-    triples = marked.where("_error is null").select(F.lit(graph).alias("graph"), F.inline(got)).distinct()
-    return triples, marked.where("_error is not null").select(*rows.columns, F.col("_error").alias("error"))
+    triples = marked.where("_error is null").select(F.lit(graph).alias("graph"), F.inline(got))
+    return triples.distinct() if distinct else triples, marked.where("_error is not null").select(*rows.columns, F.col("_error").alias("error"))
+
+
+def loaded_ids(spark, path: str) -> list[str]:
+    """Loads whose triples are all there: each has a mark, written after them."""
+    marks = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")
+    fs = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(marks)) if fs.exists(marks) else []
+
+
+def read_loaded(spark, path: str) -> DataFrame:
+    """(graph, s, o, o_kind, o_type, p) of all loads that ended; what a failed one has left isn't read."""
+    ids = loaded_ids(spark, path)
+    folders = [f"{path}/load={i}" for i in ids]
+    empty = spark.createDataFrame([], TRIPLE_SCHEMA)
+    return spark.read.schema(TRIPLE_SCHEMA).option("basePath", path).parquet(*folders).drop("load") if folders else empty
 
 
 def load(rows: DataFrame, mappings: list[Mapping], path: str, precheck: bool = True, **kw) -> DataFrame:
-    """Write the triples, a folder for each predicate; with any error and a precheck nothing is written.  Returns the errors.
+    """Write the triples that aren't there yet, a folder for each predicate; with any error and a precheck nothing is written.
+    Returns the errors (T17).
 
-    A predicate's triples are dealt to as many tasks as its share of all triples asks for, so that a frequent one (types) isn't
-    written by one task.
+    A load is a folder of its own named by a digest of its triples, overwritten if a former try left it half-written, and counts once its mark
+    is in the manifest: loading the same rows again, or again after a failure, adds nothing.  A predicate's triples are
+    dealt to as many tasks as its share of all triples asks for, so that a frequent one (types) isn't written by one task.
     """
     triples, errors = rows_to_triples(rows, mappings, **kw)
     errors = stage(errors, "load-errors")
     if not (precheck and not errors.isEmpty()):
-        triples = stage(triples, "load-triples")
+        triples, spark = stage(triples, "load-triples"), rows.sparkSession
+        sums = [F.sum(F.xxhash64(F.lit(x), "graph", "s", "p", "o", "o_kind", "o_type").cast("decimal(38,0)")) for x in "ab"]
+        name = hashlib.sha256(repr(tuple(triples.agg(F.count("*"), *sums).first())).encode()).hexdigest()[:32]
+        if name in loaded_ids(spark, path):
+            return errors
         sizes = triples.groupBy("p").agg(F.count("*").alias("_n"))  # a row a predicate
+        there = read_loaded(spark, path).join(sizes.select("p"), "p", "left_semi")
+        keys = ["graph", "s", "p", "o", "o_kind", "o_type"]
+        new = triples.join(there, [triples[k].eqNullSafe(there[k]) for k in keys], "left_anti")
         parts = F.ceil(F.col("_n") / F.lit(LOAD_ROWS)).cast("int")
-        dealt = triples.join(sizes, "p").withColumn("_part", F.pmod(F.xxhash64("s"), parts)).repartition("p", "_part").sortWithinPartitions("p", "s")
-        dealt.drop("_n", "_part").write.mode("append").partitionBy("p").parquet(path)
+        dealt = new.join(sizes, "p").withColumn("_part", F.pmod(F.xxhash64("s"), parts)).repartition("p", "_part").sortWithinPartitions("p", "s")
+        dealt.drop("_n", "_part").write.mode("overwrite").partitionBy("p").parquet(f"{path}/load={name}")
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest/{name}")
+        mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, True).close()
     return errors
 
 
+TRIPLE_SCHEMA = "graph string, s string, o string, o_kind string, o_type string, p string"
 #: Triples of one predicate that a task writes, about.
 LOAD_ROWS = 2_000_000
 

@@ -52,6 +52,20 @@ def time_dates(low: tuple[str, str] | None, high: tuple[str, str] | None) -> lis
     return [f"{a + timedelta(days=i):%Y%m%d}" for i in range((b - a).days + 1)]
 
 
+def write_by_day(df: DataFrame, time_col: str, path: str) -> None:
+    """Append rows under a folder for each day of ``time_col`` (``day=yyyyMMdd``), which ``read_days`` prunes by (M4).  Rows without a time are in
+    Spark's default folder."""
+    day = F.date_format(time_col, "yyyyMMdd")
+    df.withColumn("day", day).repartition("day", F.pmod(F.xxhash64(time_col), F.lit(8))).write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_days(spark, path: str, time_col: str, low: tuple[str, str] | None, high: tuple[str, str] | None) -> DataFrame:
+    """Rows within the bounds of ``where_time``; only the folders of ``time_dates`` are listed and read (M4)."""
+    stored = spark.read.option("basePath", path).option("recursiveFileLookup", "false").parquet(path)
+    inside = stored.where(F.col("day").cast("string").isin(time_dates(low, high)))
+    return where_time(inside, time_col, low, high)
+
+
 def time_span_seconds(low: tuple[str, str], high: tuple[str, str]) -> int:
     return abs(int((parse_time(high[1]) - parse_time(low[1])).total_seconds()))
 

@@ -211,7 +211,7 @@ def near_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series(v, dtype="int64" if k.endswith("n") else "str") for k, v in out.items()})
 
 
-def near_words(words: DataFrame, most: int = 50_000) -> DataFrame:
+def near_words(words: DataFrame, most: int = 10_000) -> DataFrame:
     """(word, n, near, near_n): every two distinct words one edit apart, in both directions.
 
     ``words``: distinct word, n and ``with_counts``' v, staged or cheap to read twice.  ``most``: members of a shard of the trie.
@@ -243,7 +243,7 @@ def with_roots(found: DataFrame) -> DataFrame:
     return found.join(links, "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
-def spelling_variants(docs: DataFrame, least_chars: int = 6, least_n: int = 5, times: int = 5, drop_every: int = 199, most: int = 50_000) -> DataFrame:
+def spelling_variants(docs: DataFrame, least_chars: int = 6, least_n: int = 5, times: int = 5, drop_every: int = 199, most: int = 10_000) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of ``docs`` (doc_id, text) with ``least_n`` occurrences or more.
 
     Equal rows count each; an empty table gives no row; columns other than the two have no part.

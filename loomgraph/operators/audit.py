@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomgraph.paths import on_circles, reach, roots_of
 from loomgraph.plans.pattern import TYPE, closure
 from loomgraph.runtime import stage
 
@@ -211,18 +212,58 @@ def same_as_batch(same_as: DataFrame) -> DataFrame:
     return same_as.join(used, "row", "left_anti")
 
 
+def _stuck(same_as: DataFrame) -> DataFrame:
+    """(row) of same-as rows that never become leaves: several rows' duplicates, circles, and what those lead to."""
+    after = same_as.select(F.col("row").alias("from"), F.col("target").alias("_n")).join(same_as.select(F.col("duplicate").alias("_n"), F.col("row").alias("to")), "_n").select("from", "to")
+    twice = same_as.where("duplicate is not null").groupBy("duplicate").agg(F.count_distinct("row").alias("n")).where("n > 1")
+    shared = stage(same_as.join(twice, "duplicate", "left_semi").select("row").distinct(), "stuck")
+    led = reach(after, shared.withColumnRenamed("row", "from"), "from", "to").select(F.col("to").alias("row"))
+    held = stage(shared.union(led).distinct(), "stuck")
+    free = after.join(held.withColumnRenamed("row", "from"), "from", "left_anti").join(held.withColumnRenamed("row", "to"), "to", "left_anti")
+    return held.union(on_circles(free, "from", "to").withColumnRenamed("from", "row")).distinct()
+
+
 def combine_entities(triples: DataFrame, same_as: DataFrame, rules: DataFrame, drop_from_target: list[str] = (), drop_from_duplicate: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Merge duplicates into their targets, leaves first; (triples, rows left over in loops).
+    """Merge duplicates into their targets, leaves first; (triples, rows left over).
 
     Outgoing triples move unless their predicate is listed, is the type, or the merged count would break a
-    cardinality rule; incoming ones are repointed.  Counts are of the round's start.
+    cardinality rule; incoming ones are repointed.  Counts are of the round's start.  Left over are rows in circles, rows that share a
+    duplicate, and rows that wait for those.
+
+    The order of merging matters only where a limit may be reached or targets lose a listed predicate: there rounds go level by level.
+    All other trees of duplicates, however deep, go to their roots at once, found by pointer doubling.
     """
-    left = same_as.select("row", "target", "duplicate")
+    rows = stage(same_as.select("row", "target", "duplicate"), "same-as")
+    stuck = stage(_stuck(rows), "stuck")
+    left = rows.join(stuck, "row", "left_semi")
+    good = stage(rows.where("target is not null and duplicate is not null").join(stuck, "row", "left_anti"), "same-as")
+    top = stage(roots_of(good.select("duplicate", "target").distinct(), "duplicate", "target").select(F.col("duplicate").alias("_d"), F.col("target").alias("_t")), "roots")
+    member = stage(top.union(top.select("_t", "_t")).distinct().select(F.col("_d").alias("s"), F.col("_t").alias("root")), "members")
+    # trees that must go level by level
+    least = rules.where("restriction != 'minCardinality'").groupBy(F.col("property").alias("p")).agg(F.min("limit").alias("limit"))
+    facts = triples.join(member, "s")
+    ruled = facts.join(least, "p")
+    full = ruled.groupBy("root", "p").agg(F.count_distinct("o").alias("n"), F.min("limit").alias("limit")).where("n > limit").select("root")
+    if drop_from_target:
+        full = full.union(facts.where(F.col("p").isin(*drop_from_target)).select("root"))
+    full = stage(full.distinct(), "full")
+    # what their ruled triples point to must be repointed in its own time too
+    seen = ruled.join(full, "root", "left_semi").select(F.col("o").alias("s")).join(member, "s").select("root")
+    slow = stage(full.union(seen).distinct(), "slow")
+    slow_rows = good.join(member.join(slow, "root", "left_semi"), good["duplicate"] == member["s"], "left_semi")
+    fast = stage(top.join(slow, F.col("_t") == F.col("root"), "left_anti"), "fast")
+    moved = triples.join(fast, F.col("s") == F.col("_d"), "left").where(F.col("_d").isNull() | ~F.col("p").isin(TYPE, *drop_from_duplicate)).withColumn("s", F.coalesce("_t", "s")).select(triples.columns)
+    both = moved.join(fast, F.col("o") == F.col("_d"), "left").withColumn("o", F.coalesce("_t", "o")).select(triples.columns).distinct()
+    return _combine_by_level(stage(both, "combined"), stage(slow_rows, "same-as"), rules, drop_from_target, drop_from_duplicate), left
+
+
+def _combine_by_level(triples: DataFrame, left: DataFrame, rules: DataFrame, drop_from_target: list[str], drop_from_duplicate: list[str]) -> DataFrame:
+    """A round for each level of the trees in ``left``, which hold no circle."""
     cols = triples.columns
     while True:  # each round uses rows up
         batch = stage(same_as_batch(left), "batch")
         if batch.isEmpty():
-            return triples, left
+            return triples
         pairs = batch.select(F.col("target").alias("_t"), F.col("duplicate").alias("_d"))
         tops = rules.where("restriction != 'minCardinality'").select(F.col("class").alias("cls"), F.col("property").alias("p"), "limit")
         moving = triples.join(pairs, F.col("s") == F.col("_d")).where(~F.col("p").isin(TYPE, *drop_from_duplicate))

@@ -77,6 +77,27 @@ def reach(edges: DataFrame, starts: DataFrame, a: str, b: str, shallow: int = 8,
             reached = stage(reached, name)
 
 
+def roots_of(links: DataFrame, a: str, b: str, name: str = "roots") -> DataFrame:
+    """(a, b) with b the end of a's chain, by pointer doubling.  Each a has one b, and no chain may close a circle."""
+    now = stage(links.select(F.col(a).alias("a"), F.col(b).alias("b")), name)
+    while True:
+        on = now.select(F.col("a").alias("b"), F.col("b").alias("_far"))
+        now = stage(now.join(on, "b", "left").select("a", F.coalesce("_far", "b").alias("b"), F.col("_far").isNotNull().alias("moved")), name)
+        if now.where("moved").isEmpty():
+            return now.select(F.col("a").alias(a), F.col("b").alias(b))
+        now = now.select("a", "b")
+
+
+def on_circles(links: DataFrame, a: str, b: str, name: str = "circles") -> DataFrame:
+    """(a) of all that lie on a circle, where each a has one b: what jumps of as many links as there are end at."""
+    now, far = stage(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")), name), 1
+    n = now.count()
+    while far <= n and not now.isEmpty():
+        on = now.select(F.col("a").alias("b"), F.col("b").alias("_far"))
+        now, far = stage(now.join(on, "b").select("a", F.col("_far").alias("b")), name), 2 * far
+    return now.select(F.col("b").alias(a)).distinct()
+
+
 def _split_at_pivots(edges: DataFrame, turn: int) -> DataFrame | None:
     """Edges (a, b, label) without those that no circle can hold, or None if a pivot reaches itself.
 

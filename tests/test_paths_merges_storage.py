@@ -297,3 +297,52 @@ def test_blocks_keep_every_key(spark, tmp_path):
     assert got[3].content == "x = 1" and content.normalize_blocks(io.read_blocks(spark, str(tmp_path))).where("seq = 3").first().text == "x = 1"
     assert got[4].captions == ["c1", "c2"] and got[4].footnotes == ["alone"] and got[4].metadata == {}
     assert got[7].captions == ["t"] and got[7].bbox == [1, 2, 3, 4.5] and got[7].metadata == {"metadata": "plain", "none": "null"}
+
+
+# A13
+
+
+def peeled(rows):
+    """Rows that are never a leaf, one round at a time."""
+    left = dict(rows)
+    while True:
+        leaves = [r for r, (t, d) in left.items() if not any(d in (t2, d2) for r2, (t2, d2) in left.items() if r2 != r)]
+        leaves = [r for r in leaves if left[r][0] != left[r][1]]
+        if not leaves:
+            return set(left)
+        for r in leaves:
+            del left[r]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_combining_at_once_is_combining_level_by_level(spark, seed):
+    r = random.Random(seed)
+    parents = {f"n{i}": f"n{r.randrange(i)}" for i in range(1, 30) if i % 7}
+    rows = {f"r{i}": (t, d) for i, (d, t) in enumerate(parents.items())}
+    if seed % 2:
+        rows |= {"x1": ("n1", "loop1"), "x2": ("loop1", "loop2"), "x3": ("loop2", "loop3"), "x4": ("loop3", "loop2"), "y1": ("n2", "n9"), "y2": ("tail", "n0")}
+        rows |= {"z1": ("selfish", "selfish")}
+    names = [f"n{i}" for i in range(30)] + ["loop1", "loop2", "tail", "else"]
+    triples = {("g", n, "rdf:type", r.choice("AB"), "uri", "class") for n in names} | {("g", r.choice(names), r.choice("pqr"), r.choice(names + ["1", "2"]), "uri", "t") for _ in range(90)}
+    df = spark.createDataFrame(sorted(triples), "graph string, s string, p string, o string, o_kind string, o_type string")
+    same = spark.createDataFrame([(k, t, d) for k, (t, d) in sorted(rows.items())], "row string, target string, duplicate string")
+    rules = spark.createDataFrame([("A", "p", "maxCardinality", 3), ("B", "p", "cardinality", 2), ("A", "q", "minCardinality", 1)], "class string, property string, restriction string, limit int")
+    lists = [((), ()), ((), ("r",)), (("q",), ()), (("q",), ("r",))][seed]
+    got, left = audit.combine_entities(df, same, rules, *lists)
+    stuck = peeled(rows)
+    assert {x.row for x in left.collect()} == stuck
+    good = spark.createDataFrame([(k, t, d) for k, (t, d) in sorted(rows.items()) if k not in stuck], same.schema)
+    want = audit._combine_by_level(df, good, rules, *lists)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_combining_a_long_chain(spark):
+    n = 1000
+    node = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    same = spark.range(n).select(F.col("id").alias("row"), node(F.col("id")).alias("target"), node(F.col("id") + 1).alias("duplicate"))
+    made = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in (("rdf:type", F.lit("A")), ("name", node(F.col("id") % 10)), ("one", F.lit("same")), ("knows", node(F.col("id") + 1)))])
+    triples = spark.range(n + 1).select(F.lit("g").alias("graph"), node(F.col("id")).alias("s"), F.inline(made), F.lit("uri").alias("o_kind"), F.lit("").alias("o_type"))
+    rules = spark.createDataFrame([("A", "one", "maxCardinality", 1)], "class string, property string, restriction string, limit int")
+    got, left = audit.combine_entities(triples, same, rules)
+    assert left.isEmpty()
+    assert {(r.s, r.p, r.o) for r in got.collect()} == {("n0", "rdf:type", "A"), ("n0", "one", "same"), ("n0", "knows", "n0"), ("n0", "knows", "n1001")} | {("n0", "name", "n0")} | {("n0", "name", "n0" if i <= n else f"n{i}") for i in range(10)}

@@ -378,3 +378,13 @@ def many_shapes(spark, sf_dir):
     got = audit.shape_check(star_triples(spark, sf_dir), audit.shapes_table(spark, shapes))
     bound = F.when(F.col("shape") == "in", "BUILDING").when(F.col("shape") == "closed", "total").otherwise(F.regexp_extract("message", r"(\S+)$", 1))
     return got.groupBy("focus", "shape", bound.alias("bound")).agg(F.count("*").cast("string").alias("n"))
+
+
+@query("""WITH m AS (SELECT 'c' || c_custkey AS e, 'n' || c_nationkey AS hub FROM customer), a AS (SELECT e AS x, hub FROM m UNION SELECT hub, hub FROM m),
+g AS (SELECT hub, min(x) AS least, count(*) AS entity_count, string_agg(x, '|' ORDER BY x) AS ids FROM a GROUP BY hub)
+SELECT least, 'comp_' || substr(sha1(ids), 1, 12) AS component_id, entity_count FROM g""")
+def customer_component_ids(spark, sf_dir):
+    """Ids of components by a running digest over their sorted members."""
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("source_entity"), F.concat(F.lit("n"), "c_nationkey").alias("target_entity"))
+    entities = c.select(F.explode(F.array("source_entity", "target_entity")).alias("entity_id")).distinct()
+    return graphmerge.component_ids(graphmerge.graph_components(entities, c))

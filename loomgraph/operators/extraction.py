@@ -20,6 +20,11 @@ MATERIALS = r"(?i)(铝合金|钛合金|不锈钢|钢|45钢|TC4|Al\d+|Ti[-\s]?\d+
 TOOLS = r"(?i)(钻头|铣刀|扳手|夹具|胎具|工装|torque\s*wrench|reamer)"
 INSPECTIONS = r"(检验|检测|复核|无损检测|目视检查|尺寸检查|验收)"
 STEPS = ["制孔", "扩孔", "锪窝", "铆接", "装配", "检测", "清洗", "涂胶", "热处理", "车削", "铣削", "磨削"]
+# Patterns of rules; the first pair is (material, process), the second (process, material).
+FORBIDDEN_PAIR = r"材料\s*[：: ]\s*([\w\d\-]+).*工艺\s*[：: ]\s*([\w\d\-]+)|工艺\s*[：: ]\s*([\w\d\-]+).*材料\s*[：: ]\s*([\w\d\-]+)"
+ORDERED = r"([^\s,\.;，]{2,})\s*(?:之前|先于|须在.*之前)\s*([^\s,\.;，]{2,})"
+THICKNESS = r"厚度.{0,8}([><≤≥])\s*(\d+(?:\.\d+)?)"
+TEMPERATURE = r"(?:温度|淬火|回火).{0,14}(?:≤|<)\s*(\d+(?:\.\d+)?)"
 SECTIONS = [r"^\s*(\d+)\s+(.+)$", r"^\s*(\d+\.\d+)\s+(.+)$", r"^\s*(\d+\.\d+\.\d+)\s+(.+)$", r"^\s*第([一二三四五六七八九十百零\d]+)[章节部分]\s*(.+)$"]
 
 
@@ -95,12 +100,9 @@ def extract_rules(blocks: DataFrame, snippet: int = 200) -> DataFrame:
     lines = blocks.select("doc_id", "seq", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line != ''")
     s = F.col("line")
     snip = F.when(F.length(s) > snippet, F.concat(F.substring(s, 1, snippet), F.lit("…"))).otherwise(s)
-    ab, ba = r"材料\s*[：: ]\s*([\w\d\-]+).*工艺\s*[：: ]\s*([\w\d\-]+)", r"工艺\s*[：: ]\s*([\w\d\-]+).*材料\s*[：: ]\s*([\w\d\-]+)"
     got = lambda p, i, c=s: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
-    mat, proc = F.coalesce(got(ab, 1), got(ba, 2)), F.coalesce(got(ab, 2), got(ba, 1))
-    order = r"([^\s,\.;，]{2,})\s*(?:之前|先于|须在.*之前)\s*([^\s,\.;，]{2,})"
-    thick, plain = r"厚度.{0,8}([><])\s*(\d+(?:\.\d+)?)", F.translate(s, "≤≥", "<>")
-    heat = r"(?:温度|淬火|回火).{0,14}(?:≤|<)\s*(\d+(?:\.\d+)?)"
+    mat, proc = F.coalesce(got(FORBIDDEN_PAIR, 1), got(FORBIDDEN_PAIR, 4)), F.coalesce(got(FORBIDDEN_PAIR, 2), got(FORBIDDEN_PAIR, 3))
+    order, thick, heat, plain = ORDERED, THICKNESS, TEMPERATURE, F.translate(s, "≤≥", "<>")
     none = F.lit(None)
 
     def rule(kind, test, a=none, b=none, op=none, value=none, confidence=none):
@@ -154,11 +156,15 @@ def validate_tables(tables: DataFrame) -> DataFrame:
 def filter_by_rules(candidates: DataFrame, rules: DataFrame, explain_all: bool = False) -> DataFrame:
     """(object_id, constraint_id, ok, reason) of every rule and candidate, and an __aggregate__ row per rejected one.
 
-    candidates: object_id, type, attributes MAP, text.  rules (a small table, which is broadcast):
-    constraint_id, type, kind (forbid_pair, text_must_not, threshold), a, b, key, op, value.
-    A missing or unparsable number fails.
+    candidates: object_id, type, attributes MAP, text.  rules: constraint_id, type, kind (forbid_pair, text_must_not, threshold), a, b, key, op, value.
+    A missing or unparsable number fails.  A rule without a type is for each type that occurs, so rules and candidates
+    meet on their type.
     """
-    pairs = candidates.join(F.broadcast(rules.withColumnRenamed("type", "rule_type")), F.col("rule_type").isNull() | (F.col("rule_type") == F.col("type")))
+    kinds = candidates.select("type").distinct()
+    typed = rules.where("type is not null").withColumn("_t", F.struct("type"))
+    every = rules.where("type is null").join(kinds.select(F.struct("type").alias("_t")))  # types by rules, no candidates
+    ruled = typed.unionByName(every).drop("type")
+    pairs = candidates.join(ruled, F.struct("type").eqNullSafe(F.col("_t")))
     has = lambda c: F.array_contains(F.map_values("attributes"), F.col(c))
     number, limit, op = F.try_element_at("attributes", F.col("key")).try_cast("double"), F.col("value"), F.col("op")
     met = F.when(op == "lt", number < limit).when(op == "lte", number <= limit).when(op == "gt", number > limit).when(op == "gte", number >= limit).otherwise(number == limit)
@@ -174,6 +180,10 @@ def validate_transitions(trajectories: DataFrame, forbidden: DataFrame, before:
     norm = lambda c: F.lower(F.trim(c))
     t = trajectories.select("id", F.transform("states", norm).alias("states"))
     moves = t.where(F.size("states") > 1).select("id", F.inline(F.arrays_zip(F.slice("states", 1, F.size("states") - 1).alias("f"), F.slice("states", 2, F.size("states")).alias("t"))).alias("f", "t"))
-    hit = moves.join(F.broadcast(forbidden.select(norm(F.col("from_state")).alias("f"), norm(F.col("to_state")).alias("t"))), ["f", "t"], "left_semi")
-    late = t.join(F.broadcast(before.select(norm(F.col("first")).alias("a"), norm(F.col("second")).alias("b")))).where((F.array_position("states", F.col("a")) > F.array_position("states", F.col("b"))) & F.array_contains("states", F.col("b")))
+    hit = moves.join(forbidden.select(norm(F.col("from_state")).alias("f"), norm(F.col("to_state")).alias("t")), ["f", "t"], "left_semi")
+    # where each state comes first in its trajectory; an order needs both of its states there
+    rows = t.withColumn("_row", F.monotonically_increasing_id())
+    at = lambda s, p: rows.select("id", "_row", F.posexplode("states").alias("p", s)).groupBy("id", "_row", s).agg(F.min("p").alias(p))
+    orders = before.select(norm(F.col("first")).alias("a"), norm(F.col("second")).alias("b"))
+    late = at("a", "pa").join(orders, "a").join(at("b", "pb").drop("id"), ["_row", "b"]).where("pa > pb")
     return hit.select("id", F.concat(F.lit("forbidden: "), "f", F.lit(" -> "), "t").alias("error")).distinct().unionAll(late.select("id", F.concat("a", F.lit(" must come before "), "b")))

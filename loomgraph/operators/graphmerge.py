@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from difflib import SequenceMatcher
 from functools import reduce
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -400,6 +402,34 @@ def component_summary(membership: DataFrame, relations: DataFrame) -> DataFrame:
     return out.select(short_sha1(F.array_join("entity_ids", "|"), 12, "comp_").alias("component_id"), "entity_ids", "relation_ids", F.size("entity_ids").alias("entity_count"), F.size("relation_ids").alias("relation_count"))
 
 
+def component_ids(membership: DataFrame) -> DataFrame:
+    """(least, component_id, entity_count) of each component, by a digest that runs over its sorted ids.
+
+    Ids are ``component_summary``'s.  Rows of a component come to a task in order and go through the digest one after the other, so
+    memory holds a batch, however large a component is.
+    """
+
+    def run(batches):
+        least, state, n = None, None, 0
+        for batch in batches:
+            done = []
+            for key, name in zip(batch.column("least").to_pylist(), batch.column("entity_id").to_pylist(), strict=True):
+                if state is None or key != least:
+                    if state is not None:
+                        done.append((least, f"comp_{state.hexdigest()[:12]}", n))
+                    least, state, n = key, hashlib.sha1(), 0
+                state.update(f"{'|' if n else ''}{name}".encode())
+                n += 1
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], shape)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (least, f"comp_{state.hexdigest()[:12]}", n), strict=True))], shape)
+
+    names = ["least", "component_id", "entity_count"]
+    shape = pa.schema([("least", pa.string()), ("component_id", pa.string()), ("entity_count", pa.int64())])
+    rows = membership.select(F.col("least").cast("string"), F.col("entity_id").cast("string")).where("least is not null and entity_id is not null").distinct()
+    return rows.repartition("least").sortWithinPartitions("least", "entity_id").mapInArrow(run, "least string, component_id string, entity_count long")
+
+
 def graph_summary(entities: DataFrame, relations: DataFrame, membership: DataFrame) -> DataFrame:
     """G15."""
     used = relations.select(F.explode(F.array("source_entity", "target_entity")).alias("entity_id")).distinct()
@@ -438,6 +468,8 @@ def attach_chunk_refs(nodes: DataFrame, chunks: DataFrame, cap: int = 200, docum
     """
     n = nodes.select("id", F.explode(F.array_distinct("keys")).alias("k"))
     k = chunks.select("chunk_id", "pos", F.explode(F.array_distinct("keys")).alias("k"))
+    # a chunk that ``cap`` others of its key come before can't be among a node's first ones
+    k = k.withColumn("_n", F.row_number().over(W.partitionBy("k").orderBy("pos", "chunk_id"))).where(F.col("_n") <= cap).drop("_n")
     pairs = n.join(k, "k").groupBy("id", "chunk_id").agg(F.min("pos").alias("pos"))
     first = lambda df, by, most: (
         df.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy("pos", "chunk_id"))).where(F.col("_n") <= most)

@@ -346,3 +346,17 @@ def test_combining_a_long_chain(spark):
     got, left = audit.combine_entities(triples, same, rules)
     assert left.isEmpty()
     assert {(r.s, r.p, r.o) for r in got.collect()} == {("n0", "rdf:type", "A"), ("n0", "one", "same"), ("n0", "knows", "n0"), ("n0", "knows", "n1001")} | {("n0", "name", "n0")} | {("n0", "name", "n0" if i <= n else f"n{i}") for i in range(10)}
+
+
+def test_component_ids_run_over_any_size(spark):
+    rows = [("a", f"e{i}") for i in range(500)] + [("b", "é"), ("b", "b"), ("c", "c"), ("c", "c"), (None, "x")]
+    members = spark.createDataFrame(rows, "least string, entity_id string")
+    none = spark.createDataFrame([], "source_entity string, relation_id string")
+    want = {(r.component_id, r.entity_count) for r in graphmerge.component_summary(members.where("least is not null"), none).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = graphmerge.component_ids(members).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.component_id, r.entity_count) for r in got} == want and len(got) == 3

@@ -33,10 +33,10 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_quality(docs, model, out=own).where(F.col(own) >= 0.3).select(docs.columns)
 
 
-def row_identity(docs: DataFrame) -> Column:
+def row_identity(docs: DataFrame) -> list[Column]:
     """Two 64-bit hashes of all columns, so that different rows don't pass for one; maps, alone or nested, by their JSON."""
     cols = [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
-    return F.struct(F.xxhash64(F.lit("a"), *cols).alias("a"), F.xxhash64(F.lit("b"), *reversed(cols)).alias("b"))
+    return [F.xxhash64(F.lit("a"), *cols), F.xxhash64(F.lit("b"), *reversed(cols))]
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +46,14 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     place; whole rows that are equal stay once.  Null and empty texts are alike, and one of them stays.  No rows give none.
     """
     own = struct_name(docs.columns, "fp")
-    hashed = docs.withColumn(f"{own}_row", row_identity(docs))
-    printed = stage(with_fingerprints(hashed.select("doc_id", "text", f"{own}_row"), out=own).drop("text"), "fingerprints")
+    rows = [f"{own}_row_a", f"{own}_row_b"]  # two columns: the semi-join and the last step then share one shuffle of the texts
+    hashed = docs.withColumns(dict(zip(rows, row_identity(docs), strict=True)))
+    printed = stage(with_fingerprints(hashed.select("doc_id", "text", *rows), out=own).drop("text"), "fingerprints")
     groups = near_duplicates(printed, fp_col=own)
     member = printed.join(groups.select(F.col("fp").alias(own), "component"), own)
-    first = member.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(f"{own}_row"))).alias("r"))
-    kept = first.select(F.col(f"r.{own}_row").alias(f"{own}_row")).distinct()
-    return hashed.join(kept, f"{own}_row", "left_semi").dropDuplicates([f"{own}_row"]).select(*[f"`{c}`" for c in docs.columns])
+    first = member.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *rows)).alias("r"))
+    kept = first.select(*[F.col(f"r.{c}").alias(c) for c in rows]).distinct()
+    return hashed.join(kept, rows, "left_semi").dropDuplicates(rows).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

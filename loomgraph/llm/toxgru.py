@@ -164,7 +164,7 @@ def text_logits(net: Network, texts: list[list[bytes]], most: int = 8192) -> np.
     return out
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = 1500, max_chars: int = 20_000, vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3, miss_cost: float = 2.0) -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int = 1500, max_chars: int = 20_000, vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3, miss_cost: float = 2.5) -> dict:
     """Fit on at most about ``per_class`` labelled texts of each class, of ``max_chars`` characters at most.
 
     A fifth of them is kept from the network and calibrates its scores.  Null and empty texts aren't sampled; of labels that
@@ -175,7 +175,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     return fit_network(rows, counts, vocabulary, rounds, least, decay, miss_cost)
 
 
-def fit_network(every: list[tuple[bytes, int]], counts: dict[int, int], vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3, miss_cost: float = 2.0) -> dict:
+def fit_network(every: list[tuple[bytes, int]], counts: dict[int, int], vocabulary: int = 20_000, rounds: int = 8, least: int = 6, decay: float = 2e-3, miss_cost: float = 2.5) -> dict:
     """``train_toxicity`` on (text, label) pairs and the labels' counts."""
     seen = {0: 0, 1: 0}
     rows, aside = [], []

@@ -144,7 +144,7 @@ def tempered_targets(cells: DataFrame, dim: str, power: float, budget: float = 1
     above its own share, so that all targets can be met.  Values without tokens have a target of 0.
     """
     sums = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").cast("double").alias("n"))
-    total = sums.agg(F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(power))).alias("t")).first()
+    total = sums.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 0, F.pow("n", F.lit(power)))).alias("t")).first()
     if not total.n:
         return sums.select("value", F.lit(0.0).alias("target"))
     own, wanted = F.col("n") / F.lit(total.n), F.when(F.col("n") > 0, F.pow("n", F.lit(power)) / F.lit(total.t)).otherwise(0.0)

@@ -223,7 +223,9 @@ def first_names(near: DataFrame, rounds: int = 2, most: int = 300_000) -> DataFr
     left = left.withColumns({"a": node("norm_name"), "b": node("earlier")})
     left = stage(left.join(label_components(left, "a", "b").select(F.col("node").alias("a"), "component"), "a").drop("a", "b"), "components")
     shares = [0.5**k for k in range(1, 31)]
+    turn = 0
     while not left.isEmpty():
+        turn += 1
         cuts = F.percentile_approx("pos", F.array(*[F.lit(x) for x in shares]), 10_000)
         wanted = F.filter(F.arrays_zip(F.array(*[F.lit(x) for x in shares]).alias("share"), F.col("cuts").alias("cut")), lambda x: x["share"] * F.col("n") <= most)
         sizes = left.groupBy("component").agg(F.count("*").alias("n"), cuts.alias("cuts")).withColumn("cut", F.when(F.col("n") > most, F.get(wanted, F.lit(0))["cut"]))
@@ -231,6 +233,8 @@ def first_names(near: DataFrame, rounds: int = 2, most: int = 300_000) -> DataFr
         told = stage(now.select("component", *near.columns).groupBy("component").applyInPandas(_greedy, shape), "solved")
         told, left = _settled(left, told)
         done = done.unionByName(told)
+        if turn % 16 == 0:  # else the plan grows with the rounds
+            done = stage(done, "firsts")
     return done
 
 

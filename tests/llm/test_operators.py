@@ -321,4 +321,4 @@ def test_quality_stage_learns_from_what_the_rules_reject(spark, tmp_path):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))

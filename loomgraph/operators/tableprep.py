@@ -192,6 +192,10 @@ def build_uri(c: Column, prefix: str = "uri://loomgraph#", members: list[str] |
         for m in members:
             out = F.when(F.lower(v) == m.rsplit("#", 1)[-1].lower(), F.lit(m)).when(v == m, F.lit(m)).otherwise(out)
         return out
+    return _uri_of(v, prefix)
+
+
+def _uri_of(v: Column, prefix: str) -> Column:
     return F.when(F.contains(v, F.lit("#")) | F.contains(v, F.lit("://")), v).otherwise(F.concat(F.lit(prefix), F.regexp_replace(v, r"[^\w\-.~]", "_")))
 
 
@@ -248,24 +252,25 @@ def rows_to_triples(rows: DataFrame, mappings: list[Mapping], graph: str = "defa
     ``distinct=False`` leaves repeats to a caller who drops those of several tables at once.
     """
     uris = {m.name: mapped_value(m.uri, True) for m in mappings}
-    given = rows.withColumns({f"_u_{n}": build_uri(v, prefix) for n, (v, _) in uris.items()})
-    made, problems = [], [e for _, e in uris.values()]
-    triple = lambda s, p, o, kind, t: F.when(s.isNotNull() & o.isNotNull(), F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(t).alias("o_type")))
-    for m in mappings:
-        s = F.col(f"_u_{m.name}")
-        made.append(triple(s, TYPE, F.lit(m.cls), "uri", "class"))
-        for p, (items, kind) in m.props.items():
-            v, _ = mapped_value(items)
-            value = coerce(v.cast("string"), kind)
-            made.append(triple(s, p, value, "literal", kind))
-            problems.append(F.when(v.isNotNull() & value.isNull(), F.concat(F.lit(f"{p}: no {kind}: "), v.cast("string"))))
-        for p, other in m.links.items():
-            made.append(triple(s, p, F.col(f"_u_{other}"), "uri", "uri"))
-    got = F.filter(F.array(*made), lambda t: t.isNotNull())
-    error = F.nullif(F.concat_ws(";", *problems, F.when(F.size(got) == 0, F.lit("the row has no data"))), F.lit(""))
-    marked = given.withColumn("_error", error)
-    triples = marked.where("_error is null").select(F.lit(graph).alias("graph"), F.inline(got))
-    return triples.distinct() if distinct else triples, marked.where("_error is not null").select(*rows.columns, F.col("_error").alias("error"))
+    # each value is a column before anything uses it twice, else every use would work it out anew
+    given = rows.withColumns({f"_v_{n}": blank_to_null(v) for n, (v, _) in uris.items()})
+    given = given.withColumns({f"_u_{n}": _uri_of(F.col(f"_v_{n}"), prefix) for n in uris})
+    props = [(m.name, p, items, kind) for m in mappings for p, (items, kind) in m.props.items()]
+    given = given.withColumns({f"_w_{i}": mapped_value(items)[0].cast("string") for i, (_, _, items, _) in enumerate(props)})
+    given = given.withColumns({f"_p_{i}": coerce(F.col(f"_w_{i}"), kind) for i, (_, _, _, kind) in enumerate(props)})
+    parts = [(F.col(f"_u_{m.name}"), TYPE, F.lit(m.cls), "uri", "class") for m in mappings]
+    parts += [(F.col(f"_u_{name}"), p, F.col(f"_p_{i}"), "literal", kind) for i, (name, p, _, kind) in enumerate(props)]
+    parts += [(F.col(f"_u_{m.name}"), p, F.col(f"_u_{other}"), "uri", "uri") for m in mappings for p, other in m.links.items()]
+    no_data = reduce(lambda x, y: x & y, [s.isNull() | o.isNull() for s, _, o, _, _ in parts])
+    odd = [F.when(F.col(f"_w_{i}").isNotNull() & F.col(f"_p_{i}").isNull(), F.concat(F.lit(f"{p}: no {kind}: "), F.col(f"_w_{i}"))) for i, (_, p, _, kind) in enumerate(props)]
+    problems = [*[e for _, e in uris.values()], *odd, F.when(no_data, F.lit("the row has no data"))]
+    marked = given.withColumn("_error", F.coalesce(*problems).isNotNull())
+    # tests come after the parts are rows of their own: a filter on rows would go down and work out all values again
+    s_if_fine = lambda s: F.when(~F.col("_error"), s).alias("s")
+    made = F.array(*[F.struct(F.lit(graph).alias("graph"), s_if_fine(s), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(t).alias("o_type")) for s, p, o, kind, t in parts])
+    triples = marked.select(F.inline(made)).where("s is not null and o is not null")
+    text = F.nullif(F.concat_ws(";", *problems), F.lit(""))
+    return triples.distinct() if distinct else triples, given.withColumn("error", text).where("error is not null").select(*rows.columns, "error")
 
 
 def loaded_ids(spark, path: str) -> list[str]:

@@ -47,10 +47,9 @@ def canonical_relation_type(c: Column) -> Column:
     Normalising drops underscores too, so a synonym is one only if its normalised form is in the list.
     """
     t = normalize_name(c)
-    out = F.when(t == "", F.lit("related_to")).otherwise(t)
-    for k, v in RELATION_SYNONYMS.items():
-        out = F.when(t == k, F.lit(v)).otherwise(out)
-    return out
+    # one look-up: a chain of tests would normalise the name anew for each
+    named = F.create_map(*[F.lit(x) for kv in {"": "related_to", **RELATION_SYNONYMS}.items() for x in kv])
+    return F.coalesce(F.try_element_at(named, t), t)
 
 
 def short_sha1(seed: Column, n: int, prefix: str = "") -> Column:

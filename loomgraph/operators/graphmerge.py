@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import pandas as pd
@@ -323,21 +323,36 @@ def merge_relations(relations: DataFrame, arrays: bool = True) -> DataFrame:
 
 
 def fuzzy_relation_types(relations: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Relation types of a pair that are alike take the first one's name (G11).  Distinct types only enter pandas."""
+    """Relation types of a pair that are alike take the first one's name.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, known, out = pdf.sort_values(["pos", "relation_type"]), [], []
-        for t in pdf["relation_type"]:
-            found = next((k for k in known if similar(t, k, threshold)), None)
-            if found is None:
-                known.append(t)
-            out.append(found or t)
-        return pdf.assign(group_type=out)[["source_entity", "target_entity", "relation_type", "group_type"]]
+    Only pairs of several spellings go through Python.  These come to a task in order, many pairs in a batch, so that memory holds a
+    batch and the groups of one pair.
+    """
+    ends = ["source_entity", "target_entity"]
 
-    r = relations.withColumn("relation_type", canonical_relation_type(F.col("relation_type")))
-    distinct = r.groupBy("source_entity", "target_entity", "relation_type").agg(F.min("pos").alias("pos"))
-    groups = distinct.groupBy("source_entity", "target_entity").applyInPandas(run, "source_entity string, target_entity string, relation_type string, group_type string")
-    return r.join(groups, ["source_entity", "target_entity", "relation_type"]).withColumn("relation_type", F.col("group_type")).drop("group_type")
+    def run(batches):
+        alike = lru_cache(100_000)(lambda new, known: similar(new, known, threshold))
+        at, known = None, []
+        for batch in batches:
+            rows = [batch.column(c).to_pylist() for c in (*ends, "kind")]
+            firsts = []
+            for s, t, kind in zip(*rows, strict=True):
+                if at != (s, t):
+                    at, known = (s, t), []
+                found = next((k for k in known if alike(kind, k)), None)
+                if found is None:
+                    known.append(kind)
+                firsts.append(kind if found is None else found)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*ends, "spelling")], pa.array(firsts, pa.string())], names)
+
+    names = ["_s", "_t", "_spelling", "group_type"]
+    spellings = relations.groupBy(*ends, F.col("relation_type").alias("spelling")).agg(F.min("pos").alias("pos")).withColumn("kind", canonical_relation_type(F.col("spelling")))
+    several = spellings.where("kind is not null").withColumn("_n", F.count("*").over(W.partitionBy(*ends))).where("_n > 1")
+    groups = several.sortWithinPartitions(*ends, "pos", "kind").select(*ends, "spelling", "kind").mapInArrow(run, ", ".join(f"{n} string" for n in names))
+    same = [relations[c].eqNullSafe(groups[n]) for c, n in zip((*ends, "relation_type"), names, strict=False)]
+    # no broadcast: a pair's rows may be as many as the relations
+    out = relations.join(groups.hint("merge"), same, "left")
+    return out.withColumn("relation_type", F.coalesce("group_type", canonical_relation_type(F.col("relation_type")))).select(*relations.columns)
 
 
 def build_graph(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

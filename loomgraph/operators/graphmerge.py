@@ -168,9 +168,10 @@ def alike_pairs(names: DataFrame, threshold: float) -> DataFrame:
     key = ["entity_type", "size", "no", "key"]
     second = lambda df: df.withColumnsRenamed({"norm_name": "earlier", "pos": "before"})
     rests = names.mapInPandas(keyed(name_rests), shape)
-    pairs = rests.join(second(rests), key)
+    # Spark takes rests for as few as names, and would broadcast them
+    pairs = rests.join(second(rests).hint("merge"), key)
     if any(_by_segment(n, lengths, threshold) for n in lengths):
-        pairs = pairs.unionByName(names.mapInPandas(keyed(name_probes), shape).join(second(names.mapInPandas(keyed(name_segments), shape)), key))
+        pairs = pairs.unionByName(names.mapInPandas(keyed(name_probes), shape).join(second(names.mapInPandas(keyed(name_segments), shape)).hint("merge"), key))
     pairs = pairs.where("before < pos or (before = pos and earlier < norm_name)").select("entity_type", "norm_name", "pos", "earlier", "before").distinct()
 
     def alike(parts):

@@ -157,21 +157,26 @@ def alike_pairs(names: DataFrame, threshold: float) -> DataFrame:
     lengths = sorted(r[0] for r in names.select(F.length("norm_name")).distinct().collect())  # lengths, not names
 
     def keyed(make):
-        def run(parts):
-            for pdf in parts:
-                rows = [(*r, *k) for r in pdf.itertuples(index=False) for k in make(r.norm_name, lengths, threshold)]
-                yield pd.DataFrame(rows, columns=["entity_type", "norm_name", "pos", "size", "no", "key"])
-
-        return run
-
-    shape = f"entity_type string, norm_name string, pos {dict(names.dtypes)['pos']}, size int, no int, key string"
-    key = ["entity_type", "size", "no", "key"]
-    second = lambda df: df.withColumnsRenamed({"norm_name": "earlier", "pos": "before"})
-    rests = names.mapInPandas(keyed(name_rests), shape)
-    # Spark takes rests for as few as names, and would broadcast them
-    pairs = rests.join(second(rests).hint("merge"), key)
+        def run(batches):
+            for batch in batches:
+                keys = [make(n, lengths, threshold) for n in batch.column("norm_name").to_pylist()]
+                for a in range(0, len(keys), 256):  # a name may have hundreds
+                    rows = pa.array([i for i, k in enumerate(keys[a : a + 256], a) for _ in k], pa.int32())
+                    texts = pa.array([f"{size}:{no}:{text}" for k in keys[a : a + 256] for size, no, text in k], pa.string())
+                    yield pa.RecordBatch.from_arrays([*batch.take(rows).columns, texts], [*batch.schema.names, "key"])
+
+        # by a hash of the key, as what shares one by chance isn't alike; names are few for a file and keys many, so names are dealt first
+        parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        made = names.repartition(parts, "norm_name").select("entity_type", "norm_name", "pos").mapInArrow(run, f"entity_type string, norm_name string, pos {dict(names.dtypes)['pos']}, key string")
+        return made.withColumn("key", F.xxhash64("entity_type", "key"))
+
+    # Spark takes keys for as few as names, and would broadcast them
+    second = lambda df: df.withColumnsRenamed({"norm_name": "earlier", "pos": "before", "entity_type": "_type"}).hint("merge")
+    rests = keyed(name_rests)
+    pairs = rests.join(second(rests), "key")
     if any(_by_segment(n, lengths, threshold) for n in lengths):
-        pairs = pairs.unionByName(names.mapInPandas(keyed(name_probes), shape).join(second(names.mapInPandas(keyed(name_segments), shape)).hint("merge"), key))
+        pairs = pairs.unionByName(keyed(name_probes).join(second(keyed(name_segments)), "key"))
+    pairs = pairs.where("entity_type = _type")
     pairs = pairs.where("before < pos or (before = pos and earlier < norm_name)").select("entity_type", "norm_name", "pos", "earlier", "before").distinct()
 
     def alike(parts):
@@ -195,15 +200,16 @@ def _settled(left: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all that ``told`` (entity_type, norm_name, first) decides, it included; the links that stay undecided).
 
     Who comes after a first is none; a link to a name that isn't first says nothing; a name without links left is first.
+    Files of names are far smaller than their rows, so joins are by merge: Spark would send tens of MB to the driver each round.
     """
     key = ["entity_type", "norm_name"]
     other = lambda df: df.select("entity_type", F.col("norm_name").alias("earlier"))
-    on = left.join(told.select(*key), key, "left_anti")
-    beaten = stage(on.join(other(told.where("first")), ["entity_type", "earlier"], "left_semi").select(*key).distinct().withColumn("first", F.lit(False)), "beaten")
+    on = left.join(told.select(*key).hint("merge"), key, "left_anti")
+    beaten = stage(on.join(other(told.where("first")).hint("merge"), ["entity_type", "earlier"], "left_semi").select(*key).distinct().withColumn("first", F.lit(False)), "beaten")
     told = told.unionByName(beaten)
-    rest = stage(on.join(beaten, key, "left_anti").join(other(told.where("not first")), ["entity_type", "earlier"], "left_anti"), "left")
+    rest = stage(on.join(beaten.hint("merge"), key, "left_anti").join(other(told.where("not first")).hint("merge"), ["entity_type", "earlier"], "left_anti"), "left")
     ends = lambda df: df.select(*key).unionAll(df.select("entity_type", "earlier"))
-    free = ends(left).distinct().join(told.select(*key), key, "left_anti").join(ends(rest), key, "left_anti")
+    free = ends(left).distinct().join(told.select(*key).hint("merge"), key, "left_anti").join(ends(rest).hint("merge"), key, "left_anti")
     return stage(told.unionByName(free.withColumn("first", F.lit(True))), "told"), rest
 
 
@@ -217,12 +223,12 @@ def first_names(near: DataFrame, rounds: int = 2, most: int = 300_000) -> DataFr
     key, shape = ["entity_type", "norm_name"], "entity_type string, norm_name string, first boolean"
     done, left = near.sparkSession.createDataFrame([], shape), near
     for _ in range(rounds):
-        heads = left.select("entity_type", F.col("earlier").alias("norm_name")).distinct().join(left.select(*key), key, "left_anti")
+        heads = left.select("entity_type", F.col("earlier").alias("norm_name")).distinct().join(left.select(*key).hint("merge"), key, "left_anti")
         told, left = _settled(left, stage(heads.withColumn("first", F.lit(True)), "heads"))
         done = done.unionByName(told)
     node = lambda c: F.to_json(F.struct("entity_type", F.col(c).alias("n")))
     left = left.withColumns({"a": node("norm_name"), "b": node("earlier")})
-    left = stage(left.join(label_components(left, "a", "b").select(F.col("node").alias("a"), "component"), "a").drop("a", "b"), "components")
+    left = stage(left.join(label_components(left, "a", "b").select(F.col("node").alias("a"), "component").hint("merge"), "a").drop("a", "b"), "components")
     shares = [0.5**k for k in range(1, 31)]
     turn = 0
     while not left.isEmpty():
@@ -250,10 +256,10 @@ def fuzzy_groups(names: DataFrame, threshold: float = 0.9, most: int = 300_000)
     near = stage(alike_pairs(given, threshold), "alike")
     told = stage(first_names(near, most=most), "firsts")
     firsts = told.where("first").select("entity_type", F.col("norm_name").alias("earlier"))
-    best = near.join(told.where("not first").drop("first"), ["entity_type", "norm_name"], "left_semi").join(firsts, ["entity_type", "earlier"])
+    best = near.join(told.where("not first").drop("first").hint("merge"), ["entity_type", "norm_name"], "left_semi").join(firsts.hint("merge"), ["entity_type", "earlier"])
     best = best.groupBy(F.col("entity_type").alias("_t"), F.col("norm_name").alias("_n")).agg(F.min(F.struct("before", "earlier")).alias("_b"))
     kinds = names.select("entity_type", "norm_name").where("norm_name is not null")
-    out = kinds.join(best, (F.coalesce("entity_type", F.lit("")) == F.col("_t")) & (F.col("norm_name") == F.col("_n")), "left")
+    out = kinds.join(best.hint("merge"), (F.coalesce("entity_type", F.lit("")) == F.col("_t")) & (F.col("norm_name") == F.col("_n")), "left")
     return out.select("entity_type", "norm_name", F.coalesce("_b.earlier", "norm_name").alias("group_name"))
 
 

@@ -478,13 +478,19 @@ def build_process_graph(sections: DataFrame, steps: DataFrame, parts: dict[str,
     kinds = {"Constraint": "CONSTRAINT_OF"}
     named += [(k, df, ident(k, c("doc_id"), c("seq"), c(n)), c(n), kinds.get(k, "REFERENCES")) for k, (df, n) in parts.items()]
     nodes = edges = None
+    # edges are made distinct by their document and what names the other end in it, which is narrower than their texts; labels and types keep sources apart
+    tail = lambda *cols: F.concat_ws(":", *[x.cast("string") for x in cols])
+    within = lambda label: F.when(F.col("_tail").isNull(), ident(label, c("doc_id"))).otherwise(ident(label, c("doc_id"), c("_tail")))
+    tails = {"Section": c("section_id").cast("string"), "ProcessStep": c("step_id").cast("string")} | {k: F.when(c("seq").isNotNull() | c(n).isNotNull(), tail(c("seq"), c(n))) for k, (_, n) in parts.items()}
     for label, df, node, name, kind in named:
         n = df.select(node.alias("id"), F.lit(label).alias("label"), name.cast("string").alias("name")).unionAll(df.select(doc, F.lit("Document"), c("doc_id").cast("string")))
-        e = df.select(doc.alias("src"), node.alias("dst"), F.lit(kind).alias("type"))
+        e = df.select("doc_id", tails[label].alias("_tail")).distinct().select(doc.alias("src"), within(label).alias("dst"), F.lit(kind).alias("type"))
         nodes, edges = (n, e) if nodes is None else (nodes.unionAll(n), edges.unionAll(e))
-    step = lambda col: ident("ProcessStep", c("doc_id"), c(col))
-    edges = edges.unionAll(steps.where("before != ''").select(step("before"), step("step_id"), F.lit("BEFORE"))).unionAll(steps.where("next_step != ''").select(step("step_id"), step("next_step"), F.lit("NEXT_STEP")))
-    return nodes.distinct(), edges.distinct()
+    step = lambda col: F.when(c("doc_id").isNotNull() | c(col).isNotNull(), tail(c("doc_id"), c(col)))
+    for a, b, kind in (("before", "step_id", "BEFORE"), ("step_id", "next_step", "NEXT_STEP")):
+        pairs = steps.where(c(a if kind == "BEFORE" else b) != "").select(step(a).alias("_a"), step(b).alias("_b")).distinct()
+        edges = edges.unionAll(pairs.select(ident("ProcessStep", c("_a")).alias("src"), ident("ProcessStep", c("_b")).alias("dst"), F.lit(kind).alias("type")))
+    return nodes.distinct(), edges
 
 
 def attach_chunk_refs(nodes: DataFrame, chunks: DataFrame, cap: int = 200, document_cap: int = 120) -> DataFrame:

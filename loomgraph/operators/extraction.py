@@ -180,10 +180,9 @@ def validate_transitions(trajectories: DataFrame, forbidden: DataFrame, before:
     norm = lambda c: F.lower(F.trim(c))
     t = trajectories.select("id", F.transform("states", norm).alias("states"))
     moves = t.where(F.size("states") > 1).select("id", F.inline(F.arrays_zip(F.slice("states", 1, F.size("states") - 1).alias("f"), F.slice("states", 2, F.size("states")).alias("t"))).alias("f", "t"))
-    hit = moves.join(forbidden.select(norm(F.col("from_state")).alias("f"), norm(F.col("to_state")).alias("t")), ["f", "t"], "left_semi")
-    # where each state comes first in its trajectory; an order needs both of its states there
-    rows = t.withColumn("_row", F.monotonically_increasing_id())
-    at = lambda s, p: rows.select("id", "_row", F.posexplode("states").alias("p", s)).groupBy("id", "_row", s).agg(F.min("p").alias(p))
+    hit = moves.join(F.broadcast(forbidden.select(norm(F.col("from_state")).alias("f"), norm(F.col("to_state")).alias("t"))), ["f", "t"], "left_semi")  # states are hot keys, rules few
+    # where a state comes first is asked of the trajectory itself, so that its states aren't grouped again; an order needs both of its states there
     orders = before.select(norm(F.col("first")).alias("a"), norm(F.col("second")).alias("b"))
-    late = at("a", "pa").join(orders, "a").join(at("b", "pb").drop("id"), ["_row", "b"]).where("pa > pb")
+    at = lambda s: F.array_position("states", F.col(s))
+    late = t.select("id", "states", F.explode(F.array_distinct("states")).alias("a")).join(F.broadcast(orders), "a").where((at("b") > 0) & (at("a") > at("b")))
     return hit.select("id", F.concat(F.lit("forbidden: "), "f", F.lit(" -> "), "t").alias("error")).distinct().unionAll(late.select("id", F.concat("a", F.lit(" must come before "), "b")))

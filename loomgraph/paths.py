@@ -28,10 +28,13 @@ def transitive(pairs: DataFrame, a: str, b: str, name: str = "closure") -> DataF
 
 
 def _pairs_through(edges: DataFrame) -> int:
-    """Rows of ``edges`` joined with itself, end to start, without the join."""
+    """Rows of ``edges`` joined with itself, end to start, without the join.
+
+    Here and in what doubles walks, joins are by merge: tables that shrink by turns would each be sent to the driver to be broadcast.
+    """
     out = edges.groupBy(F.col("a").alias("m")).agg(F.count("*").alias("o"))
     into = edges.groupBy(F.col("b").alias("m")).agg(F.count("*").alias("i"))
-    return out.join(into, "m").agg(F.sum(F.col("o") * F.col("i")).alias("n")).first().n or 0
+    return out.join(into.hint("merge"), "m").agg(F.sum(F.col("o") * F.col("i")).alias("n")).first().n or 0
 
 
 def jumps_doubled(jumps: DataFrame, most: int, name: str) -> DataFrame | None:
@@ -39,7 +42,7 @@ def jumps_doubled(jumps: DataFrame, most: int, name: str) -> DataFrame | None:
     if _pairs_through(jumps) > most:
         return None
     hop = jumps.select(F.col("a").alias("m"), F.col("b").alias("f"))
-    return stage(jumps.join(hop, F.col("b") == F.col("m")).select("a", F.col("f").alias("b")).distinct(), name)
+    return stage(jumps.join(hop.hint("merge"), F.col("b") == F.col("m")).select("a", F.col("f").alias("b")).distinct(), name)
 
 
 def reach(edges: DataFrame, starts: DataFrame, a: str, b: str, shallow: int = 8, name: str = "reach") -> DataFrame:
@@ -140,8 +143,8 @@ def has_cycle(edges: DataFrame, src: str = "src", dst: str = "dst", spread: int
             walks, length = longer, 2 * length
             if m.loops or not m.n or length > n.n:
                 return bool(m.n)
-        on = stage(walks.select("a").distinct().join(walks.select(F.col("b").alias("a")).distinct(), "a", "left_semi"), "cycle")
-        kept = stage(now.join(on, "a", "left_semi").join(on.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b", "label"), "cycle")
+        on = stage(walks.select("a").distinct().join(walks.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi"), "cycle")
+        kept = stage(now.join(on.hint("merge"), "a", "left_semi").join(on.withColumnRenamed("a", "b").hint("merge"), "b", "left_semi").select("a", "b", "label"), "cycle")
         if 2 * kept.count() > n.n:
             kept, turn = _split_at_pivots(kept, turn), turn + 1
             if kept is None:

@@ -154,7 +154,11 @@ def shape_check(triples: DataFrame, shapes: list[dict] | DataFrame, severity: li
     fails = reduce(lambda e, k: e.when(F.col("kind") == k, tests[k]), VALUE_KINDS, F.when(false, false))
     out = lambda df, value: df.select("focus", "path", value.cast("string").alias("value"), F.col("kind").alias("shape"), "severity", "message")
     used = {r[0] for r in given.select("kind").distinct().collect()}  # of seventeen kinds
-    found = [out(of(*VALUE_KINDS).join(facts, ["focus", "path"]).where(fails), F.col("o"))]
+    # values meet their instances' classes once and then all checks at a time: instances aren't listed for each check
+    checks = given.where(F.col("kind").isin(*VALUE_KINDS))
+    classed = t.select(F.col("s").alias("focus"), F.col("cls").alias("target")).join(F.broadcast(checks.select("target").distinct()), "target", "left_semi")
+    asked = facts.join(F.broadcast(checks.select("path").distinct()), "path", "left_semi").join(classed, "focus")
+    found = [out(asked.join(F.broadcast(checks), ["target", "path"]).where(fails), F.col("o"))]
     lean = [c for c in base if c != "items"]
     if used & {"minCount", "maxCount"}:
         counts = of("minCount", "maxCount").join(facts, ["focus", "path"], "left").groupBy(*lean).agg(F.count_distinct("o").alias("n"))

@@ -300,7 +300,7 @@ def deletes_by_mode(spark, sf_dir):
 @query("""SELECT 'urn:x#customer/' || c_custkey AS s, 'Customer' AS cls FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT 'urn:x#region/' || n_regionkey, 'Region' FROM nation""")
 def customers_and_regions(spark, sf_dir):
     """Q17, Q20."""
-    return Graph(star_triples(spark, sf_dir), graphs=["default"]).subjects_of_classes(["Customer", "Region"])
+    return Graph(star_triples(spark, sf_dir, []), graphs=["default"]).subjects_of_classes(["Customer", "Region"])
 
 
 @query("""SELECT p FROM (SELECT 'rdf:type' AS p, (SELECT count(*) FROM nation WHERE n_nationkey IN (1, 2)) AS n UNION ALL SELECT 'nationName', (SELECT count(*) FROM nation WHERE n_nationkey IN (1, 2)) UNION ALL SELECT 'inRegion', (SELECT count(*) FROM nation WHERE n_nationkey IN (1, 2))) WHERE n = 2""")

@@ -251,6 +251,29 @@ def rows_to_triples(rows: DataFrame, mappings: list[Mapping], graph: str = "defa
 
     ``distinct=False`` leaves repeats to a caller who drops those of several tables at once.
     """
+    coded, kinds, errors = _coded_triples(rows, mappings, graph, prefix)
+    return _decoded(coded.distinct() if distinct else coded, kinds), errors
+
+
+def tables_to_triples(tables: list[tuple[DataFrame, list[Mapping]]], only: list[str] | None = None, graph: str = "default", prefix: str = "uri://loomgraph#") -> DataFrame:
+    """Distinct triples of the mapped rows of several tables.
+
+    ``only``: the predicates to make beside types, if no others are to be read; rows with errors are left out by all of theirs.
+    """
+    coded, kinds = None, []
+    for rows, mappings in tables:
+        one, kinds, _ = _coded_triples(rows, mappings, graph, prefix, kinds, only)
+        coded = one if coded is None else coded.unionByName(one)
+    return _decoded(coded.distinct(), kinds)
+
+
+def _decoded(coded: DataFrame, kinds: list[tuple[str, str, str, str]]) -> DataFrame:
+    names = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(k, ("graph", "p", "o_kind", "o_type"), strict=True)]) for k in kinds])
+    return coded.withColumn("_k", F.get(names, F.col("code"))).select("_k.graph", "s", "_k.p", "o", "_k.o_kind", "_k.o_type")
+
+
+def _coded_triples(rows: DataFrame, mappings: list[Mapping], graph: str, prefix: str, kinds=(), only: list[str] | None = None) -> tuple[DataFrame, list, DataFrame]:
+    """((code, s, o), kinds, errors): a code is the place in ``kinds`` of what a part's triples have in common, which so isn't shuffled."""
     uris = {m.name: mapped_value(m.uri, True) for m in mappings}
     # each value is a column before anything uses it twice, else every use would work it out anew
     given = rows.withColumns({f"_v_{n}": blank_to_null(v) for n, (v, _) in uris.items()})
@@ -267,10 +290,12 @@ def rows_to_triples(rows: DataFrame, mappings: list[Mapping], graph: str = "defa
     marked = given.withColumn("_error", F.coalesce(*problems).isNotNull())
     # tests come after the parts are rows of their own: a filter on rows would go down and work out all values again
     s_if_fine = lambda s: F.when(~F.col("_error"), s).alias("s")
-    made = F.array(*[F.struct(F.lit(graph).alias("graph"), s_if_fine(s), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(t).alias("o_type")) for s, p, o, kind, t in parts])
+    wanted = [x for x in parts if only is None or x[1] in (TYPE, *only)]
+    kinds = list(dict.fromkeys([*kinds, *[(graph, p, kind, t) for _, p, _, kind, t in wanted]]))
+    made = F.array(*[F.struct(F.lit(kinds.index((graph, p, kind, t))).alias("code"), s_if_fine(s), o.cast("string").alias("o")) for s, p, o, kind, t in wanted])
     triples = marked.select(F.inline(made)).where("s is not null and o is not null")
     text = F.nullif(F.concat_ws(";", *problems), F.lit(""))
-    return triples.distinct() if distinct else triples, given.withColumn("error", text).where("error is not null").select(*rows.columns, "error")
+    return triples, kinds, given.withColumn("error", text).where("error is not null").select(*rows.columns, "error")
 
 
 def loaded_ids(spark, path: str) -> list[str]:

@@ -17,10 +17,11 @@ from pyspark.sql import Window as W
 from loomgraph.components import connected_components as label_components
 from loomgraph.functions.text import blank_to_null, canonical_relation_type, normalize_name, short_sha1
 from loomgraph.paths import has_cycle  # noqa: F401  (G18, one of this module's operators)
-from loomgraph.runtime import stage
+from loomgraph.runtime import new_path, stage
 
 
 MOST_RESTS = 400  #: of one name for one length: above, names are matched by segments
+MOST_LINKS = 4_000_000  #: between names alike that a turn decides, about
 
 
 def _first(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -91,10 +92,22 @@ def alias_groups(entities: DataFrame) -> DataFrame:
     return entities.select("entity_id").join(comp, F.col("entity_id") == F.col("node"), "left").select("entity_id", F.coalesce("component", "entity_id").alias("group_id"))
 
 
+@lru_cache(300_000)
+def _matches(new: str, known: str) -> int:
+    return sum(x.size for x in SequenceMatcher(None, new, known).get_matching_blocks())
+
+
 def similar(new: str, known: str, threshold: float) -> bool:
     """Matching-blocks ratio, after bounds that cost little."""
-    m = SequenceMatcher(None, new, known)
-    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+    n, m = len(new), len(known)
+    if 0 < n and 0 < m < 200:  # from 200 on the matcher leaves out frequent characters
+        p = next((i for i, (x, y) in enumerate(zip(new, known)) if x != y), min(n, m))
+        # all stretches of p + 1 of the new name hold the same middle: without it no block is longer than the common start, the
+        # first block then, and what follows, much the same for many names, is matched by itself
+        if 2 * p + 2 > n and p < min(n, m) and new[n - p - 1 : p + 1] not in known:
+            return 2 * min(n, m) / (n + m) >= threshold and 2.0 * (p + _matches(new[p:], known[p:])) / (n + m) >= threshold
+    found = SequenceMatcher(None, new, known)
+    return found.real_quick_ratio() >= threshold and found.quick_ratio() >= threshold and found.ratio() >= threshold
 
 
 def _errors(a: int, b: int, threshold: float) -> int:
@@ -186,81 +199,60 @@ def alike_pairs(names: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(alike, pairs.schema)
 
 
-def _greedy(links: pd.DataFrame) -> pd.DataFrame:
-    """(entity_type, norm_name, first) of one component's names, in order."""
-    names = {(r.before, r.earlier) for r in links.itertuples()} | {(r.pos, r.norm_name) for r in links.itertuples()}
-    earlier, firsts = links.groupby("norm_name")["earlier"].agg(set).to_dict(), set()
-    for _, name in sorted(names):
-        if firsts.isdisjoint(earlier.get(name, ())):
-            firsts.add(name)
-    return pd.DataFrame([(links["entity_type"].iat[0], n, n in firsts) for _, n in names], columns=["entity_type", "norm_name", "first"])
-
+def first_names(near: DataFrame, most: int) -> DataFrame:
+    """(no) of the names in ``near`` (no, before: numbers of two names alike, the earlier second) that no earlier first is alike.
 
-def _settled(left: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all that ``told`` (entity_type, norm_name, first) decides, it included; the links that stay undecided).
-
-    Who comes after a first is none; a link to a name that isn't first says nothing; a name without links left is first.
-    Files of names are far smaller than their rows, so joins are by merge: Spark would send tens of MB to the driver each round.
-    """
-    key = ["entity_type", "norm_name"]
-    other = lambda df: df.select("entity_type", F.col("norm_name").alias("earlier"))
-    on = left.join(told.select(*key).hint("merge"), key, "left_anti")
-    beaten = stage(on.join(other(told.where("first")).hint("merge"), ["entity_type", "earlier"], "left_semi").select(*key).distinct().withColumn("first", F.lit(False)), "beaten")
-    told = told.unionByName(beaten)
-    rest = stage(on.join(beaten.hint("merge"), key, "left_anti").join(other(told.where("not first")).hint("merge"), ["entity_type", "earlier"], "left_anti"), "left")
-    ends = lambda df: df.select(*key).unionAll(df.select("entity_type", "earlier"))
-    free = ends(left).distinct().join(told.select(*key).hint("merge"), key, "left_anti").join(ends(rest).hint("merge"), key, "left_anti")
-    return stage(told.unionByName(free.withColumn("first", F.lit(True))), "told"), rest
-
-
-def first_names(near: DataFrame, rounds: int = 2, most: int = 300_000) -> DataFrame:
-    """(entity_type, norm_name, first) of every name in ``near`` (``alike_pairs``): a name is first unless an earlier first is alike.
-
-    Some rounds decide the names that have no undecided earlier one, and all that come after them.  Components that are left are
-    decided whole, a task each, if they have ``most`` links or fewer.  Of a larger one each round decides the names up to a
-    place that about ``most`` links lie before; nothing after that place bears on them.
+    Blocks of names in order, of about ``most`` links each, are decided one after another; each link is read in its later name's turn only.
+    Firsts of former blocks put off what they are alike; one task streams through the rest of the block and holds its firsts alone.
     """
-    key, shape = ["entity_type", "norm_name"], "entity_type string, norm_name string, first boolean"
-    done, left = near.sparkSession.createDataFrame([], shape), near
-    for _ in range(rounds):
-        heads = left.select("entity_type", F.col("earlier").alias("norm_name")).distinct().join(left.select(*key).hint("merge"), key, "left_anti")
-        told, left = _settled(left, stage(heads.withColumn("first", F.lit(True)), "heads"))
-        done = done.unionByName(told)
-    node = lambda c: F.to_json(F.struct("entity_type", F.col(c).alias("n")))
-    left = left.withColumns({"a": node("norm_name"), "b": node("earlier")})
-    left = stage(left.join(label_components(left, "a", "b").select(F.col("node").alias("a"), "component").hint("merge"), "a").drop("a", "b"), "components")
-    shares = [0.5**k for k in range(1, 31)]
-    turn = 0
-    while not left.isEmpty():
-        turn += 1
-        cuts = F.percentile_approx("pos", F.array(*[F.lit(x) for x in shares]), 10_000)
-        wanted = F.filter(F.arrays_zip(F.array(*[F.lit(x) for x in shares]).alias("share"), F.col("cuts").alias("cut")), lambda x: x["share"] * F.col("n") <= most)
-        sizes = left.groupBy("component").agg(F.count("*").alias("n"), cuts.alias("cuts")).withColumn("cut", F.when(F.col("n") > most, F.get(wanted, F.lit(0))["cut"]))
-        now = left.join(sizes.select("component", "cut"), "component").where("cut is null or pos <= cut")
-        told = stage(now.select("component", *near.columns).groupBy("component").applyInPandas(_greedy, shape), "solved")
-        told, left = _settled(left, told)
-        done = done.unionByName(told)
-        if turn % 16 == 0:  # else the plan grows with the rounds
-            done = stage(done, "firsts")
-    return done
-
-
-def fuzzy_groups(names: DataFrame, threshold: float = 0.9, most: int = 300_000) -> DataFrame:
+    spark, folder = near.sparkSession, new_path(near.sparkSession, "firsts")
+    # who has no earlier name alike is first; joins are by merge, else firsts would go to the driver each turn
+    heads = near.select(F.col("before").alias("no")).distinct().join(near.select("no").hint("merge"), "no", "left_anti")
+    heads.write.parquet(f"{folder}/turn=-1")
+    sizes = near.groupBy(F.shiftright("no", 8).alias("bin")).agg(F.count("*").alias("n"))
+    blocks = stage(sizes.select("bin", F.floor((F.sum("n").over(W.orderBy("bin")) - 1) / most).alias("block")), "blocks")  # a row for 256 names
+    starts = [r.low << 8 for r in blocks.groupBy("block").agg(F.min("bin").alias("low")).orderBy("low").collect()]
+    numbered = blocks.groupBy("block").agg(F.min("bin").alias("low")).select("block", (F.row_number().over(W.orderBy("low")) - 1).alias("turn"))  # a row a block
+    turns = blocks.join(numbered, "block").select("bin", "turn")
+    dealt = near.withColumn("bin", F.shiftright("no", 8)).join(turns.hint("merge"), "bin").select("no", "before", "turn")
+    dealt = stage(dealt.repartition("turn", F.pmod("no", F.lit(8))), "links", ["turn"])
+
+    def pick(batches):
+        chosen = set()
+        for pdf in batches:
+            new = []
+            for no, alike in zip(pdf["no"].tolist(), pdf["alike"], strict=True):
+                if chosen.isdisjoint(alike.tolist()):
+                    chosen.add(no)
+                    new.append(no)
+            yield pd.DataFrame({"no": new}, dtype="int64")
+
+    known = lambda: spark.read.schema("no long").parquet(folder).select("no")
+    for turn, low in enumerate(starts):
+        now = dealt.where(F.col("turn") == turn).select("no", "before")
+        told = now.join(known().select(F.col("no").alias("before"), F.lit(True).alias("first")).hint("merge"), "before", "left")
+        left = told.groupBy("no").agg(F.bool_or(F.coalesce("first", F.lit(False))).alias("beaten"), F.collect_list(F.when(F.col("before") >= low, F.col("before"))).alias("alike"))
+        picked = left.where("not beaten").select("no", "alike").repartition(1).sortWithinPartitions("no").mapInPandas(pick, "no long")
+        picked.write.mode("overwrite").parquet(f"{folder}/turn={turn}")
+    return known()
+
+
+def fuzzy_groups(names: DataFrame, threshold: float = 0.9, most: int = MOST_LINKS) -> DataFrame:
     """(entity_type, norm_name, group_name): greedy, first group in order of pos whose first name is alike.
 
     ``names`` holds distinct names.  Thresholds under 0.7 would make segments empty and are an error; null names are left out.
     """
     if not 0.7 <= threshold <= 1:
         raise ValueError("the threshold must be from 0.7 to 1")
-    given = stage(names.where("norm_name is not null").select(F.coalesce("entity_type", F.lit("")).alias("entity_type"), "norm_name", "pos"), "names")
-    near = stage(alike_pairs(given, threshold), "alike")
-    told = stage(first_names(near, most=most), "firsts")
-    firsts = told.where("first").select("entity_type", F.col("norm_name").alias("earlier"))
-    best = near.join(told.where("not first").drop("first").hint("merge"), ["entity_type", "norm_name"], "left_semi").join(firsts.hint("merge"), ["entity_type", "earlier"])
-    best = best.groupBy(F.col("entity_type").alias("_t"), F.col("norm_name").alias("_n")).agg(F.min(F.struct("before", "earlier")).alias("_b"))
-    kinds = names.select("entity_type", "norm_name").where("norm_name is not null")
-    out = kinds.join(best.hint("merge"), (F.coalesce("entity_type", F.lit("")) == F.col("_t")) & (F.col("norm_name") == F.col("_n")), "left")
-    return out.select("entity_type", "norm_name", F.coalesce("_b.earlier", "norm_name").alias("group_name"))
+    given = names.where("norm_name is not null").select("entity_type", F.coalesce("entity_type", F.lit("")).alias("kind"), "norm_name", "pos")
+    # numbers rise in order of pos and name, with gaps; links hold numbers only
+    given = stage(given.orderBy("kind", "pos", "norm_name").withColumn("no", F.monotonically_increasing_id()), "names")
+    pairs = alike_pairs(given.where("pos is not null").select(F.col("kind").alias("entity_type"), "norm_name", F.col("no").alias("pos")), threshold)
+    near = stage(pairs.select(F.col("pos").alias("no"), "before"), "alike")
+    firsts = first_names(near, most).withColumnRenamed("no", "before")
+    best = near.join(firsts.hint("merge"), "before", "left_semi").groupBy("no").agg(F.min("before").alias("before"))
+    out = given.join(best.hint("merge"), "no", "left").join(given.select(F.col("no").alias("before"), F.col("norm_name").alias("earlier")).hint("merge"), "before", "left")
+    return out.select("entity_type", "norm_name", F.coalesce("earlier", "norm_name").alias("group_name"))
 
 
 def merge_entities(entities: DataFrame, strategy: str = "normalize", threshold: float = 0.9) -> DataFrame:

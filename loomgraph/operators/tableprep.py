@@ -332,7 +332,10 @@ def load(rows: DataFrame, mappings: list[Mapping], path: str, precheck: bool = T
         sizes = triples.groupBy("p").agg(F.count("*").alias("_n"))  # a row a predicate
         there = read_loaded(spark, path).join(sizes.select("p"), "p", "left_semi")
         keys = ["graph", "s", "p", "o", "o_kind", "o_type"]
-        new = triples.join(there, [triples[k].eqNullSafe(there[k]) for k in keys], "left_anti")
+        # a hash first, by which rows are sorted without comparing texts; none is broadcast, as texts are far larger than their files
+        hashed = lambda df: df.withColumn("_h", F.xxhash64(*keys))
+        given, there = hashed(triples), hashed(there).hint("merge")
+        new = given.join(there, reduce(lambda a, b: a & b, [given["_h"] == there["_h"], *[given[k].eqNullSafe(there[k]) for k in keys]]), "left_anti").drop("_h")
         parts = F.ceil(F.col("_n") / F.lit(LOAD_ROWS)).cast("int")
         dealt = new.join(sizes, "p").withColumn("_part", F.pmod(F.xxhash64("s"), parts)).repartition("p", "_part").sortWithinPartitions("p", "s")
         dealt.drop("_n", "_part").write.mode("overwrite").partitionBy("p").parquet(f"{path}/load={name}")
@@ -343,7 +346,7 @@ def load(rows: DataFrame, mappings: list[Mapping], path: str, precheck: bool = T
 
 TRIPLE_SCHEMA = "graph string, s string, o string, o_kind string, o_type string, p string"
 #: Triples of one predicate that a task writes, about.
-LOAD_ROWS = 2_000_000
+LOAD_ROWS = 250_000
 
 # Result tables
 

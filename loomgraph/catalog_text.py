@@ -136,8 +136,8 @@ def part_materials(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """An order may have a line number twice."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    """An order may have a line number twice.  Most haven't, so rows are dealt before and not grouped by the tasks that read them."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey", "l_linenumber").distinct()
 
 
 def _line_steps(spark, sf_dir):

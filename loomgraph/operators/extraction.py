@@ -123,8 +123,10 @@ def extract_rules(blocks: DataFrame, snippet: int = 200) -> DataFrame:
 def validate_sections(sections: DataFrame) -> DataFrame:
     """Repeated ids, and dotted ids whose parent has not come before."""
     w = W.partitionBy("doc_id", "section_id").orderBy("seq")
-    repeated = sections.withColumn("n", F.row_number().over(w)).where("n > 1").select("doc_id", "seq", "section_id", F.lit("duplicate_id").alias("error"))
-    first = sections.groupBy("doc_id", F.col("section_id").alias("parent")).agg(F.min("seq").alias("at"))
+    ranked = sections.withColumns({"n": F.row_number().over(w), "prev": F.lag("seq").over(w)})
+    repeated = ranked.where("n > 1").select("doc_id", "seq", "section_id", F.lit("duplicate_id").alias("error"))
+    # the least seq is where sorted rows first have one: no second grouping, whose hash map would hold what a task reads
+    first = ranked.where("seq is not null and prev is null").select("doc_id", F.col("section_id").alias("parent"), F.col("seq").alias("at"))
     child = sections.where(F.contains("section_id", F.lit("."))).withColumn("parent", F.regexp_replace("section_id", r"\.[^.]*$", ""))
     orphan = child.join(first, ["doc_id", "parent"], "left").where("at is null or at >= seq").select("doc_id", "seq", "section_id", F.lit("missing_parent"))
     return repeated.unionAll(orphan)

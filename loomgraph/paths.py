@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import stage
+from loomgraph.runtime import discard, stage
 
 
 def transitive(pairs: DataFrame, a: str, b: str, name: str = "closure") -> DataFrame:
@@ -41,20 +41,66 @@ def jumps_doubled(jumps: DataFrame, most: int, name: str) -> DataFrame | None:
     """(a, b) of two jumps after each other, or None if those would be over ``most`` rows before the distinct."""
     if _pairs_through(jumps) > most:
         return None
+    return stage(_after_each_other(jumps).distinct(), name)
+
+
+def _after_each_other(jumps: DataFrame) -> DataFrame:
     hop = jumps.select(F.col("a").alias("m"), F.col("b").alias("f"))
-    return stage(jumps.join(hop.hint("merge"), F.col("b") == F.col("m")).select("a", F.col("f").alias("b")).distinct(), name)
+    return jumps.join(hop.hint("merge"), F.col("b") == F.col("m")).select("a", F.col("f").alias("b"))
+
 
+def _one_sided(edges: DataFrame, name: str) -> DataFrame | None:
+    """Distinct ``edges`` if each a has one b or each b has one a, as in chains and hierarchies, else None."""
+    for key, end in (("a", "b"), ("b", "a")):
+        ends = stage(edges.groupBy(key).agg(F.min(end).alias(end), F.max(end).alias("other")), name)
+        if ends.where(F.col(end) != F.col("other")).isEmpty():
+            return ends.select("a", "b")
+        discard(ends)
+    return None
 
-def reach(edges: DataFrame, starts: DataFrame, a: str, b: str, shallow: int = 8, name: str = "reach") -> DataFrame:
+
+def _reach_one_sided(edges: DataFrame, starts: DataFrame, name: str) -> DataFrame | None:
+    """Distinct (s, n) over one or more ``edges`` of ``_one_sided``, or None if some of them close a circle.
+
+    Of such edges, jumps of 2^r are never more than the edges and get fewer with each r until none is left; where they don't, the rest run
+    in circles.  Without circles one walk at most leads from a node to another, so that nothing has to be made distinct: a distance is
+    a sum of different jumps, and the longest go first, while there are few pairs.
+    """
+    by_length, n = [edges], edges.count()
+    while n:
+        longer = stage(_after_each_other(by_length[-1]), name)
+        m = longer.count()
+        if m == n:
+            for made in by_length[1:] + [longer]:
+                discard(made)
+            return None
+        by_length, n = by_length + [longer] * bool(m), m
+    found = starts.select("s", F.col("s").alias("n"))
+    for jumps in reversed(by_length):
+        on = found.join(jumps.hint("merge"), F.col("n") == F.col("a")).select("s", F.col("b").alias("n"))
+        last, found = found, found.unionByName(on)
+        if jumps is not edges:
+            found = stage(found, name)
+            discard(last)
+            discard(jumps)
+    return found.where("s != n")
+
+
+def reach(edges: DataFrame, starts: DataFrame, a: str, b: str, shallow: int = 8, name: str = "reach", many: int = 16) -> DataFrame:
     """Distinct (a, b): what each start reaches over one or more edges.  ``starts`` has a column ``a``.
 
     A frontier of (start, node) pairs goes on by one edge a round and meets the edges alone, so only reached nodes are
     touched.  A path longer than ``shallow`` edges takes longer and longer jumps: pairs of nodes 2^r edges apart, made from the
     former ones as long as they are at most four times the edges, which they are in chains and hierarchies; where they aren't, graphs
-    spread fast, so that few rounds are left.
+    spread fast, so that few rounds are left.  Starts that are many (one in ``many`` edges) reach most edges anyway; then chains and
+    hierarchies are doubled from the first round on.
     """
     step = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
     starts = starts.where(F.col(a).isNotNull()).select(F.col(a).alias("s")).distinct()
+    if many * starts.count() >= step.count() and (chains := _one_sided(step, name)) is not None:
+        found = _reach_one_sided(chains, starts, name)
+        if found is not None:
+            return found.select(F.col("s").alias(a), F.col("n").alias(b))
     reached = stage(starts.join(step, F.col("s") == F.col("a")).select("s", F.col("b").alias("n")).distinct().withColumn("d", F.lit(1)), name)
     jumps, stride, covered, most, rounds = step, 1, 1, None, 0
     while True:

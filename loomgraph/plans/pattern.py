@@ -93,6 +93,10 @@ class Node:
     type_var: str | None = None
     unions: list[list[Node]] = field(default_factory=list)  # each: alternatives of this node (Q5)
 
+    def once(self) -> bool:
+        """Whether each instance is bound in one row by the node alone."""
+        return not (self.props or self.links or self.unions or self.type_var)
+
 
 class Graph:
     def __init__(self, triples: DataFrame, classes: DataFrame | None = None, properties: DataFrame | None = None, graphs: list[str] | None = None, domains: DataFrame | None = None):
@@ -152,7 +156,8 @@ class Graph:
             else:
                 nodes = self.triples.select(F.col("s").alias(near)).union(self.triples.where("o_kind = 'uri'").select("o"))
             step = step.union(nodes.where(F.col(near).isNotNull()).select(near, F.col(near).alias(far)))
-        return step.select(near, far).distinct()
+        step = step.select(near, far)
+        return step if link.qualifier == "+" else step.distinct()  # pairs that + reaches are distinct
 
     def _linked(self, out: DataFrame, link: Link, near: str, cls: str | None) -> tuple[DataFrame, DataFrame]:
         """``out`` and the link's bindings.  Paths start at the side with fewer nodes, both being written once."""
@@ -160,7 +165,9 @@ class Graph:
         if link.qualifier not in ("*", "+", "?"):
             return out, self.path(link, near, link.node.var, cls).join(far, link.node.var)
         out, far = stage(out, "bound"), stage(far, "bound")
-        starts, ends = out.select(near).distinct(), far.select(link.node.var).distinct()
+        starts, ends = out.select(near).distinct(), far.select(link.node.var)
+        if not link.node.once():
+            ends = ends.distinct()
         bound = {"starts": starts} if starts.count() <= ends.count() else {"ends": ends}
         return out, self.path(link, near, link.node.var, cls, **bound).join(far, link.node.var)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -107,6 +108,7 @@ def label_dictionary(triples: DataFrame, max_words: int = 4, specificity: int =
 
 
 SHAPE_SCHEMA = "id int, target string, path string, kind string, value string, items array<string>, severity string, message string"
+SHAPE_COLUMNS = [c.split()[0] for c in SHAPE_SCHEMA.split(", ")]
 VALUE_KINDS = ("datatype", "nodeKind", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive", "minLength", "maxLength", "pattern", "in")
 
 
@@ -121,64 +123,132 @@ def shapes_table(spark, shapes: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, SHAPE_SCHEMA)
 
 
-def shape_check(triples: DataFrame, shapes: list[dict] | DataFrame, severity: list[str] | None = None) -> DataFrame:
+#: Values that a task of a check meets, about.
+TASK_ROWS = 500_000
+
+
+def _tasks(spark, rows: int) -> list[int]:
+    """The number of tasks for so many rows, as ``repartition`` takes it; none if a task a core will do, to which Spark joins partitions itself.
+
+    Partitions that compress well it joins until a task holds many millions of rows, hence a number for more.
+    """
+    n = -(-rows // TASK_ROWS)
+    return [n] if n > spark.sparkContext.defaultParallelism else []
+
+
+def _without(df: DataFrame, keys: DataFrame, on: list[str], parts: list[int]) -> DataFrame:
+    """``df`` without the rows that have one of ``keys``, by a left join: Spark would take an anti join ahead of the dealing."""
+    met = keys.select(*on, F.lit(True).alias("_met")).repartition(*parts, *on)
+    return df.repartition(*parts, *on).join(met, on, "left").where("_met is null").select(df.columns)
+
+
+def _sizes(triples: DataFrame) -> dict[str, int]:
+    """Triples by predicate."""
+    return {r[0]: r[1] for r in triples.where("p is not null").groupBy("p").agg(F.count("*")).collect()}
+
+
+def _given(triples: DataFrame, shapes: list[dict] | DataFrame, severity: list[str] | None = None) -> list[dict]:
+    """Shapes, numbered anew: they are parameters, which every task gets."""
+    given = shapes if isinstance(shapes, DataFrame) else shapes_table(triples.sparkSession, shapes)
+    if severity:
+        given = given.where(F.col("severity").isin(*severity))
+    return [r.asDict() | {"id": i} for i, r in enumerate(given.collect())]
+
+
+def _odd(shape: dict, predicates) -> set[str]:
+    """Predicates that a closed shape doesn't allow."""
+    return set() if shape["items"] is None or None in shape["items"] else {p for p in predicates if p != TYPE and p not in shape["items"]}
+
+
+def _met(given: list[dict], sizes: dict[str, int]) -> int:
+    """Values that checks meet, those of the class with most checks on a predicate."""
+    checks = Counter((s["target"], p) for s in given if s["kind"] != "closed" for p in {s["path"], s["value"]} if p in sizes)
+    most: dict[str, int] = {}
+    for (_, p), n in checks.items():
+        most[p] = max(most.get(p, 0), n)
+    closed = set().union(*[_odd(s, sizes) for s in given if s["kind"] == "closed"])
+    return sum(sizes[p] * n for p, n in most.items()) + sum(sizes[p] for p in closed) + sizes.get(TYPE, 0)
+
+
+def shape_tasks(triples: DataFrame, shapes: list[dict] | DataFrame) -> list[int]:
+    """Tasks that ``shape_check`` deals its rows to, enough for what it finds too."""
+    return _tasks(triples.sparkSession, _met(_given(triples, shapes), _sizes(triples)))
+
+
+def shape_check(triples: DataFrame, shapes: list[dict] | DataFrame, severity: list[str] | None = None, typed: DataFrame | None = None) -> DataFrame:
     """(focus, path, value, shape, severity, message) of every flat constraint that fails.
 
     ``shapes``: rows of ``SHAPE_SCHEMA`` or a list for ``shapes_table``; kinds: minCount, maxCount, class, datatype,
     nodeKind, minInclusive, maxInclusive, minExclusive, maxExclusive, minLength, maxLength, pattern, equals, disjoint, lessThan,
     in, closed.  Checks are data: instances join them by class and values by predicate, so the plan has a part for each
     sort of check, six at most, for any number of shapes.  A value that isn't a number fails number checks.
+
+    A part reads the predicates that it checks, as narrow rows dealt to as many tasks as their number asks for; shapes' texts join only what
+    fails.  ``typed``: the triples that have the classes of values, if not ``triples``.
     """
-    given = shapes if isinstance(shapes, DataFrame) else shapes_table(triples.sparkSession, shapes)
-    if severity:
-        given = given.where(F.col("severity").isin(*severity))
-    t = types(triples)
-    due = given.join(t.select(F.col("s").alias("focus"), F.col("cls").alias("target")), "target")
-    of = lambda *kinds: due.where(F.col("kind").isin(*kinds))
-    base = ["id", "focus", "path", "kind", "value", "items", "severity", "message"]
-    facts = triples.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("o"), "o_kind", "o_type")
-    other = triples.select(F.col("s").alias("focus"), F.col("p").alias("value"), F.col("o").alias("o"))
+    spark = triples.sparkSession
+    given, sizes = _given(triples, shapes, severity), _sizes(triples)
+    parts = _tasks(spark, _met(given, sizes))
+    used = {s["kind"] for s in given}
+    of = lambda *kinds: [s for s in given if s["kind"] in kinds]
+    rows = lambda some: F.broadcast(spark.createDataFrame([tuple(s[c] for c in SHAPE_COLUMNS) for s in some], SHAPE_SCHEMA))
+    sides = lambda some: F.broadcast(spark.createDataFrame([(s["id"], s["target"], s[c], side) for s in some for c, side in (("path", 1), ("value", 0))], "id int, target string, path string, side int"))
+    texts = lambda some: rows(some).select("id", F.col("path").alias("_path"), "kind", F.col("value").alias("_value"), "severity", "message")
+    out = lambda df, some, value: df.join(texts(some), "id").select("focus", F.col("_path").alias("path"), value.cast("string").alias("value"), F.col("kind").alias("shape"), "severity", "message")
+    facts = lambda paths, *more: triples.where(F.col("p").isin(*paths)).select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", *more)
+    typing = lambda some: triples.where((F.col("p") == TYPE) & F.col("o").isin(*{s["target"] for s in some})).select(F.col("s").alias("focus"), F.col("o").alias("target"))
+    classed = lambda some: typing(some).repartition(*parts, "focus").distinct()
     number, want, false = F.col("o").try_cast("double"), F.col("value").try_cast("double"), F.lit(False)
     tests = {
         "datatype": ~F.col("o_type").eqNullSafe(F.col("value")),
         "nodeKind": F.col("o_kind") != F.col("value"),
-        "minInclusive": ~F.coalesce(number >= want, false),
-        "maxInclusive": ~F.coalesce(number <= want, false),
-        "minExclusive": ~F.coalesce(number > want, false),
-        "maxExclusive": ~F.coalesce(number < want, false),
-        "minLength": F.length("o") < want,
-        "maxLength": F.length("o") > want,
+        "minInclusive": ~F.coalesce(F.col("number") >= F.col("want"), false),
+        "maxInclusive": ~F.coalesce(F.col("number") <= F.col("want"), false),
+        "minExclusive": ~F.coalesce(F.col("number") > F.col("want"), false),
+        "maxExclusive": ~F.coalesce(F.col("number") < F.col("want"), false),
+        "minLength": F.length("o") < F.col("want"),
+        "maxLength": F.length("o") > F.col("want"),
         "pattern": ~F.rlike("o", F.col("value")),
         "in": ~F.array_contains("items", F.col("o")),
     }
-    fails = reduce(lambda e, k: e.when(F.col("kind") == k, tests[k]), VALUE_KINDS, F.when(false, false))
-    out = lambda df, value: df.select("focus", "path", value.cast("string").alias("value"), F.col("kind").alias("shape"), "severity", "message")
-    used = {r[0] for r in given.select("kind").distinct().collect()}  # of seventeen kinds
-    # values meet their instances' classes once and then all checks at a time: instances aren't listed for each check
-    checks = given.where(F.col("kind").isin(*VALUE_KINDS))
-    classed = t.select(F.col("s").alias("focus"), F.col("cls").alias("target")).join(F.broadcast(checks.select("target").distinct()), "target", "left_semi")
-    asked = facts.join(F.broadcast(checks.select("path").distinct()), "path", "left_semi").join(classed, "focus")
-    found = [out(asked.join(F.broadcast(checks), ["target", "path"]).where(fails), F.col("o"))]
-    lean = [c for c in base if c != "items"]
+    fails = reduce(lambda e, k: e.when(F.col("kind") == k, tests[k]), [k for k in VALUE_KINDS if k in used], F.when(false, false))
+    found = []
+    if used & {*VALUE_KINDS} or not used:
+        some = of(*VALUE_KINDS)
+        asked = facts({s["path"] for s in some}, "o_kind", "o_type").repartition(*parts, "focus").withColumn("number", number).join(classed(some), "focus")
+        checks = rows(some).select("id", "target", "path", "kind", "value", "items", want.alias("want"))
+        failed = asked.join(checks, ["target", "path"]).where(fails).select("id", "focus", "o")
+        found.append(out(failed, some, F.col("o")))
     if used & {"minCount", "maxCount"}:
-        counts = of("minCount", "maxCount").join(facts, ["focus", "path"], "left").groupBy(*lean).agg(F.count_distinct("o").alias("n"))
-        found.append(out(counts.where(F.when(F.col("kind") == "minCount", F.col("n") < want).otherwise(F.col("n") > want)), F.col("n")))
-    if "class" in used:
-        typed = t.select(F.col("s").alias("o"), F.col("cls").alias("value"))
-        found.append(out(of("class").join(facts, ["focus", "path"]).join(typed, ["o", "value"], "left_anti"), F.col("o")))
+        some = of("minCount", "maxCount")
+        due = typing(some).join(rows(some).select("id", "target", "path"), "target").select("id", "focus", "path").repartition(*parts, "focus", "path").distinct()
+        counts = facts({s["path"] for s in some}).repartition(*parts, "focus", "path").groupBy("focus", "path").agg(F.count_distinct("o").alias("n"))
+        limits = rows(some).select("id", F.col("kind").alias("_kind"), want.alias("want"))
+        n = due.join(counts, ["focus", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0))).join(limits, "id")
+        found.append(out(n.where(F.when(F.col("_kind") == "minCount", F.col("n") < F.col("want")).otherwise(F.col("n") > F.col("want"))), some, F.col("n")))
+    if "class" in used:  # values of none of the classes first, which are few, then their instances' classes
+        some = of("class")
+        asked = facts({s["path"] for s in some}).join(rows(some).select("path", "value").distinct(), "path")
+        classes = (typed or triples).where((F.col("p") == TYPE) & F.col("o").isin(*{s["value"] for s in some})).select(F.col("s").alias("o"), F.col("o").alias("value"))
+        odd = _without(asked, classes, ["o", "value"], parts).repartition(*parts, "focus")
+        found.append(out(odd.join(classed(some), "focus").join(rows(some).select("id", "target", "path", "value"), ["target", "path", "value"]), some, F.col("o")))
     if used & {"equals", "disjoint"}:  # each value once, with the sides that have it
-        pairs = of("equals", "disjoint").select(*lean)
-        sides = pairs.join(facts, ["focus", "path"]).select(*lean, "o", F.lit(1).alias("side")).unionByName(pairs.join(other, ["focus", "value"]).select(*lean, "o", F.lit(0).alias("side")))
-        sides = sides.groupBy(*lean, "o").agg((F.max("side") != F.min("side")).alias("both"))
-        found.append(out(sides.where(F.when(F.col("kind") == "equals", ~F.col("both")).otherwise(F.col("both"))), F.col("o")))
+        some = of("equals", "disjoint")
+        asked = facts({p for s in some for p in (s["path"], s["value"])}).repartition(*parts, "focus").join(classed(some), "focus").join(sides(some), ["target", "path"])
+        both = asked.groupBy("id", "focus", "o").agg((F.max("side") != F.min("side")).alias("both")).join(rows(some).select("id", F.col("kind").alias("_kind")), "id")
+        found.append(out(both.where(F.when(F.col("_kind") == "equals", ~F.col("both")).otherwise(F.col("both"))), some, F.col("o")))
     if "lessThan" in used:  # than the least of the other's values, all of which must be numbers
-        least = of("lessThan").join(other, ["focus", "value"]).groupBy("id", "focus").agg(F.min(number).alias("least"), F.bool_or(number.isNull()).alias("odd"))
-        below = of("lessThan").join(facts, ["focus", "path"]).join(least, ["id", "focus"]).where(F.col("odd") | ~F.coalesce(number < F.col("least"), false))
-        found.append(out(below, F.col("o")).distinct())
+        some = of("lessThan")
+        asked = facts({p for s in some for p in (s["path"], s["value"])}).repartition(*parts, "focus").join(classed(some), "focus").join(sides(some), ["target", "path"])
+        least = asked.where("side = 0").groupBy("id", "focus").agg(F.min(number).alias("least"), F.bool_or(number.isNull()).alias("odd"))
+        below = asked.where("side = 1").join(least, ["id", "focus"]).where(F.col("odd") | ~F.coalesce(number < F.col("least"), false))
+        found.append(out(below, some, F.col("o")).distinct())
     if "closed" in used:
-        said = triples.where(F.col("p") != TYPE).select(F.col("s").alias("focus"), F.col("p").alias("_p")).distinct()
-        found.append(out(of("closed").join(said, "focus").where(~F.array_contains("items", F.col("_p"))), F.col("_p")))
-    return reduce(DataFrame.unionByName, found)
+        some = of("closed")
+        said = facts(set().union(*[_odd(s, sizes) for s in some])).select("focus", "path").repartition(*parts, "focus").join(classed(some), "focus")
+        odd = said.join(rows(some).select("id", "target", "items"), "target").where(~F.array_contains("items", F.col("path"))).select("id", "focus", "path").distinct()
+        found.append(out(odd, some, F.col("path")))
+    return reduce(DataFrame.unionByName, found) if found else triples.sparkSession.createDataFrame([], "focus string, path string, value string, shape string, severity string, message string")
 
 
 def prune_by_shapes(triples: DataFrame, shapes: list[dict] | DataFrame) -> DataFrame:

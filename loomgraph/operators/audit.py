@@ -252,12 +252,38 @@ def shape_check(triples: DataFrame, shapes: list[dict] | DataFrame, severity: li
 
 
 def prune_by_shapes(triples: DataFrame, shapes: list[dict] | DataFrame) -> DataFrame:
-    """Delete every node that a shape reports, in and out, until none is reported (A10).  Each round deletes some, so it ends."""
+    """Delete every node that a shape reports, in and out, until none is reported (A10).  Each round deletes some, so it ends.
+
+    Triples aren't rewritten round by round: after the first, only the nodes that pointed to deleted ones are checked again, as nothing else
+    has changed for others (all, if classes themselves are deleted).  The result leaves out deleted nodes as it is read; ``stage`` it if it is read often.
+    """
+    spark, sizes = triples.sparkSession, _sizes(triples)
+    parts, given = _tasks(spark, sum(sizes.values())), _given(triples, shapes)
+    checked = {TYPE, *[p for s in given for p in (s["path"], s["value"])]}
+    checked = sizes if any(s["kind"] == "closed" for s in given) else [p for p in sizes if p in checked]
+    gone, hit = None, set()
+
+    def left(df: DataFrame) -> DataFrame:
+        df = _without(df, gone.withColumnRenamed("_x", "s"), ["s"], parts)
+        reached = F.coalesce(F.col("p").isin(*hit), F.lit(False))  # no other predicate leads to deleted nodes
+        return df.where(~reached).unionByName(_without(df.where(reached), gone.withColumnRenamed("_x", "o"), ["o"], parts))
+
+    some, typed = triples, None
     while True:
-        gone = stage(shape_check(triples, shapes).select(F.col("focus").alias("_x")).distinct(), "pruned")
-        if gone.isEmpty():
-            return triples
-        triples = stage(triples.join(gone, F.col("s") == F.col("_x"), "left_anti").join(gone, F.col("o") == F.col("_x"), "left_anti"), "triples")
+        new = stage(shape_check(some, shapes, typed=typed).select(F.col("focus").alias("_x")).distinct(), "pruned")
+        if new.isEmpty():
+            return triples if gone is None else left(triples)
+        gone = new if gone is None else gone.unionByName(new)
+        # values are made distinct before they meet the deleted nodes, since many are frequent
+        now = {r[0] for r in triples.select("p", "o").distinct().join(new.select(F.col("_x").alias("o")), "o", "left_semi").select("p").distinct().collect()}
+        hit |= now
+        if TYPE in now:
+            some = typed = stage(left(triples), "triples")
+            continue
+        ends = triples.where(F.col("p").isin(*now)).select("s", "o").repartition(*parts, "o").join(new.select(F.col("_x").alias("o")).repartition(*parts, "o"), "o")
+        touched = stage(ends.select("s").distinct(), "touched")
+        again = triples.where(F.col("p").isin(*checked)).repartition(*parts, "s").join(touched.repartition(*parts, "s"), "s")
+        some, typed = stage(left(again.select(triples.columns)), "triples"), typed or triples
 
 
 def same_as_precheck(same_as: DataFrame, triples: DataFrame, classes: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from loomgraph.runtime import new_path, stage
 
 MOST_RESTS = 400  #: of one name for one length: above, names are matched by segments
 MOST_LINKS = 4_000_000  #: between names alike that a turn decides, about
+MOST_NAMES = 100_000  #: alike no first of former turns that one task decides in a turn, about
 
 
 def _first(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -137,8 +138,13 @@ def name_rests(name: str, lengths: list[int], threshold: float) -> list[tuple[in
     Names alike share a common subsequence at least as long as their matching blocks, so they share a rest.  Only as many names
     have one rest as there are ways to put deleted letters back, however many names begin alike.
     """
-    n = len(name)
-    return sorted({(min(n, m), max(n, m), "".join(x)) for m in lengths if _by_rest(n, m, threshold) for x in combinations(name, n - _deletions(n, m, threshold))})
+    n, out = len(name), set()
+    for m in lengths:
+        if _by_rest(n, m, threshold):
+            left = n - _deletions(n, m, threshold)
+            rests = (name[:i] + name[i + 1 :] for i in range(n)) if left == n - 1 else ("".join(x) for x in combinations(name, left))
+            out |= {(min(n, m), max(n, m), x) for x in rests}
+    return sorted(out)
 
 
 def name_segments(name: str, lengths: list[int], threshold: float) -> list[tuple[int, int, str]]:
@@ -162,27 +168,44 @@ def name_probes(name: str, lengths: list[int], threshold: float) -> list[tuple[i
     return sorted(out)
 
 
+def _lengths(names: DataFrame) -> list[int]:
+    return sorted(r[0] for r in names.select(F.length("norm_name")).distinct().collect())  # lengths, not names
+
+
+def _keyed(names: DataFrame, make, lengths: list[int], threshold: float, n: int | None = None) -> DataFrame:
+    """(entity_type, norm_name, pos, key) of all keys that ``make`` lists for a name; ``n``: names, if so few that fewer tasks do."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [make(n, lengths, threshold) for n in batch.column("norm_name").to_pylist()]
+            for a in range(0, len(keys), 256):  # a name may have hundreds
+                rows = pa.array([i for i, k in enumerate(keys[a : a + 256], a) for _ in k], pa.int32())
+                texts = pa.array([f"{size}:{no}:{text}" for k in keys[a : a + 256] for size, no, text in k], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.take(rows).columns, texts], [*batch.schema.names, "key"])
+
+    # by a hash of the key, as what shares one by chance isn't alike; names are few for a file and keys many, so names are dealt first
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts if n is None else max(1, min(parts, n // 5_000))
+    made = names.repartition(parts, "norm_name").select("entity_type", "norm_name", "pos").mapInArrow(run, f"entity_type string, norm_name string, pos {dict(names.dtypes)['pos']}, key string")
+    return made.withColumn("key", F.xxhash64("entity_type", "key"))
+
+
+def _sought(name: str, lengths: list[int], threshold: float) -> list[tuple]:
+    """What a name shares one of with every earlier name alike, which lists it by ``_listed``."""
+    return [("r", *k) for k in name_rests(name, lengths, threshold)] + [("s", *k) for k in name_probes(name, lengths, threshold)]
+
+
+def _listed(name: str, lengths: list[int], threshold: float) -> list[tuple]:
+    return [("r", *k) for k in name_rests(name, lengths, threshold)] + [("s", *k) for k in name_segments(name, lengths, threshold)]
+
+
 def alike_pairs(names: DataFrame, threshold: float) -> DataFrame:
     """(entity_type, norm_name, pos, earlier, before) of every two names alike, the earlier by pos and name second.
 
     names: entity_type, norm_name, pos, distinct and not null.  Candidates share a rest or a segment; only they are compared.
     """
-    lengths = sorted(r[0] for r in names.select(F.length("norm_name")).distinct().collect())  # lengths, not names
-
-    def keyed(make):
-        def run(batches):
-            for batch in batches:
-                keys = [make(n, lengths, threshold) for n in batch.column("norm_name").to_pylist()]
-                for a in range(0, len(keys), 256):  # a name may have hundreds
-                    rows = pa.array([i for i, k in enumerate(keys[a : a + 256], a) for _ in k], pa.int32())
-                    texts = pa.array([f"{size}:{no}:{text}" for k in keys[a : a + 256] for size, no, text in k], pa.string())
-                    yield pa.RecordBatch.from_arrays([*batch.take(rows).columns, texts], [*batch.schema.names, "key"])
-
-        # by a hash of the key, as what shares one by chance isn't alike; names are few for a file and keys many, so names are dealt first
-        parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        made = names.repartition(parts, "norm_name").select("entity_type", "norm_name", "pos").mapInArrow(run, f"entity_type string, norm_name string, pos {dict(names.dtypes)['pos']}, key string")
-        return made.withColumn("key", F.xxhash64("entity_type", "key"))
-
+    lengths = _lengths(names)
+    keyed = lambda make: _keyed(names, make, lengths, threshold)
     # Spark takes keys for as few as names, and would broadcast them
     second = lambda df: df.withColumnsRenamed({"norm_name": "earlier", "pos": "before", "entity_type": "_type"}).hint("merge")
     rests = keyed(name_rests)
@@ -237,20 +260,111 @@ def first_names(near: DataFrame, most: int) -> DataFrame:
     return known()
 
 
-def fuzzy_groups(names: DataFrame, threshold: float = 0.9, most: int = MOST_LINKS) -> DataFrame:
+def _first_alike(names: DataFrame, listed: DataFrame, lengths: list[int], threshold: float, n: int) -> DataFrame:
+    """(no, before): the least-numbered first alike of each name that has one; ``listed``: (key, before, earlier) of all keys of firsts.
+
+    A name's candidates come in order and are compared until one is alike, which is mostly the first.
+    """
+
+    def run(batches):
+        at = last = done = None
+        for pdf in batches:
+            nos, befores = [], []
+            for no, before, name, earlier in zip(pdf["no"].tolist(), pdf["before"].tolist(), pdf["norm_name"], pdf["earlier"], strict=True):
+                if no != at:
+                    at, last, done = no, None, False
+                if not done and before != last:
+                    last = before
+                    if similar(name, earlier, threshold):
+                        done = True
+                        nos.append(no)
+                        befores.append(before)
+            yield pd.DataFrame({"no": nos, "before": befores}, dtype="int64")
+
+    keys = _keyed(names, lambda *a: [(k[0], k[1], k[2:]) for k in _sought(*a)], lengths, threshold, n).select("key", "norm_name", F.col("pos").alias("no"))
+    met = keys.join(listed.hint("merge"), "key").select("no", "before", "norm_name", "earlier")
+    return met.repartition("no").sortWithinPartitions("no", "before").mapInPandas(run, "no long, before long")
+
+
+def _decided(names: DataFrame, lengths: list[int], threshold: float) -> DataFrame:
+    """(no, before) of names that no former first is alike, one after another in one task: the first among them that is alike, null for firsts."""
+
+    def run(batches):
+        listed, texts = {}, {}
+        for pdf in batches:
+            found = []
+            for kind, name, no in zip(pdf["entity_type"], pdf["norm_name"], pdf["pos"].tolist(), strict=True):
+                met = set().union(*[listed.get((kind, *k), ()) for k in _sought(name, lengths, threshold)])
+                first = next((x for x in sorted(met) if similar(name, texts[x], threshold)), None)
+                if first is None:
+                    texts[no] = name
+                    for k in _listed(name, lengths, threshold):
+                        listed.setdefault((kind, *k), []).append(no)
+                found.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(pdf["pos"].tolist(), pa.int64()), pa.array(found, pa.int64())], ["no", "before"])
+
+    return names.repartition(1).sortWithinPartitions("pos").mapInArrow(lambda batches: run(x.to_pandas() for x in batches), "no long, before long")
+
+
+def _groups_by_turns(names: DataFrame, total: int, threshold: float, turn: int) -> DataFrame | None:
+    """(no, before) of all names by turns of names in order; None if the first turn shows that few are alike.
+
+    names: entity_type, norm_name, pos, the last a number under ``total``.  A turn's names meet the keys of former firsts; those alike none of them, the fewer the
+    more names are alike, go through one task.  Turns grow while these are few.  So names are compared with firsts only, not with all that are alike.
+    """
+    spark, lengths = names.sparkSession, _lengths(names)
+    folder, at, size, no = new_path(spark, "turns"), 0, turn // 5 + 1, 0
+    listed = lambda: spark.read.schema("key long, before long, earlier string").parquet(f"{folder}/listed")
+    while at < total:
+        end = min(at + size, total)
+        block = names.where((F.col("pos") >= at) & (F.col("pos") < end))
+        left = block
+        if no:
+            beaten = stage(_first_alike(block, listed(), lengths, threshold, end - at), "beaten")
+            left = stage(block.join(beaten.select(F.col("no").alias("pos")).hint("merge"), "pos", "left_anti").select(names.columns), "left")
+            n = left.count()
+            if n > 2 * turn:  # the rest waits for the next turn
+                end = left.agg(F.percentile_approx("pos", turn / n)).first()[0] + 1
+                left, beaten = left.where(F.col("pos") < end), beaten.where(F.col("no") < end)
+            beaten.write.parquet(f"{folder}/best/turn={no}/by=former")
+        _decided(left, lengths, threshold).write.parquet(f"{folder}/best/turn={no}/by=own")
+        own = spark.read.schema("no long, before long").parquet(f"{folder}/best/turn={no}/by=own")
+        firsts = stage(left.join(own.where("before is null").select(F.col("no").alias("pos")).hint("merge"), "pos", "left_semi").select(names.columns), "firsts")
+        many = firsts.count()
+        if not no and end < total and 2 * many > own.count():
+            return None
+        _keyed(firsts, lambda *a: [(k[0], k[1], k[2:]) for k in _listed(*a)], lengths, threshold, many).select("key", F.col("pos").alias("before"), F.col("norm_name").alias("earlier")).write.parquet(f"{folder}/listed/turn={no}")
+        if no:
+            size = max(turn // 5 + 1, min(2 * size, size * turn // max(1, n), 10 * turn))
+        at, no = end, no + 1
+    return spark.read.schema("no long, before long").option("recursiveFileLookup", True).parquet(f"{folder}/best") if no else None
+
+
+def fuzzy_groups(names: DataFrame, threshold: float = 0.9, most: int = MOST_LINKS, turn: int = MOST_NAMES) -> DataFrame:
     """(entity_type, norm_name, group_name): greedy, first group in order of pos whose first name is alike.
 
     ``names`` holds distinct names.  Thresholds under 0.7 would make segments empty and are an error; null names are left out.
+    Where most names of the first turn are alike others, names meet firsts only; else all links between names alike are listed, which are few then.
     """
     if not 0.7 <= threshold <= 1:
         raise ValueError("the threshold must be from 0.7 to 1")
     given = names.where("norm_name is not null").select("entity_type", F.coalesce("entity_type", F.lit("")).alias("kind"), "norm_name", "pos")
-    # numbers rise in order of pos and name, with gaps; links hold numbers only
+    # numbers rise in order of pos and name; links hold numbers only
     given = stage(given.orderBy("kind", "pos", "norm_name").withColumn("no", F.monotonically_increasing_id()), "names")
-    pairs = alike_pairs(given.where("pos is not null").select(F.col("kind").alias("entity_type"), "norm_name", F.col("no").alias("pos")), threshold)
-    near = stage(pairs.select(F.col("pos").alias("no"), "before"), "alike")
-    firsts = first_names(near, most).withColumnRenamed("no", "before")
-    best = near.join(firsts.hint("merge"), "before", "left_semi").groupBy("no").agg(F.min("before").alias("before"))
+    # without gaps, by the number of names in each part that Spark has numbered
+    parts, total, begin = given.groupBy(F.shiftright("no", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect(), 0, []
+    for part, n in parts:
+        begin += [F.lit(part), F.lit(total)]
+        total += n
+    if parts:
+        given = stage(given.withColumn("no", F.element_at(F.create_map(*begin), F.shiftright("no", 33)) + F.col("no").bitwiseAND(F.lit((1 << 33) - 1))), "names")
+    placed = given.where("pos is not null").select(F.col("kind").alias("entity_type"), "norm_name", F.col("no").alias("pos"))
+    best = _groups_by_turns(placed, total, threshold, turn)
+    if best is None:
+        near = stage(alike_pairs(placed, threshold).select(F.col("pos").alias("no"), "before"), "alike")
+        firsts = first_names(near, most).withColumnRenamed("no", "before")
+        best = near.join(firsts.hint("merge"), "before", "left_semi").groupBy("no").agg(F.min("before").alias("before"))
+    best = best.where("before is not null")
     out = given.join(best.hint("merge"), "no", "left").join(given.select(F.col("no").alias("before"), F.col("norm_name").alias("earlier")).hint("merge"), "before", "left")
     return out.select("entity_type", "norm_name", F.coalesce("earlier", "norm_name").alias("group_name"))
 

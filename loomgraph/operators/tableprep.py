@@ -259,11 +259,16 @@ def tables_to_triples(tables: list[tuple[DataFrame, list[Mapping]]], only: list[
     """Distinct triples of the mapped rows of several tables.
 
     ``only``: the predicates to make beside types, if no others are to be read; rows with errors are left out by all of theirs.
+    More than a task a core can hold are dealt by their number first: few are repeats, so tasks that made theirs distinct before would hold nearly all.
     """
-    coded, kinds = None, []
+    coded, kinds, n = None, [], 0
     for rows, mappings in tables:
         one, kinds, _ = _coded_triples(rows, mappings, graph, prefix, kinds, only)
         coded = one if coded is None else coded.unionByName(one)
+        n += rows.count() * sum(only is None or p in (TYPE, *only) for m in mappings for p in (TYPE, *m.props, *m.links))
+    tasks = -(-n // DISTINCT_ROWS)
+    if tasks > coded.sparkSession.sparkContext.defaultParallelism:
+        coded = coded.repartition(tasks, "code", "s", "o")
     return _decoded(coded.distinct(), kinds)
 
 
@@ -347,6 +352,8 @@ def load(rows: DataFrame, mappings: list[Mapping], path: str, precheck: bool = T
 TRIPLE_SCHEMA = "graph string, s string, o string, o_kind string, o_type string, p string"
 #: Triples of one predicate that a task writes, about.
 LOAD_ROWS = 250_000
+#: Triples of several tables that a task makes distinct, about.
+DISTINCT_ROWS = 1_000_000
 
 # Result tables
 
